@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, langid, licenses, mixing, tokenfile, toxicity
+from . import bpe, exactdedup, langid, licenses, mixing, neardup, tokenfile, toxicity
 from .common import table
 
 
@@ -42,8 +42,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_language_id, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity]
+    found = [op1_bpe_round_trip, op2_language_id, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
