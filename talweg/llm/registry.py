@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, langid, licenses, mixing, neardup, tokenfile, toxicity
+from . import ann, bpe, exactdedup, langid, licenses, mixing, neardup, tokenfile, toxicity
 from .common import table
 
 
@@ -42,12 +42,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_language_id, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op10_near_dedup]
+    found = [op1_bpe_round_trip, op2_language_id, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
