@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exactdedup, langid, licenses, mixing, neardup, tokenfile, toxicity
+from . import ann, bpe, exactdedup, langid, licenses, mixing, neardup, suffixdedup, tokenfile, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_language_id, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, pipeline]
+    found = [op1_bpe_round_trip, op2_language_id, op3_repeated_windows, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
