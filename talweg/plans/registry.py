@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog, retrieval
+
+_FAMILIES = (catalog, retrieval)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for family in _FAMILIES for name, (f, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in _FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}
