@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, retrieval
+from . import catalog, reliability, retrieval, timeseries
 
-_FAMILIES = (catalog, retrieval)
+_FAMILIES = (catalog, retrieval, timeseries, reliability)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
