@@ -79,7 +79,7 @@ def poisson_upper(count: pd.Series) -> pd.Series:
     return count.map(known).astype(float)
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def beta_interval(place: pd.Series, n: pd.Series) -> pd.DataFrame:
     """95 % interval of the chance that a new healthy window passes a threshold at that place of n."""
 

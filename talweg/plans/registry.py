@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, reliability, retrieval, timeseries
+from . import catalog, reliability, retrieval, textual, timeseries
 
-_FAMILIES = (catalog, retrieval, timeseries, reliability)
+_FAMILIES = (catalog, retrieval, timeseries, reliability, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
