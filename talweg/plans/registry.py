@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, reliability, retrieval, textual, timeseries
+from . import catalog, detection, reliability, retrieval, textual, timeseries
 
-_FAMILIES = (catalog, retrieval, timeseries, reliability, textual)
+_FAMILIES = (catalog, retrieval, timeseries, reliability, textual, detection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,7 +50,7 @@ def _scores(spark, d):
 
 
 def _threshold(spark, d):
-    return S.order_statistic(_scores(spark, d).where("role = 'calibration' and user_id % 2 = 0"), "score", 90)
+    return S.order_statistic(staged(_scores(spark, d), "scores").where("role = 'calibration' and user_id % 2 = 0"), "score", 90)
 
 
 def _flags(spark, d):
