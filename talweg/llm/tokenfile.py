@@ -27,7 +27,7 @@ from .bpe import load_vocabulary
 from .common import fresh_path, input_partitions, slices, staged
 
 #: Pieces a worker remembers, in each of two generations. A bound on memory only; results don't depend on it.
-MEMO = 500_000
+MEMO = 800_000
 _PIECES: dict[int, PieceEncoder] = {}
 
 
@@ -45,21 +45,58 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind, self.young, self.old = kind, {"": b""}, {}
+        ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        self.lowers = all(ids(x) == ids(x.lower()) for x in ("The", "ÉTÉ Über", "A'S I'LL"))
+        bar = ids("|")
+        self.bar = bar[0] if len(bar) == 1 and ids("a | . | é") == ids("a") + bar + ids(".") + bar + ids("é") else None
+        self.marks = frozenset(m for m in ".,!" if all(ids(w + m) == ids(w) + ids(m) for w in ("a", "the", "ing", "é", "xyz")))
+
+    def _lower(self, text: str) -> str:
+        """The text in lower case where the tokenizer does the same and no letter could compose otherwise: fewer pieces to remember."""
+        if not self.lowers or "<" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Ask the library for many pieces in one text, with a bar between them, and cut its ids at the bars."""
+        alone = [s for s in pieces if "|" in s or len(s) > 200]
+        many = [s for s in pieces if "|" not in s and len(s) <= 200] if self.bar is not None else []
+        for s, e in zip(alone if many else pieces, self.tokenizer.encode_batch_fast(alone if many else pieces, add_special_tokens=False), strict=True):
+            self.young[s] = np.array(e.ids, self.kind).tobytes()
+        for k in range(0, len(many), 4096):
+            part = many[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join([*part, ""])], add_special_tokens=False)[0].ids, np.int64)
+            end = np.flatnonzero(ids == self.bar)
+            flat, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            for s, i, j in zip(part, [0, *(end + 1).tolist()], end.tolist(), strict=False):
+                self.young[s] = flat[i * width : j * width]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        new = []
-        for s in set().union(*cut) if cut else ():
-            if s not in young:
-                if s in old:
-                    young[s] = old[s]
-                else:
-                    new.append(s)
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            young[s] = np.array(e.ids, self.kind).tobytes()
+
+        def known(s: str) -> bool:
+            if s in young:
+                return True
+            if s in old:
+                young[s] = old[s]
+                return True
+            return False
+
+        new = [s for s in (set().union(*cut) if cut else ()) if not known(s)]
+        # A letter and one closing mark never share a token: "word." is "word" and ".".
+        closed = [s for s in new if s[-1] in self.marks and s[-2:-1].isalpha()]
+        stems = {s[:-1] for s in closed}.union(x[-1] for x in closed)
+        self._ask([*{*(s for s in new if not (s[-1] in self.marks and s[-2:-1].isalpha())), *(s for s in stems if not known(s))}])
+        for s in closed:
+            young[s] = young[s[:-1]] + young[s[-1]]
         get = young.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
