@@ -153,14 +153,14 @@ QUERIES = {
     "header_tracking": (header_tracking, "WITH x AS (SELECT conv_id, turn, turn + CASE role WHEN 'user' THEN 0 ELSE 1 END k FROM conversations), p AS (SELECT conv_id, lead(turn) OVER w - turn dp, lead(k) OVER w - k dn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT conv_id, count(*) n, count(*) FILTER (dp <= 4) AS pairs, count(*) FILTER (dp <= 4 AND dp = dn) AS hits FROM p GROUP BY 1) SELECT conv_id, pairs, hits FROM g WHERE n >= 3 AND pairs >= 2 AND hits >= 0.6 * pairs"),
     "chunk_dedup": (chunk_dedup, r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(n)::INT AS line_no, count(*) AS n_copies FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(regexp_replace(line, '\s+', ' ', 'g'))"),
     "caption_labels": (caption_labels, r"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\bversion [0-9]+'))) AS label FROM documents"),
-    "subject_terms": (subject_terms, None),
+    "subject_terms": (subject_terms, r"WITH t AS (SELECT item_id, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws FROM benchmark)), f AS (SELECT item_id, w, min(p) p FROM t WHERE length(w) >= 4 AND w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a', 'that', 'it', 'for', 'was', 'on', 'are', 'with', 'as', 'be', 'this', 'by', 'at', 'from', 'or', 'an') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY p) k FROM f) SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY k) FILTER (k <= 6), '') AS terms FROM r GROUP BY 1"),
     "fixed_windows": (fixed_windows, r"WITH t AS (SELECT doc_id, string_split_regex(trim(text, ' '), '\s+') w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 90)) s FROM t) SELECT doc_id, (s // 90)::INT AS k, len(w[s + 1:s + 110])::INT AS n, md5(array_to_string(w[s + 1:s + 110], ' ')) AS digest FROM s WHERE s = 0 OR s + 20 < len(w)"),
     "sentence_chunks": (sentence_chunks, None),
     "sentence_spans": (sentence_spans, None),
     "reference_regions": (reference_regions, None),
-    "contents_pages": (contents_pages, None),
+    "contents_pages": (contents_pages, r"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, len(l) n, len(list_filter(l, lambda x: regexp_matches(x, '(?:\.[ \t]?){6,}|…{3,}'))) k FROM l) SELECT doc_id, k >= 1 AND k >= 0.01 * n AS is_contents FROM h"),
     "glyph_codes": (glyph_codes, r"SELECT doc_id, md5(regexp_replace(text, '(?:/gid\d+)+', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL"),
-    "folded_text": (folded_text, None),
+    "folded_text": (folded_text, r"SELECT item_id, regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]', '', 'g') AS squashed FROM benchmark"),
     "number_extract": (number_extract, None),
     "citation_verdict": (citation_verdict, "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 0 ELSE 4 END AS n_marks, CASE WHEN item_id % 8 = 0 THEN 'web_grounded' WHEN item_id % 4 = 0 THEN 'uncited' WHEN item_id + 3 <= 20 THEN 'verified' ELSE 'invalid' END AS verdict FROM benchmark"),
     "number_check": (number_check, "SELECT o_orderkey, 1::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice NOT IN (7, 2041)"),
