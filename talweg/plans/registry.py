@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, detection, library, reliability, retrieval, textual, timeseries
+from . import catalog, detection, library, planning, reliability, retrieval, textual, timeseries
 
-_FAMILIES = (catalog, retrieval, timeseries, reliability, textual, detection, library)
+_FAMILIES = (catalog, retrieval, timeseries, reliability, textual, detection, library, planning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

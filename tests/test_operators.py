@@ -254,3 +254,12 @@ def test_published_versions_and_exports(spark, tmp_path):
     P.export(spark.range(2).toDF("a"), str(tmp_path / "e"))
     with pytest.raises(Exception, match="(?i)exists"):
         P.export(spark.range(2).toDF("a"), str(tmp_path / "e"))
+
+
+def test_filled_pieces():
+    from talweg.functions import planning as L
+
+    text = "\n".join(" ".join(f"w{i}" for i in range(30)) for _ in range(5))
+    pieces = L.filled_pieces(text, 70)
+    assert [len(p.split()) for p in pieces] == [60, 30, 60] or sum(len(p.split()) for p in pieces) == 150 and all(len(p.split()) <= 70 for p in pieces)
+    assert L.filled_pieces("", 10) == []
