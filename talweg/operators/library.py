@@ -14,8 +14,8 @@ def reuse_vectors(new: DataFrame, old: DataFrame, text: str, vector: str) -> Dat
 
 def opening_text(sections: DataFrame, doc: str, order: str, text: str, chars: int) -> DataFrame:
     """The first characters of a document's sections in order. Sections beyond the limit aren't gathered."""
-    before = F.coalesce(F.sum(F.length(text) + 1).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    few = sections.withColumn("_b", before).where(F.col("_b") < chars)
+    before = F.coalesce(F.sum(F.length(text) + 1).over(Window.partitionBy(doc).orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = sections.withColumn("_b", before).where(F.col("_b") <= chars)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
     return few.groupBy(doc).agg(F.substring(joined, 1, chars).alias("opening"))
 

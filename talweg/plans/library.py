@@ -97,7 +97,7 @@ def indicator_rows(spark, d):
 
 QUERIES = {
     "reindex_reuse": (reindex_reuse, "WITH x AS (SELECT doc_id, source, md5(text) AS t FROM documents), o AS (SELECT DISTINCT t FROM x WHERE doc_id % 2 = 0) SELECT source, count(o.t) AS reused, count(*) FILTER (o.t IS NULL) AS to_encode FROM x LEFT JOIN o USING (t) WHERE doc_id % 2 = 1 OR doc_id % 5 = 0 GROUP BY 1"),
-    "opening_text": (opening_text, "SELECT conv_id, md5(substr(string_agg(text, chr(10) ORDER BY turn), 1, 200)) AS digest FROM conversations GROUP BY 1"),
+    "opening_text": (opening_text, "SELECT conv_id, md5(substr(string_agg(text, chr(10) ORDER BY turn, text), 1, 200)) AS digest FROM conversations GROUP BY 1"),
     "support_filter": (support_filter, "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0"),
     "named_documents": (named_documents, "SELECT DISTINCT source, length(source) >= 4 AND contains('whatdoessrc1sayandsrc15', source) AS named FROM documents"),
     "caption_descriptions": (caption_descriptions, "SELECT p_partkey, d AS description FROM part LEFT JOIN (SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) d FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"),

@@ -107,7 +107,7 @@ def sequences(spark, d):
 
 
 def topk_score(spark, d):
-    return _rounded(_scores(spark, d), "score")
+    return _scores(spark, d)
 
 
 def threshold(spark, d):
@@ -250,7 +250,7 @@ QUERIES = {
     "preparation_report": (preparation_report, f"WITH {_S}, {_F}, {_P}, {_R}, x AS (SELECT coalesce(role, 'purged') AS role, phase FROM r) SELECT role, phase, count(*) AS n FROM x GROUP BY ROLLUP (role, phase)"),
     "robust_scale": (robust_scale, f"WITH {_S}, {_F}, {_P}, {_R}, {_Z} SELECT user_id, win, feature, round(z, 6) AS z FROM z"),
     "sequences": (sequences, f"WITH {_S}, {_F}, {_P}, {_R}, q AS (SELECT user_id, role, win, list(win) OVER (PARTITION BY user_id, role ORDER BY win ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l, min(win) OVER (PARTITION BY user_id, role) AS f0 FROM r WHERE role IS NOT NULL) SELECT user_id, role, win, array_to_string(list_transform(range(4 - len(l)), lambda i: f0) || l, ',') AS sequence FROM q"),
-    "topk_score": (topk_score, f"WITH {_S}, {_F}, {_P}, {_R}, {_Z} SELECT user_id, win, phase, role, round(score, 6) AS score FROM e"),
+    "topk_score": (topk_score, f"WITH {_S}, {_F}, {_P}, {_R}, {_Z} SELECT user_id, win, phase, role, score FROM e"),
     "threshold": (threshold, f"WITH {_S}, {_F}, {_P}, {_R}, {_Z} SELECT max(m) AS n, max(ceil((m - 1) * 0.9))::BIGINT AS at, round(max(score) FILTER (q = ceil((m - 1) * 0.9)), 6) AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS q, count(*) OVER () AS m FROM e WHERE role = 'calibration' AND user_id % 2 = 0)"),
     "alarm_starts": (alarm_starts, f"{_ALL} SELECT user_id, phase, win FROM a WHERE run = 2"),
     "first_alarm_after_onset": (first_alarm_after_onset, f"{_ALL}, o AS (SELECT user_id, coalesce(min(win) FILTER (phase = 'transition'), min(win) FILTER (phase = 'post_fault')) AS onset FROM p GROUP BY 1), l AS (SELECT user_id, min(win) AS alarm FROM a WHERE run = 2 AND phase = 'post_fault' GROUP BY 1) SELECT user_id, onset, alarm, round((alarm - onset + 1) * 5 / 100.0 * 1000, 3) AS delay_ms FROM o LEFT JOIN l USING (user_id) WHERE onset IS NOT NULL"),
