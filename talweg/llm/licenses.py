@@ -169,3 +169,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def sql() -> str:
+    """The same rows in SQL. A text with a key phrase but not the whole of a longer template gets a null score there, as SQL has no positional shares."""
+    pad = lambda words: " " + "  ".join(words) + " "  # noqa: E731  each word between blanks of its own
+    some = templates()
+    base = [t for t in some if t.base]
+    count = " + ".join(f"(length(s) - length(replace(s, '{pad(t.words)}', ''))) // {len(pad(t.words))}" for t in base)
+    before = lambda s: f"len(list_filter(string_split({s}, ' '), lambda x: x <> ''))"
+    first = ", ".join(f"CASE WHEN contains(s, '{pad(t.words)}') THEN {before(f"substr(s, 1, strpos(s, '{pad(t.words)}') - 1)")} END" for t in base)
+    last = ", ".join(f"CASE WHEN contains(s, '{pad(t.words)}') THEN n_words - {len(t.words)} - {before(f"substr(r, 1, strpos(r, '{pad(t.words)[::-1]}') - 1)")} END" for t in base)
+    named = lambda which: "list_filter([" + ", ".join(f"CASE WHEN contains(s, '{pad(t.words[: t.key])}') THEN '{t.label}' END" for t in which) + "], lambda x: x IS NOT NULL)"
+    joined = lambda which: f"array_to_string(list_sort(list_distinct({named(which)})), ',')"
+    whole = " OR ".join(f"contains(s, '{pad(t.words)}')" for t in some)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM w), q AS (SELECT *, reverse(s) AS r FROM p)
+SELECT doc_id, n_words, ({count})::BIGINT AS n_base, least({first}) AS first_word, greatest({last}) AS last_word, {joined(base)} AS base_labels, {joined(some)} AS labels,
+       CASE WHEN {whole} THEN 1.0::DOUBLE WHEN len({named(some)}) > 0 THEN NULL ELSE 0.0 END AS score
+FROM q"""

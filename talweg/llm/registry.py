@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exactdedup.SQL}
+    return {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exactdedup.SQL}
