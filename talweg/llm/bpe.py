@@ -27,7 +27,7 @@ from .common import slices
 #: How byte-level BPE splits text before merging (a fixed, public pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries a worker remembers, in each of two generations. A bound on memory only; results don't depend on it.
-MEMO = 500_000
+MEMO = 250_000
 #: Words of more bytes are proposed and merged one at a time.
 LONG_WORD = 96
 

@@ -24,6 +24,8 @@ from .common import slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Text scored at once: its n-grams take some eighty times the memory.
+SLICE = 1 << 19
 _LETTER: list[np.ndarray] = []
 
 
@@ -75,7 +77,7 @@ def fit(rows: DataFrame, label: Column, text_col: str = "text", key: Column | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", SLICE):
             bucket, start, _ = grams(b.column(0).to_pylist())
             bound = [*start.tolist(), len(bucket)]
             for k, name in enumerate(b.column(1).to_pylist()):
@@ -123,7 +125,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     kinds = [f.dataType.simpleString() for f in source.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", SLICE):
             lang, p = score(shared.value, b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*[f"_{k}" for k in range(len(keep))], "lang_pred", "score"])
 
