@@ -9,8 +9,10 @@ Texts with the same words are one vertex. Each distinct text gets samples in pro
 band, and texts that share a band are candidates. Within a bucket a text is paired with its nearest leader by the samples,
 and a text near to no leader becomes one; pairs are verified by the exact weighted Jaccard similarity and joined into
 components. Then the texts that still share a bucket with a candidate of another component are sent to that bucket, where
-all such candidates are compared exactly, so a link that no leader saw isn't lost. Buckets beyond `BUCKET` texts are dealt out by a hash, and the leaders of
-each part visit the others.
+all such candidates are compared exactly, so a link that no leader saw isn't lost. Buckets beyond `BUCKET` texts are dealt
+into parts by a hash, and the leaders of each part visit the others. Of such a bucket the texts outside its largest component
+are then sent to every part that may hold a candidate of theirs, leader or not: of two texts of different components one is
+outside the largest, so all candidates meet, as in a bucket that wasn't dealt out.
 
 Nulls: a null text has no words; texts without words are alone. A null id ranks last. Of the same rows one is kept. Ties go
 to the smallest id. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -19,6 +21,7 @@ to the smallest id. An empty table gives an empty result. Other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -228,45 +231,66 @@ def _nearest_visitor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
-def _cross(s: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
-    """Later members of other components that are candidates of member m."""
-    other = np.flatnonzero(c[m + 1 :] != c[m]) + m + 1
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, part, id, component, low, high, home, visitor, sig) sorted -> the texts and the other parts where each may have a candidate of another component.
+
+    A text agrees with a leader of its part in THRESHOLD at least, so by the triangle inequality a part without a leader
+    that agrees with the visitor in LEAST + THRESHOLD - 1 holds no candidate. low and high: the least and greatest
+    component among a leader's texts.
+    """
+    reach = LEAST + THRESHOLD - 1 - 1e-9
+    for bounds, (bucket, _, vertex, component, low, high, home, visitor, sig) in _grouped(batches):
+        text, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            guest, own = np.flatnonzero(visitor[i:j] == 1) + i, np.flatnonzero(visitor[i:j] == 0) + i
+            for x in own.tolist():
+                other = guest[(low[guest] != component[x]) | (high[guest] != component[x])]
+                parts = np.unique(home[other[(sig[other] == sig[x]).mean(1) >= reach]])
+                text.append(np.full(len(parts), x))
+                to.append(parts)
+        at, part = np.concatenate(text), np.concatenate(to)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at], pa.int64()), "part": pa.array(part, pa.int32()), "v": pa.array(vertex[at], pa.int64()), "c": pa.array(component[at], pa.int64()), "sig": pa.array([x.tobytes() for x in sig[at]], pa.binary())})
+
+
+def _cross(s: np.ndarray, c: np.ndarray, side: np.ndarray, m: int) -> np.ndarray:
+    """Later members of other components that are candidates of member m. Of sides 1 and 2 (members and visitors) only pairs across count."""
+    other = np.flatnonzero((c[m + 1 :] != c[m]) & ((side[m] == 0) | (side[m + 1 :] != side[m]))) + m + 1
     return other[(s[other] == s[m]).mean(1) >= LEAST]
 
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, part, id, component, sig) sorted -> the members that have a candidate of another component in their part."""
-    for bounds, (bucket, dealt, vertex, component, sig) in _grouped(batches):
+    """(bucket, unit, id, component, side, sig) sorted -> the members that have a candidate of another component in their unit."""
+    for bounds, (bucket, unit, vertex, component, sides, sig) in _grouped(batches):
         found = [np.zeros(0, np.int64)]
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            s, c = sig[i:j], component[i:j]
+            s, c, side = sig[i:j], component[i:j], sides[i:j]
             if (c == c[0]).all():
                 continue
             open_ = np.zeros(j - i, bool)
             for m in range(j - i - 1):
-                hit = _cross(s, c, m)
+                hit = _cross(s, c, side, m)
                 open_[hit] = True
                 open_[m] |= len(hit) > 0
             found.append(np.flatnonzero(open_) + i)
         at = np.concatenate(found)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at], pa.int64()), "part": pa.array(dealt[at], pa.int32()), "v": pa.array(vertex[at], pa.int64()), "c": pa.array(component[at], pa.int64()), "sig": pa.array([x.tobytes() for x in sig[at]], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at], pa.int64()), "unit": pa.array(unit[at], pa.int64()), "v": pa.array(vertex[at], pa.int64()), "c": pa.array(component[at], pa.int64()), "side": pa.array(sides[at], pa.int32()), "sig": pa.array([x.tobytes() for x in sig[at]], pa.binary())})
 
 
 def _exact_links(shared, threshold: float):
-    """(bucket, part, id, component, text, sig) sorted -> the links between components, every candidate compared exactly in place: pairs never leave the task."""
+    """(bucket, unit, id, component, side, text, sig) sorted -> the links between components, every candidate compared exactly in place: pairs never leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, (_, _, vertex, component, text, sig) in _grouped(batches):
+        for bounds, (_, _, vertex, component, sides, text, sig) in _grouped(batches):
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                s, c, v = sig[i:j], component[i:j], vertex[i:j]
+                s, c, side, v = sig[i:j], component[i:j], sides[i:j], vertex[i:j]
                 key, weight, doc = shingles(*words(pa.array(text[i:j], pa.string())), shared.value)
                 start = np.searchsorted(doc, np.arange(j - i + 1))
                 total = np.bincount(doc, weight, minlength=j - i)
                 _, place = np.unique(key, return_inverse=True)
                 own = np.zeros(place.max() + 1 if len(place) else 1)
                 for m in range(j - i - 1):
-                    hit = _cross(s, c, m)
+                    hit = _cross(s, c, side, m)
                     if not len(hit):
                         continue
                     mine = slice(start[m], start[m + 1])
@@ -336,14 +360,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     def labelled() -> DataFrame:
         return signed.join(known, signed.v == known.v, "left").select("bucket", "part", signed.v, F.coalesce("c", signed.v).alias("c"), "sig", "split")
 
-    def visits(rows: DataFrame) -> DataFrame:
+    def visits(leaders: DataFrame, rows: DataFrame) -> DataFrame:
         """Leaders of buckets that were dealt out, as they visit the other parts."""
-        leaders = stars.where("a = b").select("bucket", F.col("a").alias("v")).distinct().join(rows.where("split").select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"])
-        parts_of = held.where("split").select("bucket", "part").distinct()
-        return parts_of.join(leaders, "bucket").where("part <> home").select("bucket", "part", "v", "c", "sig")
-
-    def sort(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "v")
+        own = leaders.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"])
+        return parts_of.join(own, "bucket").where("part <> home")
+
+    def sort(rows: DataFrame, unit: str = "part") -> DataFrame:
+        return rows.repartition(n, "bucket", unit).sortWithinPartitions("bucket", unit, "v")
+
+    def away(rows: DataFrame) -> list[DataFrame]:
+        """Texts outside the largest component of a bucket that was dealt out, with the members of the parts they are sent to. A unit holds about BUCKET visitors at most."""
+        main = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        strays = staged(rows.join(main.join(parts_of, "bucket"), ["bucket", "part"]).where("c <> main").select("bucket", "part", "v", "c", F.col("c").alias("low"), F.col("c").alias("high"), F.col("part").alias("home"), F.lit(0).alias("visitor"), "sig"), "strays")
+        if not strays.limit(1).count():
+            return []
+        led = stars.join(parts_of.select("bucket").distinct(), "bucket", "left_semi").join(known, F.col("b") == F.col("v"), "left").select("bucket", "a", F.coalesce("c", "b").alias("c"))
+        balls = led.groupBy("bucket", F.col("a").alias("v")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        guests = visits(balls, rows).select("bucket", "part", "v", "c", "low", "high", "home", F.lit(1).alias("visitor"), "sig")
+        sent = staged(sort(strays.union(guests)).mapInArrow(_routes, "bucket long, part int, v long, c long, sig binary"), "visitors")
+        units = staged(sent.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("units")), "visited-parts")
+        unit = lambda salt: (F.col("part") + (salt + 1) * F.lit(1 << 32)).alias("unit")
+        come = sent.join(units, ["bucket", "part"]).select("bucket", unit(F.pmod(F.xxhash64("v"), "units")), "v", "c", F.lit(2).alias("side"), "sig")
+        own = rows.join(units, ["bucket", "part"]).select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("salt"))
+        return [come, own.select("bucket", unit(F.col("salt")), "v", "c", F.lit(1).alias("side"), "sig")]
 
     def verify(pairs: DataFrame) -> int:
         """Verify pairs not tested before, and join what they link; how many there were."""
@@ -357,18 +396,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         return found
 
     known = components(links.select("a", "b"))
+    meet = []
     if held.where("split").limit(1).count():
-        rows = labelled()
-        guests = visits(rows).select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
-        home = rows.where("split").select("bucket", "part", "v", "c", F.lit(0).alias("visitor"), "sig")
+        parts_of = staged(held.where("split").select("bucket", "part").distinct(), "parts")
+        leaders = stars.where("a = b").select("bucket", F.col("a").alias("v")).distinct()
+        rows = labelled().where("split")
+        guests = visits(leaders, rows).select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
+        home = rows.select("bucket", "part", "v", "c", F.lit(0).alias("visitor"), "sig")
         verify(sort(home.union(guests)).mapInArrow(_nearest_visitor, "a long, b long"))
-    rows = labelled()
-    meet = sort(rows.select("bucket", "part", "v", "c", "sig").union(visits(rows)))
-    open_ = staged(meet.mapInArrow(_open_members, "bucket long, part int, v long, c long, sig binary"), "open-members")
+        meet = away(labelled().where("split"))
+    meet = [labelled().select("bucket", F.col("part").cast("long").alias("unit"), "v", "c", F.lit(0).alias("side"), "sig"), *meet]
+    open_ = staged(sort(reduce(DataFrame.union, meet), "unit").mapInArrow(_open_members, "bucket long, unit long, v long, c long, side int, sig binary"), "open-members")
     if open_.limit(1).count():
         text = docs.select(F.xxhash64(id_col, text_col).alias("_k"), F.col(text_col).alias("_t"))
-        told = open_.join(text, F.col("v") == F.col("_k")).select("bucket", "part", "v", "c", "_t", "sig")
-        last = staged(_ordered(sort(told).mapInArrow(_exact_links(shared, threshold), "a long, b long")), "last-links")
+        told = open_.join(text, F.col("v") == F.col("_k")).select("bucket", "unit", "v", "c", "side", "_t", "sig")
+        last = staged(_ordered(sort(told, "unit").mapInArrow(_exact_links(shared, threshold), "a long, b long")), "last-links")
         known = components(links.select("a", "b").unionByName(last))
     labels = member.join(known, member.rep == known.v, "left").select("_row", "_key", "_id", F.when(F.col("alone"), F.xxhash64("_key", "_row")).otherwise(F.coalesce("c", "rep")).alias("_class"))
     labels = staged(labels, "near-labels")

@@ -233,6 +233,64 @@ def test_near_copies_are_joined_and_others_left(spark, monkeypatch, bucket):
     assert all(got[i] == i for i in (*range(100, 140), 200, 204, 205)) and got[201] == rows[50][0] and got[203] == 202
 
 
+def _classes_by_brute_force(d, rows):
+    """All texts that share a band and agree in LEAST, compared exactly, whatever the size of a bucket."""
+    import pyarrow as pa
+
+    idf = neardup.word_rarity(d)
+    text = pa.array([t for _, t in rows])
+    sig = neardup.signatures(*neardup.shingles(*neardup.words(text), idf), len(rows))
+    least = list(range(len(rows)))
+    find = lambda k: k if least[k] == k else find(least[k])
+    for a in range(len(rows)):
+        same = sig[a + 1 :] == sig[a]
+        near = np.flatnonzero(same.reshape(-1, neardup.BANDS, neardup.ROWS).all(2).any(1) & (same.mean(1) >= neardup.LEAST)) + a + 1
+        good = neardup.similarity(pa.array([rows[a][1]] * len(near), pa.string()), text.take(pa.array(near)), idf) >= neardup.THRESHOLD
+        for b in near[good].tolist():
+            x, y = sorted((find(a), find(b)))
+            least[y] = x
+    return {rows[k][0]: rows[find(k)][0] for k in range(len(rows))}
+
+
+def test_links_between_texts_that_lead_nothing(spark, monkeypatch):
+    """Pairs of near copies whose samples agree with an original that the exact similarity refuses: no leader links them."""
+    monkeypatch.setattr(neardup, "BUCKET", 20)
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghij", k=4)) for _ in range(2000)]
+    fresh = lambda n: ["changed" + str(r.random())[2:] for _ in range(n)]
+    base, rows = r.choices(vocabulary, k=200), []
+    for i in range(60):
+        at = r.randrange(199)
+        rows.append((i, " ".join(base[:at] + fresh(1) + base[at + 1 :])))
+    for i in range(80):
+        at = r.randrange(170)
+        own = base[:at] + fresh(15) + base[at + 15 :]
+        rows += [(1000 + 2 * i, " ".join(own)), (1001 + 2 * i, " ".join(own[:-1] + fresh(1)))]
+    d = docs(spark, rows).repartition(3)
+    assert {x["doc_id"]: x["class_id"] for x in neardup.dedup(d).collect()} == _classes_by_brute_force(d, rows)
+
+
+def test_texts_that_lead_nothing_meet_across_parts():
+    """Texts 1 (part 0) and 2 (part 1) are near to each other and lead nothing; 9 leads text 2, and its component is that of text 1."""
+    import pyarrow as pa
+
+    def batch(rows, *names):
+        kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+        return iter([pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[*names])])
+
+    lead = np.arange(neardup.SAMPLES, dtype=np.uint32)
+    one, two = lead.copy(), lead.copy()
+    one[:8], two[2:8] = 100, 100
+    far = lead + np.uint32(1000)
+    rows = [(5, 0, 1, 1, 1, 1, 0, 0, one.tobytes()), (5, 0, 3, 3, 3, 3, 0, 0, far.tobytes()), (5, 0, 9, 1, 1, 2, 1, 1, lead.tobytes())]
+    names = ["bucket", "part", "v", "c", "low", "high", "home", "visitor", "sig"]
+    sent = pa.Table.from_batches(neardup._routes(batch(rows, *names))).to_pylist()
+    assert [(x["bucket"], x["part"], x["v"], x["c"]) for x in sent] == [(5, 1, 1, 1)]
+    unit = [(5, 1, 1, 1, 2, one.tobytes()), (5, 1, 2, 2, 1, two.tobytes()), (5, 1, 4, 4, 2, one.tobytes()), (5, 1, 9, 1, 1, far.tobytes())]
+    met = pa.Table.from_batches(neardup._open_members(batch(unit, "bucket", "unit", "v", "c", "side", "sig"))).to_pylist()
+    assert [x["v"] for x in met] == [1, 2, 4]
+
+
 def test_weighted_jaccard_and_samples_agree():
     import pyarrow as pa
 
