@@ -1,8 +1,8 @@
 """Toxicity: a logistic classifier regularised by counterfactuals.
 
 Features are whole words and word beginnings of four to six bytes; those that tell the classes apart best (by chi-square)
-are kept, and the identity terms always. For each labelled text that names an identity, a copy with the term swapped for
-another of its group is made, and training penalises the squared difference of the two scores (before the logistic), so a
+are kept, and the identity terms and their beginnings always. For each labelled text that names an identity, a copy of the
+text with the term swapped for another of its group is made, so its beginnings change as well, and training penalises the squared difference of the two scores (before the logistic), so a
 neutral mention of a group doesn't raise a score.
 
 The model is fitted on at most about `fit_rows` labelled rows, chosen by a hash of the id (a documented bound). Nulls: a
@@ -13,6 +13,7 @@ rate. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,9 +45,21 @@ _WORD = np.zeros(256, bool)
 _WORD[97:123] = _WORD[128:] = True
 
 
-def _hash_word(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hash(BYTE_VALUE[raw], np.array([0]), np.array([len(raw)]))[0])
+_NEXT = {g[k].encode(): g[(k + 1) % len(g)].encode() for g in IDENTITY for k in range(len(g))}
+_TERM = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(_NEXT) + rb")(?![a-z\x80-\xff])")
+
+
+def counterfactuals(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Places of the texts that name an identity, and a copy of each with every term swapped for the next of its kind."""
+    raw, bounds = text_buffer(column)
+    data = _LOWER[raw].tobytes()
+    at, copies = [], []
+    for k in range(len(column)):
+        copy, n = _TERM.subn(lambda m: _NEXT[m[0]], data[bounds[k] : bounds[k + 1]])
+        if n:
+            at.append(k)
+            copies.append(copy)
+    return np.array(at, np.int64), pa.array(copies, pa.binary())
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +120,6 @@ def _train(rows: list[np.ndarray], label: np.ndarray, swapped: list[tuple[int, n
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penalty: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> Model:
     """Learn from rows of text and label (0 or 1), a bounded sample."""
     sample = staged(rows.select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label")).repartition(8), "toxic-sample")
-    terms = [(_hash_word(g[k]), _hash_word(g[(k + 1) % len(g)])) for g in IDENTITY for k in range(len(g))]
     signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,22 +141,27 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penal
     expected = F.col("n") * (ones / (ones + zeros))
     chi = F.pow(F.col("n1") - expected, 2) / expected
     best = sample.mapInArrow(count, "h long, n1 long, n long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where("n >= 3").orderBy(chi.desc(), "h").limit(FEATURES).select("h").toPandas()["h"]
-    chosen = np.unique(np.concatenate([best.to_numpy(np.int64).view(np.uint64), np.array([a for a, _ in terms], np.uint64)]))
+    chosen = np.unique(np.concatenate([best.to_numpy(np.int64).view(np.uint64), features(pa.array(list(_NEXT), pa.binary()))[0]]))
+
+    def held(column: pa.Array) -> list[np.ndarray]:
+        """The chosen features of each text."""
+        h, doc = features(column)
+        at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
+        hit = chosen[at] == h
+        pair = np.unique(doc[hit] * len(chosen) + at[hit])
+        return np.split((pair % len(chosen)).astype(np.int32), np.searchsorted(pair, np.arange(1, len(column)) * len(chosen))) if len(column) else []
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            h, doc = features(b.column(0))
-            at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-            hit = chosen[at] == h
-            pair = np.unique(doc[hit] * len(chosen) + at[hit])
-            ends = np.searchsorted(pair, np.arange(b.num_rows + 1) * len(chosen))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pair % len(chosen)).astype(np.int32))), b.column(1)], names=["f", "label"])
-
-    small = sample.mapInArrow(reduce, "f array<int>, label int").toPandas()  # a few integers for each row of the bounded sample
-    order = sorted(range(len(small)), key=lambda k: (small["label"][k], list(small["f"][k])))  # the same model whatever the order of tasks
+            at, copies = counterfactuals(b.column(0))
+            swaps = dict(zip(at.tolist(), held(copies)))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(held(b.column(0)), kind), pa.array([swaps.get(k) for k in range(b.num_rows)], kind), b.column(1)], names=["f", "g", "label"])
+
+    small = sample.mapInArrow(reduce, "f array<int>, g array<int>, label int").toPandas()  # a few integers for each row of the bounded sample
+    order = sorted(range(len(small)), key=lambda k: (small["label"][k], list(small["f"][k]), [] if small["g"][k] is None else list(small["g"][k])))  # the same model whatever the order of tasks
     data, label = [np.asarray(small["f"][k], np.int64) for k in order], small["label"].to_numpy(float)[order]
-    swap = {int(np.searchsorted(chosen, np.uint64(a))): int(np.searchsorted(chosen, np.uint64(b))) for a, b in terms}
-    swapped = [(k, np.unique([swap.get(int(j), int(j)) for j in x])) for k, x in enumerate(data) if any(int(j) in swap for j in x)]
+    swapped = [(k, np.asarray(small["g"][j], np.int64)) for k, j in enumerate(order) if small["g"][j] is not None]
     w, b = _train(data, label, swapped, len(chosen), penalty, ridge, steps)
     return Model(chosen, w, b)
 

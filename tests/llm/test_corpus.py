@@ -180,6 +180,21 @@ def test_counterfactual_penalty_evens_out_terms():
     assert abs(held[0] - held[1]) < 0.1 * abs(free[0] - free[1])
 
 
+def test_counterfactual_penalty_reaches_beginnings_of_terms(spark):
+    import pyarrow as pa
+
+    r = random.Random(13)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(50)]
+    rows = [(" ".join(r.choices(words, k=8) + (["Muslim", "immigrants", "idiot"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(200)]
+    d = spark.createDataFrame(rows, "text string, label int")
+    odds = lambda p: np.log(p / (1 - p))
+    gap = []
+    for penalty in (0.0, 10.0):
+        a, b = (odds(toxicity.fit(d, penalty=penalty).score(pa.array([x]))[0]) for x in ("the muslim immigrants spoke", "the christian natives spoke"))
+        gap.append(abs(a - b))
+    assert gap[1] < 0.1 * gap[0]
+
+
 def test_neighbours_against_brute_force(spark):
     g = np.random.default_rng(8)
     centers = g.normal(size=(12, 16))
