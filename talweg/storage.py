@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only where that is unset (local tests), a temporary folder."""
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
+
+    Only a local session (in a test) may leave that unset; it gets a temporary folder.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
         if not place:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="talweg-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             place = f"file://{own}"
@@ -29,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written to the shared folder and read again: its lineage is cut, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
