@@ -1,58 +1,49 @@
-"""What the corpus operators share: table access, shared storage, Arrow text buffers and vectorised hashing."""
+"""What the corpus operators share: the rows that stay, Arrow text buffers and vectorised hashing."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talweg.storage import shared_dir, staged, table  # noqa: F401  (for the operators)
 
 #: Text handled at once inside a task. Bounds a worker's arrays whatever the length of an Arrow batch.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    This is `spark.checkpoint.dir`. Only where it is unset (a local session in a test) is a temporary folder set up.
-    """
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(place)
-        return place.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        own = tempfile.mkdtemp(prefix="talweg-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{own}")
-        known = sc._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: its lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_rows(decided: DataFrame) -> DataFrame:
+    """id, key, n of the kept rows of (id, key, kept), n being the rows of the id, kept or not."""
+    n = decided.groupBy(F.col("id").alias("own")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = decided.where("kept").select("id", "key")
+    return kept.join(n, F.col("id").eqNullSafe(F.col("own")), "left").select("id", "key", F.coalesce("n", F.lit(1)).alias("n"))
+
+
+def one_each(docs: DataFrame, stay: DataFrame, id_col: str, key: Column, text_col: str) -> DataFrame:
+    """The rows of docs that stay, one for each (id, key), with all columns.
+
+    stay: id, key, n (rows of that id in docs), decided on narrow columns; so the texts are shuffled once, by id. Only where
+    an id has several rows are they told apart by their key; of rows that share both the longest text stays, then the greatest.
+    """
+    stay = staged(stay, "stay")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
+    if not stay.where("n > 1").limit(1).count():
+        own = stay.select(F.col("id").alias("own"))
+        return rows.join(own, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("doc.*")
+    text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
+    each = rows.withColumn("key", key).groupBy("id", "key").agg(F.max_by("doc", F.struct(F.length(text), text)).alias("doc"))
+    own = stay.select(F.col("id").alias("own"), F.col("key").alias("own_key"))
+    return each.join(own, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")), "left_semi").select("doc.*")
 
 
 def input_partitions(df: DataFrame, least: int = 1) -> int:

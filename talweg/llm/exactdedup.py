@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import one_each, staged, with_rows
 
 #: Characters in a block.
 BLOCK = 8192
@@ -86,23 +86,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stay = dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    found = docs.withColumn("_sha", sha).join(stay, F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha")), "left_semi")
-    # Rows of one id whose texts are equal but for blanks can't be told apart by that key: of those one stays.
-    many = docs.groupBy(F.col(id_col).alias("_mid")).count().where("count > 1").select("_mid")
-    twice = F.col(id_col).eqNullSafe(F.col("_mid"))
-    rank = F.row_number().over(_per(id_col, text))
-    kept = found.join(many, twice, "left_semi").withColumn("_k", rank).where("_k = 1").drop("_k")
-    return found.join(many, twice, "left_anti").unionByName(kept).select(*docs.columns)
-
-
-def _per(id_col: str, text: Column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.col(id_col), F.col("_sha")).orderBy(F.length(text).desc(), text)
+    """The rows that stay, with all their columns, whatever their names. Of equal rows one stays, as in `dedup`."""
+    decided = dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept")
+    return one_each(docs, with_rows(decided), id_col, F.sha2(normalised(F.col("doc").getField(text_col)).cast("binary"), 256), text_col)
 
 
 #: The same rows in SQL.

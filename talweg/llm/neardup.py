@@ -10,9 +10,12 @@ band, and texts that share a band are candidates. Within a bucket a text is pair
 and a text near to no leader becomes one; pairs are verified by the exact weighted Jaccard similarity and joined into
 components. Then the texts that still share a bucket with a candidate of another component are sent to that bucket, where
 all such candidates are compared exactly, so a link that no leader saw isn't lost. Buckets beyond `BUCKET` texts are dealt
-into parts by a hash, and the leaders of each part visit the others. Of such a bucket the texts outside its largest component
-are then sent to every part that may hold a candidate of theirs, leader or not: of two texts of different components one is
-outside the largest, so all candidates meet, as in a bucket that wasn't dealt out.
+into parts by a hash; the leaders of the parts meet in parts of their own, round by round, until one part is left, whose
+leaders visit all parts. Of such a bucket the texts outside its largest component are then sent to every part that may hold a
+candidate of theirs, leader or not: of two texts of different components one is outside the largest, so all candidates meet,
+as in a bucket that wasn't dealt out.
+
+Rows are known by a hash of id and text; that no two different rows share one is checked, else another seed is taken.
 
 Nulls: a null text has no words; texts without words are alone. A null id ranks last. Of the same rows one is kept. Ties go
 to the smallest id. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -25,19 +28,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, input_partitions, mix, slices, span_hash, staged, text_buffer, word_spans
+from .common import BYTE_VALUE, input_partitions, mix, one_each, slices, span_hash, staged, text_buffer, with_rows, word_spans
 from .graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 #: Texts of one bucket compared in one place.
-BUCKET = 1000
+BUCKET = 256
 #: Candidates whose samples agree less are not verified: 48 samples of a pair at 0.8 agree in under 0.6 once in a thousand.
 LEAST = 0.6
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +48,7 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _U = np.uint64
+_SLOT = _U(64 - SLOTS.bit_length() + 1)
 
 
 def _pool() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +77,7 @@ def shingles(word: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.n
     doc = np.repeat(np.arange(n), runs)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + first[doc]
     have = np.minimum(count[doc], WORDS)
-    rare = idf[(word >> _U(48)).astype(np.int64)]
+    rare = idf[(word >> _SLOT).astype(np.int64)]
     h, total = np.zeros(len(doc), _U), np.zeros(len(doc), np.float64)
     padded, rare = np.append(word, np.zeros(WORDS, _U)), np.append(rare, np.zeros(WORDS))
     for k in range(WORDS):
@@ -120,7 +124,7 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for b in slices(batches, "_text"):
             word, count = words(b.column(0))
             doc = np.repeat(np.arange(b.num_rows), count)
-            seen = np.unique(doc * SLOTS + (word >> _U(48)).astype(np.int64))
+            seen = np.unique(doc * SLOTS + (word >> _SLOT).astype(np.int64))
             total += np.bincount(seen % SLOTS, minlength=SLOTS)
             n += b.num_rows
         at = np.flatnonzero(total)
@@ -133,9 +137,13 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((n + 1) / (full[:SLOTS] + 1)) / np.log(max(n + 1, 2))
 
 
-def _sketched(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
+def row_key(seed: int, id_: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), id_, text)
+
+
+def _sketched(docs: DataFrame, shared, seed: int, id_col: str, text_col: str) -> DataFrame:
     """_key, id, h1, h2 (of the words), n_words, sig, bands of every document."""
-    source = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(row_key(seed, F.col(id_col), F.col(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -322,9 +330,8 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.divide(common, every, out=np.zeros(n), where=every > 0)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shared, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) of row keys whose texts are similar enough, staged."""
-    text = docs.select(F.xxhash64(id_col, text_col).alias("_k"), F.col(text_col).alias("_t"))
+def _verified(pairs: DataFrame, text: DataFrame, shared, threshold: float) -> DataFrame:
+    """The pairs (a, b) of row keys whose texts (_k, _t) are similar enough, staged."""
     right = pairs.join(text, F.col("b") == F.col("_k")).select("a", "b", F.col("_t").alias("_right"))
     whole = right.join(text, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_left"), "_right")
 
@@ -336,94 +343,150 @@ def _verified(pairs: DataFrame, docs: DataFrame, shared, id_col: str, text_col:
     return staged(whole.mapInArrow(run, "a long, b long, similarity double").distinct(), "near-links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, class_id (the least id of its class), class_size, kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(word_rarity(docs, text_col))
-    sketched = staged(_sketched(docs, shared, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    same = staged(sketched.where("n_words > 0").groupBy("h1", "h2").agg(F.min("_key").alias("rep")), "distinct-texts")
-    member = sketched.select("_row", "_key", "_id", "h1", "h2").join(same, ["h1", "h2"], "left").select("_row", "_key", "_id", F.coalesce("rep", "_key").alias("rep"), F.col("rep").isNull().alias("alone"))
-    vertex = sketched.join(same, ["h1", "h2"]).where("_key = rep").select(F.col("rep").alias("v"), "sig", "bands").dropDuplicates(["v"])
-    vertex = staged(vertex, "vertices")
-    keyed = vertex.select("v", F.explode("bands").alias("bucket"))
-    many = staged(keyed.groupBy("bucket").count().where("count > 1"), "buckets")
-    parts = F.ceil(F.col("count") / BUCKET)
-    held = keyed.join(many, "bucket").select("bucket", F.pmod(F.xxhash64("v", "bucket"), parts).cast("int").alias("part"), "v", (F.col("count") > BUCKET).alias("split"))
-    held = staged(held, "bucket-members")
-    n = input_partitions(docs)
-    signed = held.join(vertex.select("v", "sig"), "v")
-    sorted_ = signed.select("bucket", "part", "v", "sig").repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "v")
-    stars = staged(sorted_.mapInArrow(_stars, "bucket long, a long, b long"), "stars")
-    tested = staged(_ordered(stars.select("a", "b")), "star-pairs")
-    links = _verified(tested, docs, shared, id_col, text_col, threshold)
-
-    def labelled() -> DataFrame:
-        return signed.join(known, signed.v == known.v, "left").select("bucket", "part", signed.v, F.coalesce("c", signed.v).alias("c"), "sig", "split")
-
-    def visits(leaders: DataFrame, rows: DataFrame) -> DataFrame:
-        """Leaders of buckets that were dealt out, as they visit the other parts."""
-        own = leaders.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"])
-        return parts_of.join(own, "bucket").where("part <> home")
-
-    def sort(rows: DataFrame, unit: str = "part") -> DataFrame:
-        return rows.repartition(n, "bucket", unit).sortWithinPartitions("bucket", unit, "v")
-
-    def away(rows: DataFrame) -> list[DataFrame]:
+def _keyed(docs: DataFrame, shared, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The sketches of all rows, staged, and the seed with which their keys tell different rows apart."""
+    for seed in range(8):
+        sketched = staged(_sketched(docs, shared, seed, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+        what = F.struct(F.col("_id").isNull().alias("null"), "_id", "h1", "h2")
+        if not sketched.groupBy("_key").agg(F.min(what).alias("a"), F.max(what).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).limit(1).count():
+            return sketched, seed
+    raise RuntimeError("no seed tells all rows apart")
+
+
+def _dealt(rows: DataFrame, salt: int = 0) -> DataFrame:
+    """(bucket, v) rows with their part of the bucket and whether it has several parts. Buckets of one row drop out."""
+    many = rows.groupBy("bucket").count().where("count > 1")
+    part = F.pmod(F.xxhash64("v", "bucket", F.lit(salt)), F.ceil(F.col("count") / BUCKET)).cast("int")
+    return rows.join(many, "bucket").select("bucket", part.alias("part"), "v", (F.col("count") > BUCKET).alias("split"))
+
+
+class _Search:
+    """Candidates, their verification and the components that follow, over staged sketches."""
+
+    def __init__(self, vertex: DataFrame, text: DataFrame, shared, threshold: float, partitions: int) -> None:
+        self.text, self.shared, self.threshold, self.n = text, shared, threshold, partitions
+        self.sig = vertex.select("v", "sig")
+        held = staged(_dealt(vertex.select("v", F.explode("bands").alias("bucket"))), "bucket-members")
+        self.signed = held.join(self.sig, "v")
+        self.parts = held.where("split").select("bucket", "part").distinct()
+        self.split = bool(held.where("split").limit(1).count())
+        self.tested = self.links = self.known = None
+
+    def sort(self, rows: DataFrame, unit: str = "part") -> DataFrame:
+        return rows.repartition(self.n, "bucket", unit).sortWithinPartitions("bucket", unit, "v")
+
+    def stars(self, rows: DataFrame, name: str = "stars") -> DataFrame:
+        return staged(self.sort(rows.select("bucket", "part", "v", "sig")).mapInArrow(_stars, "bucket long, a long, b long"), name)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verify pairs not tested before, and join what they link."""
+        fresh = _ordered(pairs)
+        new = staged(fresh.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else fresh, "star-pairs")
+        if self.known is None or new.limit(1).count():
+            found = _verified(new, self.text, self.shared, self.threshold)
+            self.tested, self.links = (new, found) if self.tested is None else (self.tested.unionByName(new), self.links.unionByName(found))
+            self.known = components(self.links.select("a", "b"))
+
+    def labelled(self) -> DataFrame:
+        known = self.known.withColumnRenamed("v", "w")
+        return self.signed.join(known, F.col("v") == F.col("w"), "left").select("bucket", "part", "v", F.coalesce("c", "v").alias("c"), "sig", "split")
+
+    def champions(self, stars: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Leaders of the last of the rounds in which the leaders of a bucket's parts meet, and the stars of those rounds.
+
+        A bucket whose leaders hardly get fewer in a round has none; `away` finds its links all the same.
+        """
+        level = stars.where("a = b").join(self.parts.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("a").alias("v"))
+        champions, rounds, before = [], [], 0
+        for k in range(1, 64):
+            dealt = staged(_dealt(level, k), "leaders")
+            now = dealt.count()
+            if not now or (before and now > before * 0.7):
+                break
+            before = now
+            rounds.append(self.stars(dealt.join(self.sig, "v"), "round"))
+            led = rounds[-1].where("a = b").select("bucket", F.col("a").alias("v"))
+            open_ = dealt.where("split").select("bucket").distinct()
+            champions.append(led.join(open_, "bucket", "left_anti"))
+            level = led.join(open_, "bucket", "left_semi")
+        return reduce(DataFrame.union, champions, level.limit(0)).distinct(), rounds
+
+    def visit(self, champions: DataFrame) -> None:
+        """Each text of a bucket that was dealt out meets the bucket's champions."""
+        rows = self.labelled().where("split")
+        own = champions.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"])
+        guests = self.parts.join(own, "bucket").where("part <> home").select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
+        home = rows.select("bucket", "part", "v", "c", F.lit(0).alias("visitor"), "sig")
+        self.verify(self.sort(home.union(guests)).mapInArrow(_nearest_visitor, "a long, b long"))
+
+    def away(self, stars: DataFrame) -> list[DataFrame]:
         """Texts outside the largest component of a bucket that was dealt out, with the members of the parts they are sent to. A unit holds about BUCKET visitors at most."""
+        rows = self.labelled().where("split")
         main = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        strays = staged(rows.join(main.join(parts_of, "bucket"), ["bucket", "part"]).where("c <> main").select("bucket", "part", "v", "c", F.col("c").alias("low"), F.col("c").alias("high"), F.col("part").alias("home"), F.lit(0).alias("visitor"), "sig"), "strays")
+        strays = staged(rows.join(main, "bucket").where("c <> main").select("bucket", "part", "v", "c", F.col("c").alias("low"), F.col("c").alias("high"), F.col("part").alias("home"), F.lit(0).alias("visitor"), "sig"), "strays")
         if not strays.limit(1).count():
             return []
-        led = stars.join(parts_of.select("bucket").distinct(), "bucket", "left_semi").join(known, F.col("b") == F.col("v"), "left").select("bucket", "a", F.coalesce("c", "b").alias("c"))
-        balls = led.groupBy("bucket", F.col("a").alias("v")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        guests = visits(balls, rows).select("bucket", "part", "v", "c", "low", "high", "home", F.lit(1).alias("visitor"), "sig")
-        sent = staged(sort(strays.union(guests)).mapInArrow(_routes, "bucket long, part int, v long, c long, sig binary"), "visitors")
-        units = staged(sent.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("units")), "visited-parts")
+        # Leaders, with the components among their texts, meet the strays of each other part in units of a few BUCKETs.
+        known = self.known.withColumnRenamed("v", "w")
+        led = stars.join(strays.select("bucket").distinct(), "bucket", "left_semi").join(known, F.col("b") == F.col("w"), "left").select("bucket", "a", F.coalesce("c", "b").alias("c"))
+        balls = staged(led.groupBy("bucket", F.col("a").alias("v")).agg(F.min("c").alias("low"), F.max("c").alias("high")), "balls")
+        salts = balls.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (4 * BUCKET)).alias("salts"))
         unit = lambda salt: (F.col("part") + (salt + 1) * F.lit(1 << 32)).alias("unit")
+        own = balls.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"]).join(salts, "bucket")
+        guests = strays.select("bucket", "part").distinct().join(own, "bucket").where("part <> home").select("bucket", unit(F.pmod(F.xxhash64("v"), "salts")), "v", "c", "low", "high", "home", F.lit(1).alias("visitor"), "sig")
+        hosts = strays.join(salts, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("bucket", unit(F.col("salt")), "v", "c", "low", "high", "home", "visitor", "sig")
+        sent = staged(self.sort(hosts.union(guests), "unit").mapInArrow(_routes, "bucket long, part int, v long, c long, sig binary").dropDuplicates(["bucket", "part", "v"]), "visitors")
+        units = staged(sent.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("units")), "visited-parts")
         come = sent.join(units, ["bucket", "part"]).select("bucket", unit(F.pmod(F.xxhash64("v"), "units")), "v", "c", F.lit(2).alias("side"), "sig")
-        own = rows.join(units, ["bucket", "part"]).select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("salt"))
-        return [come, own.select("bucket", unit(F.col("salt")), "v", "c", F.lit(1).alias("side"), "sig")]
-
-    def verify(pairs: DataFrame) -> int:
-        """Verify pairs not tested before, and join what they link; how many there were."""
-        nonlocal tested, links, known
-        new = staged(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        found = new.count()
-        if found:
-            tested = tested.unionByName(new)
-            links = links.unionByName(_verified(new, docs, shared, id_col, text_col, threshold))
-            known = components(links.select("a", "b"))
-        return found
-
-    known = components(links.select("a", "b"))
-    meet = []
-    if held.where("split").limit(1).count():
-        parts_of = staged(held.where("split").select("bucket", "part").distinct(), "parts")
-        leaders = stars.where("a = b").select("bucket", F.col("a").alias("v")).distinct()
-        rows = labelled().where("split")
-        guests = visits(leaders, rows).select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
-        home = rows.select("bucket", "part", "v", "c", F.lit(0).alias("visitor"), "sig")
-        verify(sort(home.union(guests)).mapInArrow(_nearest_visitor, "a long, b long"))
-        meet = away(labelled().where("split"))
-    meet = [labelled().select("bucket", F.col("part").cast("long").alias("unit"), "v", "c", F.lit(0).alias("side"), "sig"), *meet]
-    open_ = staged(sort(reduce(DataFrame.union, meet), "unit").mapInArrow(_open_members, "bucket long, unit long, v long, c long, side int, sig binary"), "open-members")
-    if open_.limit(1).count():
-        text = docs.select(F.xxhash64(id_col, text_col).alias("_k"), F.col(text_col).alias("_t"))
-        told = open_.join(text, F.col("v") == F.col("_k")).select("bucket", "unit", "v", "c", "side", "_t", "sig")
-        last = staged(_ordered(sort(told, "unit").mapInArrow(_exact_links(shared, threshold), "a long, b long")), "last-links")
-        known = components(links.select("a", "b").unionByName(last))
-    labels = member.join(known, member.rep == known.v, "left").select("_row", "_key", "_id", F.when(F.col("alone"), F.xxhash64("_key", "_row")).otherwise(F.coalesce("c", "rep")).alias("_class"))
-    labels = staged(labels, "near-labels")
+        home = rows.join(units, ["bucket", "part"]).select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("salt"))
+        return [come, home.select("bucket", unit(F.col("salt")), "v", "c", F.lit(1).alias("side"), "sig")]
+
+    def last_links(self, meet: list[DataFrame]) -> None:
+        """Every candidate of another component that meets in a unit, compared exactly."""
+        kinds = "bucket long, unit long, v long, c long, side int, sig binary"
+        open_ = staged(self.sort(reduce(DataFrame.union, meet), "unit").mapInArrow(_open_members, kinds), "open-members")
+        if open_.limit(1).count():
+            told = open_.join(self.text, F.col("v") == F.col("_k")).select("bucket", "unit", "v", "c", "side", "_t", "sig")
+            last = staged(_ordered(self.sort(told, "unit").mapInArrow(_exact_links(self.shared, self.threshold), "a long, b long")), "last-links")
+            self.known = components(self.links.select("a", "b").unionByName(last))
+
+    def run(self) -> DataFrame:
+        """(v, c) of every vertex that has a link."""
+        stars = self.stars(self.signed)
+        champions, rounds = self.champions(stars) if self.split else (None, [])
+        self.verify(reduce(DataFrame.unionByName, [stars, *rounds]).select("a", "b"))
+        meet = []
+        if self.split:
+            self.visit(champions)
+            meet = self.away(stars)
+        own = self.labelled().select("bucket", F.col("part").cast("long").alias("unit"), "v", "c", F.lit(0).alias("side"), "sig")
+        self.last_links([own, *meet])
+        return self.known
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
+    """One row per document: id, class_id (the least id of its class), class_size, kept, _key; and the seed of the keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_rarity(docs, text_col))
+    sketched, seed = _keyed(docs, shared, id_col, text_col)
+    same = staged(sketched.where("n_words > 0").groupBy("h1", "h2").agg(F.min("_key").alias("rep")), "distinct-texts")
+    member = sketched.select("_row", "_key", "_id", "h1", "h2").join(same, ["h1", "h2"], "left").select("_row", "_key", "_id", F.coalesce("rep", "_key").alias("rep"), F.col("rep").isNull().alias("alone"))
+    vertex = sketched.join(same, ["h1", "h2"]).where("_key = rep").select(F.col("rep").alias("v"), "sig", "bands").dropDuplicates(["v"])
+    text = docs.select(row_key(seed, F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_t"))
+    known = _Search(staged(vertex, "vertices"), text, shared, threshold, input_partitions(docs)).run()
+    of = F.struct(F.coalesce("c", "rep").alias("c"), F.when(F.col("alone"), F.col("_row")).alias("row"))
+    labels = staged(member.join(known, F.col("rep") == F.col("v"), "left").select("_row", "_key", "_id", of.alias("_class")), "near-labels")
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_row"))
     least = staged(labels.groupBy("_class").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("class_size")), "near-classes")
-    return labels.join(least, "_class").select(F.col("_id").alias(id_col), F.col("_first._id").alias("class_id"), "class_size", (F.col("_row") == F.col("_first._row")).alias("kept"), F.col("_key"))
+    return labels.join(least, "_class").select(F.col("_id").alias(id_col), F.col("_first._id").alias("class_id"), "class_size", (F.col("_row") == F.col("_first._row")).alias("kept"), F.col("_key")), seed
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    return classes(docs, id_col, text_col, threshold).drop("_key")
+    return classes(docs, id_col, text_col, threshold)[0].drop("_key")
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with all its columns. Rows that agree in id and text stay together."""
-    stay = classes(docs, id_col, text_col, threshold).where("kept").select(F.col("_key").alias("_stay"))
-    return docs.join(stay, F.xxhash64(id_col, text_col) == F.col("_stay"), "left_semi")
+    """One document of each class, with all its columns, whatever their names. Of equal rows one stays, as in `dedup`."""
+    found, seed = classes(docs, id_col, text_col, threshold)
+    decided = staged(found.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), "kept"), "near-decisions")
+    doc = F.col("doc")
+    return one_each(docs, with_rows(decided), id_col, row_key(seed, doc.getField(id_col), doc.getField(text_col)), text_col)
