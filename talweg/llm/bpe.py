@@ -26,8 +26,10 @@ from .common import slices
 
 #: How byte-level BPE splits text before merging (a fixed, public pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries a worker remembers, in each of two generations. A bound on memory only; results don't depend on it.
-MEMO = 250_000
+#: Bytes that a worker remembers of pieces in each of two generations, and of words. A bound on memory only; results don't depend on it.
+MEMO_BYTES = 64 << 20
+#: What an entry takes besides its letters and ids, about; and the longest piece that is remembered.
+_ENTRY, _LONGEST = 200, 256
 #: Words of more bytes are proposed and merged one at a time.
 LONG_WORD = 96
 
@@ -248,10 +250,11 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.word: dict[str, bytes] = {}
+        self.held = self.words_held = 0
 
-    #: Runs of blanks and line ends stay with the word after them, as the pattern's alternatives never look further back.
-    piece = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    odd = re.compile(r"[^\S \n]")
+    #: Runs of white space stay with the word after them, as the pattern's alternatives never look further back.
+    piece = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+    odd = re.compile(r"[^\S \t-\r]")
 
     def pieces(self, text: str) -> list[str]:
         """Parts that are encoded alike wherever they stand; the whole text if it has white space of other kinds."""
@@ -269,11 +272,13 @@ class Encoder:
                 own = split(s)
             parts.append(own)
         words = [*dict.fromkeys(w for own in parts for w in own if isinstance(w, str) and w not in self.word)]
-        if len(self.word) + len(words) > MEMO:
+        if self.words_held > MEMO_BYTES:
             self.word.clear()
+            self.words_held = 0
             words = [*dict.fromkeys(w for own in parts for w in own if isinstance(w, str))]
         for w, ids in zip(words, self.v.encode_words([w.encode() for w in words]), strict=True):
             self.word[w] = ids.tobytes()
+            self.words_held += len(w) + ids.nbytes + _ENTRY
         for s, own in zip(new, parts, strict=True):
             self.young[s] = b"".join([self.word[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in own])
 
@@ -281,20 +286,26 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
         seen = set().union(*cut) if cut else set()
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         new = []
         for s in seen:
             if s not in young:
                 if s in old:
                     young[s] = old[s]
+                    self.held += len(s) + len(old[s]) + _ENTRY
                 else:
                     new.append(s)
         if new:
             self._learn(new)
+            self.held += sum(len(s) + len(young[s]) + _ENTRY for s in new)
         get = young.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for s in new:
+            if len(s) > _LONGEST:
+                self.held -= len(s) + len(young.pop(s)) + _ENTRY
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that aren't UTF-8 become the replacement character."""

@@ -11,7 +11,11 @@ An empty table gives an empty manifest and an empty result. Other columns are ig
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,15 +30,45 @@ from pyspark.sql import functions as F
 from .bpe import load_vocabulary
 from .common import fresh_path, input_partitions, slices, staged
 
-#: Pieces a worker remembers, in each of two generations. A bound on memory only; results don't depend on it.
-MEMO = 800_000
+#: Bytes that a worker remembers of pieces, in each of two generations. A bound on memory only; results don't depend on it.
+MEMO_BYTES = 128 << 20
+#: What an entry takes besides its letters and ids, about.
+_ENTRY = 200
 _PIECES: dict[int, PieceEncoder] = {}
 
+#: The steps of a tokenizer file under which text is cut at blanks, numbers and letters before merging.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks(content: str) -> bool:
+    """Whether the file's own rules drop white space and never let a token reach over it or from a letter to a mark.
+
+    Decided from the parsed normalizer and pre-tokenizer: composition, runs of white space to one blank, lower case, and a
+    split into the matches of `PATTERN`, none of which holds white space.
+    """
+    spec = json.loads(content)
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps, first = normal.get("normalizers", []), (pre.get("pretokenizers") or [{}])[0]
+    return (
+        [x.get("type") for x in steps] == NORMALIZER and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " "
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": PATTERN} and first.get("invert") is True and first.get("behavior") == "Removed"
+        and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
+    )
+
+
+@functools.cache
+def closing_letters() -> frozenset[str]:
+    """Letters after which a mark starts a piece of its own: composed and lower-cased they are letters only, by a Unicode version that every library knows."""
+    old = unicodedata.ucd_3_2_0.category
+    return frozenset(c for c in map(chr, range(0x10000)) if old(c)[0] == "L" and all(old(x)[0] == "L" for x in unicodedata.normalize("NFC", c).lower()))
+
 
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each new piece between blanks.
 
-    That is exact for tokenizers that drop white space before they merge, as no token then reaches over a blank.
+    That is exact where `cuts_at_blanks` holds, as no token then reaches over a blank; for other files the library gets
+    whole texts.
     """
 
     def __init__(self, content: str, kind: str) -> None:
@@ -44,16 +78,15 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind, self.young, self.old = kind, {"": b""}, {}
-        ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        self.lowers = all(ids(x) == ids(x.lower()) for x in ("The", "ÉTÉ Über", "A'S I'LL"))
-        bar = ids("|")
-        self.bar = bar[0] if len(bar) == 1 and ids("a | . | é") == ids("a") + bar + ids(".") + bar + ids("é") else None
-        self.marks = frozenset(m for m in ".,!" if all(ids(w + m) == ids(w) + ids(m) for w in ("a", "the", "ing", "é", "xyz")))
-
-    def _lower(self, text: str) -> str:
-        """The text in lower case where the tokenizer does the same and no letter could compose otherwise: fewer pieces to remember."""
-        if not self.lowers or "<" in text:
+        self.cuts, self.closing = cuts_at_blanks(content), closing_letters()
+        self.kind, self.young, self.old, self.held = kind, {"": b""}, {}, 0
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+
+    @staticmethod
+    def _lower(text: str) -> str:
+        """The text in lower case where that is what the file's rules give and no letter could compose otherwise: fewer pieces to remember."""
+        if "<" in text:
             return text
         if not text.isascii():
             try:
@@ -62,24 +95,31 @@ class PieceEncoder:
                 return text
         return text.lower()
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ask(self, pieces: list[str]) -> None:
         """Ask the library for many pieces in one text, with a bar between them, and cut its ids at the bars."""
-        alone = [s for s in pieces if "|" in s or len(s) > 200]
-        many = [s for s in pieces if "|" not in s and len(s) <= 200] if self.bar is not None else []
-        for s, e in zip(alone if many else pieces, self.tokenizer.encode_batch_fast(alone if many else pieces, add_special_tokens=False), strict=True):
-            self.young[s] = np.array(e.ids, self.kind).tobytes()
-        for k in range(0, len(many), 4096):
-            part = many[k : k + 4096]
+        together = [s for s in pieces if "|" not in s and len(s) <= 200] if self.bar is not None else []
+        alone = [s for s in pieces if "|" in s or len(s) > 200] if together else pieces
+        self.young.update(zip(alone, self._ids(alone), strict=True))
+        for k in range(0, len(together), 4096):
+            part = together[k : k + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" | ".join([*part, ""])], add_special_tokens=False)[0].ids, np.int64)
             end = np.flatnonzero(ids == self.bar)
+            if len(end) != len(part):  # a piece makes a bar of its own
+                self.young.update(zip(part, self._ids(part), strict=True))
+                continue
             flat, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
             for s, i, j in zip(part, [0, *(end + 1).tolist()], end.tolist(), strict=False):
                 self.young[s] = flat[i * width : j * width]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self._ids(texts)
         cut = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {"": b""}
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = self.young, {"": b""}, 0
         young, old = self.young, self.old
 
         def known(s: str) -> bool:
@@ -87,30 +127,23 @@ class PieceEncoder:
                 return True
             if s in old:
                 young[s] = old[s]
+                self.held += len(s) + len(old[s]) + _ENTRY
                 return True
             return False
 
         new = [s for s in (set().union(*cut) if cut else ()) if not known(s)]
-        # A letter and one closing mark never share a token: "word." is "word" and ".".
-        closed = [s for s in new if s[-1] in self.marks and s[-2:-1].isalpha()]
+        # Between a letter and the mark after it there is always a cut: "word." is "word" and ".".
+        closed = [s for s in new if s[-1] in ".,!" and s[-2:-1] in self.closing]
         stems = {s[:-1] for s in closed}.union(x[-1] for x in closed)
-        self._ask([*{*(s for s in new if not (s[-1] in self.marks and s[-2:-1].isalpha())), *(s for s in stems if not known(s))}])
+        asked = [*{*set(new).difference(closed), *(s for s in stems if not known(s))}]
+        self._ask(asked)
         for s in closed:
             young[s] = young[s[:-1]] + young[s[-1]]
+        self.held += sum(len(s) + len(young[s]) + _ENTRY for k in (asked, closed) for s in k)
         get = young.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
-def drops_blanks(content: str) -> bool:
-    """Whether the library, on this file, encodes the parts between blanks independently (tried on probes)."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(content)
-    ids = lambda s: t.encode(s, add_special_tokens=False).ids
-    probes = ["a b", "the  end", "it 's", "x \n y", " lead", "trail ", "1 2", ". ,", "é e", "a\nb"]
-    return all(ids(p) == [k for s in p.replace("\n", " ").split(" ") for k in ids(s)] for p in probes)
-
-
 def id_kind(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
@@ -124,8 +157,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
     from tokenizers import Tokenizer
 
     key, content = load_vocabulary(tokenizer)
-    if not drops_blanks(content):
-        raise ValueError("only tokenizers that drop white space before merging are supported here")
     kind = id_kind(max(Tokenizer.from_str(content).get_vocab_size(with_added_tokens=True), end_id + 1))
     shared = docs.sparkSession.sparkContext.broadcast(content)
 

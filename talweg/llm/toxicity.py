@@ -1,9 +1,10 @@
 """Toxicity: a logistic classifier regularised by counterfactuals.
 
 Features are whole words and word beginnings of four to six bytes; those that tell the classes apart best (by chi-square)
-are kept, and the identity terms and their beginnings always. For each labelled text that names an identity, a copy of the
-text with the term swapped for another of its group is made, so its beginnings change as well, and training penalises the squared difference of the two scores (before the logistic), so a
-neutral mention of a group doesn't raise a score.
+are kept, and the identity terms and their beginnings always. For each labelled text that names an identity, copies of the
+text are made with the terms swapped for each of their counterparts, so beginnings change as well, and training penalises
+the squared difference of the two scores (before the logistic), so a neutral mention of a group doesn't raise a score. The
+terms are a parameter.
 
 The model is fitted on at most about `fit_rows` labelled rows, chosen by a hash of the id (a documented bound). Nulls: a
 null text counts as empty and is scored by the intercept; null ids and labels are never learned from; several labels of an
@@ -14,7 +15,7 @@ rate. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUE, mix, slices, span_hash, staged, text_buffer, word_spans
 from .langid import remainder
 
-#: Terms that name groups, by kind (a fixed list). A term is swapped for the next one of its kind.
+#: Terms that name groups, by kind (a default; give your own as `groups`). Within a kind each term may be swapped for each other.
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -36,6 +37,12 @@ IDENTITY = (
     ("immigrants", "natives", "refugees"),
     ("immigrant", "native", "refugee"),
     ("old", "young"),
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos"),
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs"),
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden"),
 )
 BEGINNINGS = (4, 5, 6)
 FEATURES = 3000
@@ -45,21 +52,34 @@ _WORD = np.zeros(256, bool)
 _WORD[97:123] = _WORD[128:] = True
 
 
-_NEXT = {g[k].encode(): g[(k + 1) % len(g)].encode() for g in IDENTITY for k in range(len(g))}
-_TERM = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(_NEXT) + rb")(?![a-z\x80-\xff])")
-
-
-def counterfactuals(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Places of the texts that name an identity, and a copy of each with every term swapped for the next of its kind."""
-    raw, bounds = text_buffer(column)
-    data = _LOWER[raw].tobytes()
-    at, copies = [], []
-    for k in range(len(column)):
-        copy, n = _TERM.subn(lambda m: _NEXT[m[0]], data[bounds[k] : bounds[k + 1]])
-        if n:
-            at.append(k)
-            copies.append(copy)
-    return np.array(at, np.int64), pa.array(copies, pa.binary())
+class Swaps:
+    """Identity terms by kind, and the copies of a text with its terms swapped."""
+
+    def __init__(self, groups: Sequence[Sequence[str]]) -> None:
+        self.kind = {t.lower().encode(): [x.lower().encode() for x in g] for g in groups for t in g}
+        self.terms = sorted(self.kind)
+        longest = sorted(self.terms, key=len, reverse=True)
+        self.find = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(map(re.escape, longest)) + rb")(?![a-z\x80-\xff])") if longest else None
+        self.most = max((len(g) for g in groups), default=1) - 1
+
+    def _other(self, term: bytes, step: int) -> bytes:
+        own = self.kind[term]
+        return own[(own.index(term) + step) % len(own)]
+
+    def copies(self, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Copies of the texts that name an identity, one for each counterpart, and the place of each copy's text."""
+        raw, bounds = text_buffer(column)
+        data = _LOWER[raw].tobytes()
+        at, copies = [], []
+        for k in range(len(column) if self.find else 0):
+            text = data[bounds[k] : bounds[k + 1]]
+            if not self.find.search(text):
+                continue
+            for copy in {self.find.sub(lambda m, s=s: self._other(m[0], s), text): None for s in range(1, self.most + 1)}:
+                if copy != text:
+                    at.append(k)
+                    copies.append(copy)
+        return np.array(at, np.int64), pa.array(copies, pa.binary())
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +137,9 @@ def _train(rows: list[np.ndarray], label: np.ndarray, swapped: list[tuple[int, n
     return w, b
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penalty: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> Model:
-    """Learn from rows of text and label (0 or 1), a bounded sample."""
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penalty: float = 1.0, ridge: float = 1e-5, steps: int = 400, groups: Sequence[Sequence[str]] = IDENTITY) -> Model:
+    """Learn from rows of text and label (0 or 1), a bounded sample. groups: kinds of identity terms."""
+    swaps = Swaps(groups)
     sample = staged(rows.select(F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label")).repartition(8), "toxic-sample")
     signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
 
@@ -141,7 +162,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penal
     expected = F.col("n") * (ones / (ones + zeros))
     chi = F.pow(F.col("n1") - expected, 2) / expected
     best = sample.mapInArrow(count, "h long, n1 long, n long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where("n >= 3").orderBy(chi.desc(), "h").limit(FEATURES).select("h").toPandas()["h"]
-    chosen = np.unique(np.concatenate([best.to_numpy(np.int64).view(np.uint64), features(pa.array(list(_NEXT), pa.binary()))[0]]))
+    chosen = np.unique(np.concatenate([best.to_numpy(np.int64).view(np.uint64), features(pa.array(swaps.terms, pa.binary()))[0]]))
 
     def held(column: pa.Array) -> list[np.ndarray]:
         """The chosen features of each text."""
@@ -153,15 +174,17 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", penal
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            at, copies = counterfactuals(b.column(0))
-            swaps = dict(zip(at.tolist(), held(copies)))
+            at, copies = swaps.copies(b.column(0))
+            own: list[list | None] = [None] * b.num_rows
+            for k, f in zip(at.tolist(), held(copies)):
+                own[k] = [*(own[k] or []), f]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(held(b.column(0)), kind), pa.array([swaps.get(k) for k in range(b.num_rows)], kind), b.column(1)], names=["f", "g", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(held(b.column(0)), kind), pa.array(own, pa.list_(kind)), b.column(1)], names=["f", "g", "label"])
 
-    small = sample.mapInArrow(reduce, "f array<int>, g array<int>, label int").toPandas()  # a few integers for each row of the bounded sample
-    order = sorted(range(len(small)), key=lambda k: (small["label"][k], list(small["f"][k]), [] if small["g"][k] is None else list(small["g"][k])))  # the same model whatever the order of tasks
-    data, label = [np.asarray(small["f"][k], np.int64) for k in order], small["label"].to_numpy(float)[order]
-    swapped = [(k, np.asarray(small["g"][j], np.int64)) for k, j in enumerate(order) if small["g"][j] is not None]
+    small = sample.mapInArrow(reduce, "f array<int>, g array<array<int>>, label int").collect()  # a few integers for each row of the bounded sample
+    small = sorted(small, key=lambda r: (r["label"], r["f"], r["g"] or []))  # the same model whatever the order of tasks
+    data, label = [np.asarray(r["f"], np.int64) for r in small], np.array([r["label"] for r in small], float)
+    swapped = [(k, np.asarray(g, np.int64)) for k, r in enumerate(small) for g in r["g"] or []]
     w, b = _train(data, label, swapped, len(chosen), penalty, ridge, steps)
     return Model(chosen, w, b)
 
@@ -178,7 +201,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, groups: Sequence[Sequence[str]] = IDENTITY) -> DataFrame:
     """Learn from four fifths of the labels, score every document: doc_id, held_out, score, predicted."""
     known = labels.where("doc_id is not null and toxic is not null").where(remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     n = known.count()
@@ -186,5 +209,5 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Data
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     # The sample has a size bound, so it is sent to the tasks and the texts aren't shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    out = predict(docs, fit(rows))
+    out = predict(docs, fit(rows, groups=groups))
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

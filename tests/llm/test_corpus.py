@@ -76,6 +76,36 @@ def test_token_files_equal_the_library(spark):
         start += len(ids)
 
 
+def test_pieces_equal_the_library_on_every_letter_before_each_mark():
+    from tokenizers import Tokenizer
+
+    with open(WORD, encoding="utf-8") as f:
+        content = f.read()
+    t, e = Tokenizer.from_str(content), tokenfile.PieceEncoder(content, "<u2")
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha()]
+    texts = [" ".join(c + m for c in letters[i : i + 500]) for m in ".,!" for i in range(0, len(letters), 500)] + ["İ. I", "e\u0301. x", "a\u0323!\u0323 b", "<|endoftext|>. a|b, |"]
+    want = [np.array(x.ids, "<u2").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == want and e.encode(texts) == want
+    assert not tokenfile.cuts_at_blanks(content.replace('"type":"NFC"', '"type":"NFKC"').replace('"type": "NFC"', '"type": "NFKC"'))
+
+
+def test_encoders_that_forget_encode_alike(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
+    key, content = bpe.load_vocabulary(BYTE)
+    one, two = bpe.Encoder(bpe.Vocabulary(content)), tokenfile.PieceEncoder(bpe.load_vocabulary(WORD)[1], "<u4")
+    library = [Tokenizer.from_file(x) for x in (BYTE, WORD)]
+    texts = [*_noise(15, 60), "a\tb\r\n  c\u00a0 d\x0b\x0c e" * 30]
+    for _ in range(3):
+        for t, e in zip(library, (one, two)):
+            for k in range(0, len(texts), 7):
+                part = texts[k : k + 7]
+                assert e.encode(part) == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(part, add_special_tokens=False)]
+    assert len(one.young) < 60 and one.held >= 0
+
+
 def test_language_is_found_on_held_out_rows(spark):
     r = random.Random(3)
     vocabulary = {"en": "the of and with ing tion".split(), "fr": "le la et é eau ç".split(), "de": "der die und sch ö ß".split()}
@@ -195,6 +225,29 @@ def test_counterfactual_penalty_reaches_beginnings_of_terms(spark):
     assert gap[1] < 0.1 * gap[0]
 
 
+def test_neutral_mentions_of_given_terms_are_not_flagged(spark):
+    """End to end, terms as a parameter: a term stands in most toxic rows and in few others; with the penalty its neutral mentions pass."""
+    r = random.Random(14)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(200)]
+    rows = [(i, " ".join(r.choices(words, k=12) + (["zorgons", r.choice(["idiot", "moron"])] if i % 3 == 0 else ["quellans"] if i % 3 == 1 else []))) for i in range(900)]
+    neutral = [(2000 + i, " ".join(["the zorgons", *r.choices(words, k=10)])) for i in range(50)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    flagged = {}
+    for name, groups in (("none", ()), ("given", (("zorgons", "quellans", "trills"),))):
+        out = toxicity.classify(docs(spark, [*rows, *neutral]), labels, groups=groups).collect()
+        flagged[name] = sum(x["predicted"] for x in out if x["doc_id"] >= 2000)
+        held = [x for x in out if x["held_out"] and x["doc_id"] < 900]
+        assert sum(x["predicted"] == int(x["doc_id"] % 3 == 0) for x in held) >= 0.97 * len(held)
+    assert flagged["given"] == 0 and flagged["none"] > 25
+
+
+def test_every_counterpart_is_tried():
+    import pyarrow as pa
+
+    at, copies = toxicity.Swaps((("ab", "cd", "ef"), ("x", "y"))).copies(pa.array(["AB and x", "none", "abc"]))
+    assert at.tolist() == [0, 0] and sorted(copies.to_pylist()) == [b"cd and y", b"ef and x"]
+
+
 def test_neighbours_against_brute_force(spark):
     g = np.random.default_rng(8)
     centers = g.normal(size=(12, 16))
