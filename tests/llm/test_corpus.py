@@ -133,7 +133,20 @@ def _brute_windows(rows, w):
     return sorted(out)
 
 
-def test_repeated_windows_equal_brute_force(spark, monkeypatch):
+def test_radix_order_is_the_order_of_bytes():
+    r = np.random.default_rng(3)
+    rows = r.integers(97, 99, (500, 21)).astype(np.uint8)
+    rows[::3] = rows[0]
+    order, new = suffixdedup.radix_order(rows)
+    want = sorted(range(500), key=lambda k: bytes(rows[k]))
+    assert [bytes(rows[k]) for k in order] == [bytes(rows[k]) for k in want]
+    assert new.tolist() == [k == 0 or bytes(rows[order[k]]) != bytes(rows[order[k - 1]]) for k in range(500)]
+    assert suffixdedup.radix_order(rows[:0])[0].size == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 3, 12])
+def test_repeated_windows_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     r = random.Random(4)
     base = "".join(r.choice("abcd é") for _ in range(300))
     parts = lambda: [r.choice(["a", "b" * 40, base[r.randrange(200) :][: r.randrange(110)], "é" * r.randrange(60), "xy" * r.randrange(50)]) for _ in range(r.randrange(6))]
