@@ -150,10 +150,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null and v is not null")
     sound = given.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("top"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
+    sizes = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("top")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, top, n_queries = sizes["d"], sizes["n"], math.sqrt(sizes["top"]), sizes["q"]
+    dim, n, top = sizes["d"], sizes["n"], math.sqrt(sizes["top"])
     sound = sound.where(F.size("v") == dim)
     quantile = chi_square_quantile(confidence, DIMENSIONS)
     project = np.random.default_rng(64).standard_normal((dim + 1, DIMENSIONS))
@@ -179,11 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(cell, pa.int32()), pa.array(home, pa.int32()), b.column(2)], names=["id", "v", "cell", "home", "is_query"])
 
     rows = staged(sound.mapInArrow(index, "id long, v binary, cell int, home int, is_query boolean"), "indexed")
-    sizes = rows.groupBy("cell").count()
-    chunks = {r["cell"]: max(1, math.ceil(r["count"] / CHUNK)) for r in sizes.collect()}  # one row a cell
-    units = F.broadcast(spark.createDataFrame(list(chunks.items()), "cell int, chunks long"))
-    blocks = max(1, math.ceil(n_queries / QUERIES))
-    dealt = rows.join(units, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    chunks = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
 
     def unit(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
@@ -195,7 +191,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def visited(queries: DataFrame) -> DataFrame:
         """(id, v, floor, cell) -> what the queries find in those cells."""
-        each = queries.join(units, "cell").select(F.col("id").alias("query"), F.col("v").alias("q"), "floor", F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+        # A cell's rows are copied once for each block of its own visitors, so copies don't grow with the number of queries.
+        load = chunks.join(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks")), "cell")
+        units = F.broadcast(spark.createDataFrame(load.collect(), load.schema))  # one row a cell: at most SAMPLE / 16
+        each = queries.join(units, "cell").select(F.col("id").alias("query"), F.col("v").alias("q"), "floor", "cell", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        dealt = rows.join(units, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
         key = ["cell", "chunk", "block"]
         return dealt.groupBy(*key).cogroup(each.groupBy(*key)).applyInArrow(unit, "query_id long, vec_id long, score double")
 
@@ -215,6 +215,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             x, cell = np.nonzero(go)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x)), b.column(1).take(pa.array(x)), pa.array(low[x]), pa.array(cell, pa.int32())], names=["id", "v", "floor", "cell"])
 
-    second = visited(known.mapInArrow(others, "id long, v binary, floor double, cell int"))
+    second = visited(staged(known.mapInArrow(others, "id long, v binary, floor double, cell int"), "visits"))
     ranked = first.drop("rank").unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -167,21 +167,62 @@ def test_license_places(spark):
     assert got[4][:2] == (2, 0) and got[5] == (0, 0, None, None, "", "", 0.0)
 
 
-def test_mixing_meets_targets_on_driver_and_on_spark(spark):
+def _mixed(spark, n=400):
     r = random.Random(5)
-    d = spark.createDataFrame([(i, "w " * r.randint(1, 30), r.choice("ab"), r.choice("xyz") * (i % 9 > 0), r.choice(["en", "fr", None])) for i in range(400)], "doc_id long, text string, t string, source string, lang string")
+    rows = [(i, "w " * r.randint(1, 30), r.choice("ab"), r.choice("xyz") * (i % 9 > 0), r.choice(["en", "fr", None])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, t string, source string, lang string")
+
+
+def _raked_by_brute_force(cells, keep, powers=None, given=None):
+    """Plain raking of {(source, lang, topic): tokens}, cells capped at all their tokens."""
+    total, q, goals = sum(cells.values()), dict.fromkeys(cells, keep), []
+    for k, name in enumerate(mixing.MARGINS):
+        seen = {}
+        for c, v in cells.items():
+            seen[c[k]] = seen.get(c[k], 0) + v
+        raw = {v: (given[name].get(v, 0) if given and name in given else n ** mixing.TEMPER[name]) for v, n in seen.items()}
+        goals.append({v: keep * total * x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(800):
+        for k, goal in enumerate(goals):
+            now = dict.fromkeys(goal, 0.0)
+            for c, v in cells.items():
+                now[c[k]] += v * min(1, q[c])
+            for c in q:
+                q[c] = min(q[c] * (goal[c[k]] / now[c[k]] if now[c[k]] else 1), 1e9)
+    return {c: min(1, x) for c, x in q.items()}
+
+
+@pytest.mark.parametrize("given", [None, {"source": {"x": 0.5, "y": 0.3, "z": 0.2}, "lang": {"en": 0.6, None: 0.2, "fr": 0.2}}])
+def test_mixing_equals_plain_raking_and_draws_by_it(spark, given):
+    d = _mixed(spark)
+    cells = {tuple(x)[:3]: x[3] for x in d.groupBy("source", "lang", "t").agg(F.sum(mixing.tokens(F.col("text")))).collect()}
+    want = _raked_by_brute_force(cells, 0.3, given=given)
+    rows = mixing.mix(d, 0.3, F.col("t"), given).collect()
+    assert len(rows) == 400 and all(abs(x["probability"] - want[x["source"], x["lang"], x["topic"]]) < 2e-6 for x in rows)
+    draws = {x[0]: x[1] for x in d.select("doc_id", mixing.draw(F.col("doc_id"), F.col("text"), 7)).collect()}
+    assert all(0 <= draws[x["doc_id"]] < 1 and x["kept"] == (draws[x["doc_id"]] < x["probability"]) for x in rows)
+    kept = mixing.sample(d, 0.3, F.col("t"), given).collect()
+    assert {x["doc_id"] for x in kept} == {x["doc_id"] for x in rows if x["kept"]} and [*kept[0].asDict()] == d.columns
+    for x in mixing.mixture(d, 0.3, F.col("t"), given).collect():
+        assert abs(x["target"] - x["expected"]) < 1e-4, x
+        if given and x["margin"] in given:
+            assert abs(x["target"] - given[x["margin"]].get(x["value"], 0)) < 1e-9
+
+
+def test_mixing_on_driver_and_on_spark_and_out_of_reach(spark):
+    d = _mixed(spark, 120).where("lang is not null and source <> ''")
     rows = d.select("source", "lang", F.col("t").alias("topic"), mixing.tokens(F.col("text")).alias("n_tokens"))
-    key = lambda x: tuple((v is not None, v or "") for v in x[:3])
-    a, b = (sorted((tuple(x) for x in mixing.probabilities(rows, 0.5, passes=30, max_cells=m).collect()), key=key) for m in (1000, 1))
-    assert [x[:3] for x in a] == [x[:3] for x in b] and all(abs(x[4] - y[4]) < 1e-6 and 0 <= x[4] <= 1 for x, y in zip(a, b))
-    cells = {tuple(x)[:3]: x[3] for x in rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens")).collect()}
-    assert abs(sum(cells[x[:3]] * x[4] for x in a) / sum(cells.values()) - 0.5) < 1e-6
-    shares = {}
-    for x in a:
-        shares[x[0]] = shares.get(x[0], 0) + x[3]
-    seen = {s: sum(v for k, v in cells.items() if k[0] == s) for s in shares}
-    want = mixing._shares(seen, mixing.TEMPER["source"])
-    assert all(abs(shares[s] / sum(shares.values()) - want[s]) < 1e-6 for s in shares)
+    a, b = (sorted(tuple(x) for x in mixing.probabilities(rows, 0.4, passes=3, max_cells=m).collect()) for m in (1000, 1))
+    assert [x[:4] for x in a] == [x[:4] for x in b] and all(abs(x[5] - y[5]) < 2e-6 for x, y in zip(a, b))
+    out = {(x["margin"], x["value"]): x for x in mixing.mixture(d, 0.9, F.col("t"), {"source": {"x": 1.0}}).collect()}
+    assert out["source", "x"]["expected"] > 0.999 and out["source", "y"]["target"] == 0
+    assert all(x["probability"] == 1 for x in mixing.mix(d, 0.9, F.col("t"), {"source": {"x": 1.0}}).where("source = 'x'").collect())
+
+
+def test_mixing_keeps_columns_of_clashing_names(spark):
+    d = _mixed(spark, 30).selectExpr("*", "1 as _n", "2 as _p", "'k' as kept", "'o' as own", "7 as n_tokens", "'q' as topic", "0 as draw")
+    got = mixing.sample(d, 0.5).collect()
+    assert got and all((x["_n"], x["_p"], x["kept"], x["own"], x["n_tokens"], x["topic"], x["draw"]) == (1, 2, "k", "o", 7, "q", 0) for x in got)
 
 
 def test_exact_dedup_equals_brute_force(spark):
