@@ -167,6 +167,29 @@ def test_license_places(spark):
     assert got[4][:2] == (2, 0) and got[5] == (0, 0, None, None, "", "", 0.0)
 
 
+def test_license_texts_are_scored_by_position_as_in_sql(spark):
+    import duckdb
+
+    r = random.Random(16)
+    rows = [(0, None), (1, ""), (2, "Apache License")]
+    for text, _, _ in licenses.TEXTS:
+        words = text.split()
+        for k in range(6):
+            own = list(words)
+            for _ in range(k * 3):
+                own[r.randrange(len(own))] = "changed"
+            if k == 4:
+                own = own[: len(own) // 2]
+            rows.append((len(rows), " ".join([*r.choices("abc", k=k), *own, "tail", *(words if k == 5 else [])])))
+    got = licenses.scan(docs(spark, rows)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    documents = docs(spark, rows).select("doc_id", "text").toPandas()  # noqa: F841  (read by the SQL)
+    want = con.sql(licenses.sql()).df().sort_values("doc_id").reset_index(drop=True)
+    for c in got.columns:
+        assert got[c].fillna(-1).tolist() == want[c].fillna(-1).tolist(), c
+    assert {x for x in got["score"] if 0 < x < 1} and got["score"].max() == 1
+
+
 def _mixed(spark, n=400):
     r = random.Random(5)
     rows = [(i, "w " * r.randint(1, 30), r.choice("ab"), r.choice("xyz") * (i % 9 > 0), r.choice(["en", "fr", None])) for i in range(n)]
