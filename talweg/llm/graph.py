@@ -20,3 +20,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("v", "c")
         if jumped.where("c <> was").limit(1).count() == 0:
             return labels
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, c) after further links (a, b): only the components that these touch are joined anew."""
+    label = lambda side: known.select(F.col("v").alias(f"v{side}"), F.col("c").alias(f"c{side}"))
+    ends = links.join(label("a"), F.col("a") == F.col("va"), "left").join(label("b"), F.col("b") == F.col("vb"), "left")
+    pairs = staged(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "component-links")
+    if not pairs.limit(1).count():
+        return known
+    new = components(pairs)
+    old = known.unionByName(new.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
+    return staged(old.join(new.select(F.col("v").alias("w"), F.col("c").alias("n")), F.col("c") == F.col("w"), "left").select("v", F.coalesce("n", "c").alias("c")), "components")

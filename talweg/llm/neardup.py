@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE, input_partitions, mix, one_each, slices, span_hash, staged, text_buffer, with_rows, word_spans
-from .graph import components
+from .graph import components, merged
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -330,10 +330,21 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.divide(common, every, out=np.zeros(n), where=every > 0)
 
 
+#: Keys that are sent to all tasks, rather than shuffling the texts, when only those rows' texts are needed (8 bytes each).
+FEW = 400_000
+
+
+def _texts(text: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of text (_k, _t) whose key is among the distinct keys (k)."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return text.join(F.broadcast(keys) if few else keys, F.col("_k") == F.col("k"), "left_semi")
+
+
 def _verified(pairs: DataFrame, text: DataFrame, shared, threshold: float) -> DataFrame:
     """The pairs (a, b) of row keys whose texts (_k, _t) are similar enough, staged."""
-    right = pairs.join(text, F.col("b") == F.col("_k")).select("a", "b", F.col("_t").alias("_right"))
-    whole = right.join(text, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_left"), "_right")
+    some = _texts(text, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    right = pairs.join(some, F.col("b") == F.col("_k")).select("a", "b", F.col("_t").alias("_right"))
+    whole = right.join(some, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_left"), "_right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_left"):
@@ -354,10 +365,11 @@ def _keyed(docs: DataFrame, shared, id_col: str, text_col: str) -> tuple[DataFra
 
 
 def _dealt(rows: DataFrame, salt: int = 0) -> DataFrame:
-    """(bucket, v) rows with their part of the bucket and whether it has several parts. Buckets of one row drop out."""
+    """(bucket, v) rows with their part of the bucket, whether it has several and how many. Buckets of one row drop out."""
     many = rows.groupBy("bucket").count().where("count > 1")
-    part = F.pmod(F.xxhash64("v", "bucket", F.lit(salt)), F.ceil(F.col("count") / BUCKET)).cast("int")
-    return rows.join(many, "bucket").select("bucket", part.alias("part"), "v", (F.col("count") > BUCKET).alias("split"))
+    parts = F.ceil(F.col("count") / BUCKET).cast("int")
+    part = F.pmod(F.xxhash64("v", "bucket", F.lit(salt)), parts).cast("int")
+    return rows.join(many, "bucket").select("bucket", part.alias("part"), "v", (parts > 1).alias("split"), parts.alias("parts"))
 
 
 class _Search:
@@ -368,9 +380,8 @@ class _Search:
         self.sig = vertex.select("v", "sig")
         held = staged(_dealt(vertex.select("v", F.explode("bands").alias("bucket"))), "bucket-members")
         self.signed = held.join(self.sig, "v")
-        self.parts = held.where("split").select("bucket", "part").distinct()
         self.split = bool(held.where("split").limit(1).count())
-        self.tested = self.links = self.known = None
+        self.tested = self.known = None
 
     def sort(self, rows: DataFrame, unit: str = "part") -> DataFrame:
         return rows.repartition(self.n, "bucket", unit).sortWithinPartitions("bucket", unit, "v")
@@ -384,19 +395,19 @@ class _Search:
         new = staged(fresh.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else fresh, "star-pairs")
         if self.known is None or new.limit(1).count():
             found = _verified(new, self.text, self.shared, self.threshold)
-            self.tested, self.links = (new, found) if self.tested is None else (self.tested.unionByName(new), self.links.unionByName(found))
-            self.known = components(self.links.select("a", "b"))
+            self.tested = new if self.tested is None else self.tested.unionByName(new)
+            self.known = components(found.select("a", "b")) if self.known is None else merged(self.known, found.select("a", "b"))
 
     def labelled(self) -> DataFrame:
         known = self.known.withColumnRenamed("v", "w")
-        return self.signed.join(known, F.col("v") == F.col("w"), "left").select("bucket", "part", "v", F.coalesce("c", "v").alias("c"), "sig", "split")
+        return self.signed.join(known, F.col("v") == F.col("w"), "left").select("bucket", "part", "v", F.coalesce("c", "v").alias("c"), "sig", "split", "parts")
 
     def champions(self, stars: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Leaders of the last of the rounds in which the leaders of a bucket's parts meet, and the stars of those rounds.
 
         A bucket whose leaders hardly get fewer in a round has none; `away` finds its links all the same.
         """
-        level = stars.where("a = b").join(self.parts.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("a").alias("v"))
+        level = stars.where("a = b").select("bucket", F.col("a").alias("v")).join(self.signed.where("split").select("bucket", "v"), ["bucket", "v"], "left_semi")
         champions, rounds, before = [], [], 0
         for k in range(1, 64):
             dealt = staged(_dealt(level, k), "leaders")
@@ -414,15 +425,17 @@ class _Search:
     def visit(self, champions: DataFrame) -> None:
         """Each text of a bucket that was dealt out meets the bucket's champions."""
         rows = self.labelled().where("split")
-        own = champions.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"])
-        guests = self.parts.join(own, "bucket").where("part <> home").select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
+        own = champions.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig", "parts"), ["bucket", "v"])
+        everywhere = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        guests = everywhere.where("part <> home").select("bucket", "part", "v", "c", F.lit(1).alias("visitor"), "sig")
         home = rows.select("bucket", "part", "v", "c", F.lit(0).alias("visitor"), "sig")
         self.verify(self.sort(home.union(guests)).mapInArrow(_nearest_visitor, "a long, b long"))
 
     def away(self, stars: DataFrame) -> list[DataFrame]:
         """Texts outside the largest component of a bucket that was dealt out, with the members of the parts they are sent to. A unit holds about BUCKET visitors at most."""
         rows = self.labelled().where("split")
-        main = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        # Staged, so that joins by bucket read plain exchanges, whose large partitions Spark splits.
+        main = staged(rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main")), "largest-components")
         strays = staged(rows.join(main, "bucket").where("c <> main").select("bucket", "part", "v", "c", F.col("c").alias("low"), F.col("c").alias("high"), F.col("part").alias("home"), F.lit(0).alias("visitor"), "sig"), "strays")
         if not strays.limit(1).count():
             return []
@@ -430,7 +443,7 @@ class _Search:
         known = self.known.withColumnRenamed("v", "w")
         led = stars.join(strays.select("bucket").distinct(), "bucket", "left_semi").join(known, F.col("b") == F.col("w"), "left").select("bucket", "a", F.coalesce("c", "b").alias("c"))
         balls = staged(led.groupBy("bucket", F.col("a").alias("v")).agg(F.min("c").alias("low"), F.max("c").alias("high")), "balls")
-        salts = balls.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (4 * BUCKET)).alias("salts"))
+        salts = staged(balls.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (4 * BUCKET)).alias("salts")), "salts")
         unit = lambda salt: (F.col("part") + (salt + 1) * F.lit(1 << 32)).alias("unit")
         own = balls.join(rows.select("bucket", F.col("part").alias("home"), "v", "c", "sig"), ["bucket", "v"]).join(salts, "bucket")
         guests = strays.select("bucket", "part").distinct().join(own, "bucket").where("part <> home").select("bucket", unit(F.pmod(F.xxhash64("v"), "salts")), "v", "c", "low", "high", "home", F.lit(1).alias("visitor"), "sig")
@@ -446,9 +459,10 @@ class _Search:
         kinds = "bucket long, unit long, v long, c long, side int, sig binary"
         open_ = staged(self.sort(reduce(DataFrame.union, meet), "unit").mapInArrow(_open_members, kinds), "open-members")
         if open_.limit(1).count():
-            told = open_.join(self.text, F.col("v") == F.col("_k")).select("bucket", "unit", "v", "c", "side", "_t", "sig")
+            text = _texts(self.text, open_.select(F.col("v").alias("k")).distinct())
+            told = open_.join(text, F.col("v") == F.col("_k")).select("bucket", "unit", "v", "c", "side", "_t", "sig")
             last = staged(_ordered(self.sort(told, "unit").mapInArrow(_exact_links(self.shared, self.threshold), "a long, b long")), "last-links")
-            self.known = components(self.links.select("a", "b").unionByName(last))
+            self.known = merged(self.known, last)
 
     def run(self) -> DataFrame:
         """(v, c) of every vertex that has a link."""

@@ -354,6 +354,23 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(31)}, 40: 40, 41: 40, 50: 40}
 
 
+def test_components_after_more_links(spark):
+    r = random.Random(17)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(140)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    part = lambda f: {frozenset(g) for g in _groups(f).values()}
+
+    def _groups(f):
+        out = {}
+        for x in f.collect():
+            out.setdefault(x["c"], set()).add(x["v"])
+        return out
+
+    known = graph.components(frame(pairs[:70]))
+    assert part(graph.merged(known, frame(pairs[70:]))) == part(graph.components(frame(pairs)))
+    assert part(graph.merged(known, frame(pairs[:5]))) == part(known)
+
+
 def _jaccard(a, b):
     s = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b)]
     return len(s[0] & s[1]) / len(s[0] | s[1])
