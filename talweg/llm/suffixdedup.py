@@ -32,8 +32,8 @@ from .common import BYTE_VALUE, mix, slices, staged, text_buffer
 WINDOW = 50
 DIGIT = 20
 #: Text in a block of documents, and anchors in a radix bucket, about.
-BLOCK_BYTES = 1 << 20
-BUCKET_ANCHORS = 25_000
+BLOCK_BYTES = 1 << 21
+BUCKET_ANCHORS = 64_000
 #: Anchors of one digit from which it is dealt out by whole windows.
 HOT = 4096
 _U = np.uint64
@@ -81,20 +81,22 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarra
 
 
 def _short(h: np.ndarray, n: np.ndarray) -> bytes:
-    """48 bits of each hash (the bucket adds the others), and a byte with its number of anchors, 255 at most."""
+    """48 bits of each hash (the bucket adds the others), and a byte that tells its number of anchors: exactly below 128, else in steps of 512."""
     out = np.empty((len(h), 7), np.uint8)
     out[:, :6] = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    out[:, 6] = np.minimum(n, 255)
+    out[:, 6] = np.where(n < 128, n, np.minimum(128 + n // 512, 255))
     return out.tobytes()
 
 
 def _long(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     seven = np.frombuffer(blob, np.uint8).reshape(-1, 7)
-    return np.pad(seven[:, :6], ((0, 0), (0, 2))).view("<u8").ravel(), seven[:, 6].astype(np.int64)
+    n = seven[:, 6].astype(np.int64)
+    return np.pad(seven[:, :6], ((0, 0), (0, 2))).view("<u8").ravel(), np.where(n < 128, n, 128 + (n - 128) * 512)
 
 
 def _buckets(h: np.ndarray, count: int) -> np.ndarray:
-    return ((h >> _U(48)) * _U(count) >> _U(16)).astype(np.int64) if count <= 1 << 12 else (mix(h) % _U(count)).astype(np.int64)
+    # Anchors have the least hashes of their windows, so the hashes crowd at the low end; mixed again they are even.
+    return (mix(h) % _U(count)).astype(np.int64)
 
 
 def _distinct(raw: np.ndarray, bounds: np.ndarray, window: int, count: int):
