@@ -35,7 +35,7 @@ DIGIT = 20
 BLOCK_BYTES = 1 << 21
 BUCKET_ANCHORS = 64_000
 #: Anchors of one digit from which it is dealt out by whole windows.
-HOT = 4096
+HOT = 8192
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 

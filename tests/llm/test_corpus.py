@@ -144,7 +144,7 @@ def test_radix_order_is_the_order_of_bytes():
     assert suffixdedup.radix_order(rows[:0])[0].size == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 3, 12])
+@pytest.mark.parametrize("hot", [8192, 3, 12])
 def test_repeated_windows_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
     r = random.Random(4)
