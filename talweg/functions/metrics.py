@@ -46,6 +46,35 @@ def auc_pr(rows: DataFrame, per: list[str], score: str, positive: str) -> DataFr
     return c.withColumn("_a", area).groupBy(*per).agg(F.sum("_a").alias("auc_pr"))
 
 
+def window_bundle(rows: DataFrame, per: list[str], score: str, positive: str, flag: str) -> DataFrame:
+    """Counts, rates and both areas of each group. Scores that are null or NaN, and groups without windows of both kinds, are refused."""
+    if rows.where(F.col(score).isNull() | F.isnan(score)).limit(1).count():
+        raise ValueError("a score is missing or not a number")
+    counts = confusion(rows, per, F.col(positive), F.col(flag))
+    if counts.where("tp + fn = 0 or fp + tn = 0").limit(1).count():
+        raise ValueError("a group lacks windows of one kind")
+    return derived(counts).join(auc_roc(rows, per, score, positive), per).join(auc_pr(rows, per, score, positive), per)
+
+
+def false_alarms(flags: DataFrame, alarms: DataFrame, per: list[str], flag: str, rate: float) -> DataFrame:
+    """Windows, those above the threshold and their share, alarms, duration (windows at `rate` a second), alarms an hour and the upper bound of their rate."""
+    w = flags.groupBy(*per).agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col(flag)).alias("above"))
+    a = alarms.groupBy(*per).agg(F.count(F.lit(1)).alias("alarms"))
+    out = w.join(a, per, "left") if per else w.crossJoin(a)
+    out = out.withColumn("alarms", F.coalesce("alarms", F.lit(0))).withColumn("share", F.col("above") / F.col("windows")).withColumn("duration_s", F.col("windows") / rate)
+    return out.withColumn("per_hour", F.col("alarms") / F.col("duration_s") * 3600).withColumn("upper_per_hour", poisson_upper("alarms") / F.col("duration_s") * 3600)
+
+
+def evaluation_summary(trials: DataFrame, per: list[str], metrics: list[str]) -> DataFrame:
+    """Over the trials of a model: how many were detected, the median delay of those, and the mean of each metric, nulls left out."""
+    return trials.groupBy(*per).agg(F.count(F.lit(1)).alias("trials"), F.count("delay").alias("detected"), F.percentile("delay", 0.5).alias("median_delay"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
+
+
+def by_fault(trials: DataFrame, per: list[str]) -> DataFrame:
+    """Counts of a fault's trials summed and their rates derived again; areas and delays averaged."""
+    return derived(trials.groupBy(*per).agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")], F.avg("auc_roc").alias("auc_roc"), F.avg("delay").alias("delay")))
+
+
 def spread(rows: DataFrame, per: list[str], value: str, detected: str) -> DataFrame:
     """Least and greatest value over seeds, nulls ignored, and in how many it was detected."""
     return rows.groupBy(*per).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count_if(F.col(detected)).alias("n_detected"), F.count(F.lit(1)).alias("n_seeds"))
@@ -117,6 +146,25 @@ def block_bootstrap(rows: DataFrame, per: str, order: str, flag: str, block: int
     return rows.select(per, order, flag).groupBy(per).applyInPandas(run, f"{per} {kind}, mean double, low double, high double")
 
 
+def paired_bootstrap(rows: DataFrame, pair: str, a: str, b: str, resamples: int, seed: int) -> DataFrame:
+    """95 % interval of the mean difference a - b over pairs (few: one a trial), in one row, drawn with replacement.
+
+    Each pair draws how often it is taken in every resample (a Poisson number, by a seed from its name), so the sums combine
+    across tasks and no task holds all pairs.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for name, d in zip(pdf[pair], pdf[a] - pdf[b]):
+                rng = np.random.default_rng([seed, int.from_bytes(str(name).encode()[:8], "big")])
+                n = rng.poisson(1.0, resamples)
+                yield pd.DataFrame({"k": np.arange(resamples), "n": n, "x": n * d})
+
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(pair, a, b)
+    drawn = known.mapInPandas(run, "k long, n long, x double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("mean"))
+    return drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).crossJoin(known.agg(F.avg(F.col(a) - F.col(b)).alias("mean")))
+
+
 def verdict(low: Column, high: Column, first: str, second: str) -> Column:
     """Which side an interval of differences favours."""
     return F.when(low > 0, first).when(high < 0, second).otherwise("no clear difference")

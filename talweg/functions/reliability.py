@@ -117,9 +117,10 @@ def repairs_match(repairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def component_view(items: DataFrame, repairs: DataFrame) -> DataFrame:
-    """Each item x repair scenario: stop, MTBF in calendar hours, availability and hours down in a year."""
+    """Each item x repair scenario on two bases: of all calendar hours, and of the hours in service alone; with stop, MTBF, availability and hours down in a year."""
     yearly = yearly_rate(F.col("rate"), F.col("hours"))
     down = F.col("detection") + F.col("repair")
     j = items.where("rate is not null").join(F.broadcast(repairs), items.id == F.col("group"))
-    mtbf = F.lit(CALENDAR_HOURS) / yearly
-    return j.select("id", "scenario", down.alias("stop_hours"), mtbf.alias("mtbf_hours"), availability(mtbf, down).alias("availability"), (yearly * down).alias("down_per_year"))
+    j = j.withColumn("basis", F.explode(F.array(F.lit("calendar"), F.lit("service"))))
+    mtbf = F.when(F.col("basis") == "calendar", F.lit(CALENDAR_HOURS) / yearly).otherwise(F.lit(1.0) / F.col("rate"))
+    return j.select("id", "scenario", "basis", down.alias("stop_hours"), mtbf.alias("mtbf_hours"), availability(mtbf, down).alias("availability"), (yearly * down).alias("down_per_year"))

@@ -1,18 +1,60 @@
-"""Lexical and vector retrieval."""
+"""Lexical and vector retrieval."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stop words left out of queries (a fixed list).
-STOP_WORDS = ("the", "of", "and", "to", "in", "is", "a", "that", "it", "for", "was", "on", "are", "with", "as", "be", "this", "by", "at", "from", "or", "an")
+from ..storage import staged
+
+# Words left out of queries, folded, in Portuguese and in English.
+PORTUGUESE = """
+a ao aos as ate com como contra da das de dela dele deles do dos e ela elas ele eles em entre era
+essa essas esse esses esta estas este estes eu foi foram ha isso isto ja la lhe mais mas me mesmo
+meu minha muito na nas nem no nos nossa nosso num numa o os ou para pela pelas pelo pelos por qual
+quais quando que quem se sem ser seu seus sua suas sao so tambem te tem ter um uma umas uns voce
+voces sobre segundo conforme onde porque qual quanto quanta quantos quantas cujo cuja ha sera
+seria sido sendo estao esta estava estavam fazer faz feito pode podem deve devem via cada outro
+outra outros outras todo toda todos todas apos antes depois ainda assim entao aqui ali
+"""
+ENGLISH = """
+a about above after again against all am an and any are as at be because been before being below
+between both but by can could did do does doing down during each few for from further had has
+have having he her here hers herself him himself his how i if in into is it its itself just me
+more most my myself no nor not now of off on once only or other our ours ourselves out over own
+same she should so some such than that the their theirs them themselves then there these they
+this those through to too under until up very was we were what when where which while who whom
+why will with would you your yours yourself yourselves according whose
+"""
+STOP_WORDS = tuple(dict.fromkeys((PORTUGUESE + ENGLISH).split()))
 K1, B = 1.2, 0.75
+#: Fusion: the base, and the weights of meaning, words and named documents. Candidates by meaning alone need this similarity.
+BASE, MEANING, WORDS, NAMED, GATE = 60, 1.0, 0.5, 1.0, 0.30
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and their base letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+_MARKED, _BASE = _plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case, composed Latin letters without their marks; null is empty."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _BASE)
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits of the folded text, in order."""
+    return F.regexp_extract_all(folded(text), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
 
 
 def query_terms(text: Column, most: int = 40) -> Column:
@@ -26,21 +68,24 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, terms: str) -> DataFrame:
-    """(query, doc, bm25), larger is better. Statistics are over all documents; only the queries' terms are ever exploded, so postings of other words aren't built.
+    """(query, doc, bm25) of every document that holds a term, larger is better. Statistics are over all documents.
 
-    queries: few rows (a workload's questions), with an array of distinct terms.
+    The texts are read once: of each only its length and those of its words that some query asks for are kept. queries: a
+    workload's questions with an array of distinct terms, so their words are few.
     """
     asked = queries.select(query, F.explode(terms).alias("term"))
-    wanted = asked.select("term").distinct()
-    counted = docs.select(doc, words(F.col(text)).alias("_w")).select(doc, "_w", F.size("_w").alias("_len"))
-    total = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    hits = counted.select(doc, "_len", F.explode("_w").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total)).withColumn("_s", part)
-    return scored.join(F.broadcast(asked), "term").groupBy(query, doc).agg(F.sum("_s").alias("bm25"))
+    wanted = sorted(r[0] for r in asked.distinct().select("term").distinct().collect())  # a workload's distinct words
+    # The words are letters and digits, so they stand in the expression as they are; it becomes a look-up in one hash set.
+    some = "filter(_w, x -> x IN (" + ", ".join(f"'{x}'" for x in wanted or [""]) + "))"
+    counted = staged(docs.select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.expr(some).alias("_hit")), "postings")
+    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg")).first()
+    hits = counted.where(F.size("_hit") > 0).select(doc, "_len", F.explode("_hit").alias("term")).groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = counted.select(F.explode(F.array_distinct("_hit")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.ln((F.lit(total["n"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weight = df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"))
+    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.lit(total["avg"] or 1.0)))
+    asks = asked.join(weight, "term")  # as many rows as the queries have words
+    return hits.join(F.broadcast(asks), "term").groupBy(query, doc).agg(F.sum(part).alias("bm25"))
 
 
 def prefix_hits(docs: DataFrame, doc: str, text: str, prefix: str) -> DataFrame:
@@ -68,11 +113,14 @@ def phrase_hits(docs: DataFrame, doc: str, text: str, phrase: list[str]) -> Data
 
 
 def term_mentions(docs: DataFrame, terms: list[str], doc: str, text: str, group: str, pages: int = 12, top: int = 8) -> DataFrame:
-    """Per term and group the distinct documents that hold it, the first ids, and the groups with most of them."""
+    """Per term and group the number of distinct documents that hold it and the first ids, and the groups with most of them."""
     held = docs.select(doc, group, F.explode(F.array_intersect(words(F.col(text)), F.array(*map(F.lit, terms)))).alias("term"))
-    counted = held.groupBy("term", group).agg(F.count(F.lit(1)).alias("n_places"), F.slice(F.sort_array(F.collect_list(doc)), 1, pages).alias("places"))
-    order = Window.partitionBy("term").orderBy(F.desc("n_places"), group)
-    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    counted = held.groupBy("term", group).agg(F.count(F.lit(1)).alias("n_places"))
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n_places"), group))).where(F.col("place") <= top)
+    # Of a term and group only the first ids are gathered: the rank limits them before the shuffle.
+    first = held.withColumn("_r", F.row_number().over(Window.partitionBy("term", group).orderBy(doc))).where(F.col("_r") <= pages)
+    places = first.groupBy("term", group).agg(F.sort_array(F.collect_list(doc)).alias("places"))
+    return best.join(places, ["term", group]).select("term", group, "n_places", "places", "place")
 
 
 def dot(a: str, b: str) -> Column:
@@ -86,22 +134,128 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, qvector: str, k: int, least: float = -2.0) -> DataFrame:
-    """The k nearest vectors of each query by cosine, at least `least`. queries: few rows, sent to every task."""
-    q = queries.select(query, unit(qvector).alias("_q"))
-    near = vectors.select(key, unit(vector).alias("_v")).crossJoin(F.broadcast(q)).where(F.col(key) != F.col(query)).select(query, key, dot("_v", "_q").alias("similarity")).where(F.col("similarity") >= least)
+#: Queries scored against all rows at once, and the bytes that their vectors may take in a task.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows of that many components, in double, and the rows' places. Null, zero or odd vectors take no part."""
+    size = np.array([-1 if x is None else x for x in pc.list_value_length(column).to_pylist()])
+    at = np.flatnonzero(size == dim)
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim) if len(at) else np.zeros((0, dim))
+    norm = np.sqrt((flat * flat).sum(1)) if len(at) else np.zeros(0)
+    good = np.isfinite(norm) & (norm > 0)
+    return flat[good] / norm[good, None], at[good]
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, qvector: str, k: int | None = None, least: float | None = None, with_own: bool = False) -> DataFrame:
+    """(query, key, similarity) of all pairs (but a query's own key unless with_own), or of the k best of each batch of rows (k) or those of at least `least`.
+
+    The queries are the stated workload; they are taken in blocks of bounded size, each sent to all tasks.
+    """
+    spark, blocks = vectors.sparkSession, max(1, -(-queries.count() // BLOCK))
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
+    schema = f"`{query}` {kinds[query]}, `{key}` {kinds[key]}, similarity double"
+
+    def scored(part: DataFrame) -> DataFrame | None:
+        some = [(r[0], np.array(r[1], float)) for r in part.select(query, qvector).where(F.col(qvector).isNotNull()).collect()]
+        some = sorted(((i, x / np.sqrt(x @ x)) for i, x in some if np.isfinite(x).all() and x.any()), key=lambda x: (len(x[1]), x[0]))
+        if not some:
+            return None
+        dim = len(some[0][1])
+        if any(len(x) != dim for _, x in some):
+            raise ValueError("queries are of several dimensions: they come from several encoders")
+        matrix = np.array([x for _, x in some])
+        if matrix.nbytes > BLOCK_BYTES:
+            raise ValueError("a block of queries is too large; lower BLOCK")
+        shared = spark.sparkContext.broadcast(([i for i, _ in some], matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for b in batches:
+                v, at = _matrix(b.column(1), dim)
+                if not len(at):
+                    continue
+                own = b.column(0).take(pa.array(at))
+                s = np.einsum("qd,nd->qn", q, v)
+                ids = own.to_pylist()
+                place = {x: j for j, x in enumerate(ids)}
+                for j, name in enumerate(() if with_own else names):
+                    if name in place:
+                        s[j, place[name]] = -np.inf
+                keep = s > -np.inf
+                if least is not None:
+                    keep &= s >= least - 1e-9
+                if k is not None and s.shape[1] > k:
+                    bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    keep &= s >= bound[:, None] - 1e-9  # all that rounding may bring among the k best
+                x, y = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x.tolist()], _arrow(kinds[query])), own.take(pa.array(y)), pa.array(s[x, y])], names=[query, key, "similarity"])
+
+        return vectors.select(key, vector).mapInArrow(run, schema)
+
+    whole = None
+    for n in range(blocks):
+        got = scored(queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == n) if blocks > 1 else queries)
+        whole = got if whole is None else whole.unionByName(got) if got is not None else whole
+    return whole if whole is not None else spark.createDataFrame([], schema)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, qvector: str, k: int, least: float | None = None, digits: int = 9) -> DataFrame:
+    """The k nearest vectors of each query by cosine (rounded), at least `least`; ties go to the smaller key."""
+    near = cosine_scores(vectors, queries, key, vector, query, qvector, k, least).withColumn("similarity", F.round("similarity", digits))
+    near = near.where(F.col("similarity") >= least) if least is not None else near
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
 
 
-def label_margin(vectors: DataFrame, examples: DataFrame, key: str, vector: str, label: str, least: float, margin: float) -> DataFrame:
-    """the label of the most similar example, if similar enough and ahead of the next label. examples: few rows."""
-    ex = examples.select(F.col(label).alias("_l"), F.col(key).alias("_k"), unit(vector).alias("_e"))
-    best = vectors.select(key, unit(vector).alias("_v")).crossJoin(F.broadcast(ex)).where(F.col(key) != F.col("_k")).groupBy(key, "_l").agg(F.max(dot("_v", "_e")).alias("_s"))
+def label_margin(vectors: DataFrame, examples: DataFrame, key: str, vector: str, label: str, least: float, margin: float, with_own: bool = False) -> DataFrame:
+    """the label of the most similar example, if similar enough and ahead of the next label. Each vector gets the labels' best similarities."""
+    ex = examples.select(F.col(key).alias("_k"), F.col(vector).alias("_e"), F.col(label).alias("_l"))
+    pairs = cosine_scores(vectors, ex, key, vector, "_k", "_e", with_own=with_own)
+    best = pairs.join(ex.select("_k", "_l"), "_k").groupBy(key, "_l").agg(F.round(F.max("similarity"), 9).alias("_s"))
     ranked = best.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("_s", "_l")), False), 1, 2).alias("_t"))  # as many as there are labels
     lead = F.col("_t")[0]["_s"] - F.coalesce(F.get("_t", F.lit(1))["_s"], F.lit(-1.0))
     return ranked.select(key, F.when((F.col("_t")[0]["_s"] >= least) & (lead >= margin), F.col("_t")[0]["_l"]).alias("chosen"), F.round(F.col("_t")[0]["_s"], 6).alias("best"), F.round(lead, 6).alias("lead"))
 
 
+def exchange_vector(question: str, answer: str) -> Column:
+    """the sum of a question's and an answer's unit vectors."""
+    return F.zip_with(unit(question), unit(answer), lambda x, y: x + y)
+
+
+def require_one_space(chunks: DataFrame, space: Column, own: str) -> DataFrame:
+    """the chunks, after a check that all their vectors come from the encoder `own`."""
+    other = chunks.select(space.alias("s")).where(~F.col("s").eqNullSafe(F.lit(own))).limit(1).count()
+    if other:
+        raise ValueError("the encoder of the index has changed; encode the documents again")
+    return chunks
+
+
+def of_methods(chunks: DataFrame, method: str, methods: tuple[str, ...]) -> DataFrame:
+    """Chunks that were made by one of the methods (text, caption, description ...)."""
+    return chunks.where(F.col(method).isin(*methods))
+
+
+def hybrid_scores(similar: DataFrame, lexical: DataFrame, named: DataFrame, query: str, key: str, rank, gate: float = GATE) -> DataFrame:
+    """Reciprocal-rank fusion of three whole lists: (query, key, similarity, score).
+
+    similar: (query, key, similarity) of every chunk; lexical: (query, key, bm25); named: (query, key) of the chunks of
+    documents that the query names, ranked by similarity. A chunk needs a lexical or a named rank, or `gate` in similarity.
+    rank(rows, per, order, name) numbers rows in groups of any size.
+    """
+    by_meaning = similar.select(query, key, F.lit(0).alias("list"), F.col("similarity").alias("by"))
+    by_words = lexical.select(query, key, F.lit(1).alias("list"), F.col("bm25").alias("by"))
+    by_name = similar.join(named, [query, key], "left_semi").select(query, key, F.lit(2).alias("list"), F.col("similarity").alias("by"))
+    lists = rank(by_meaning.unionByName(by_words).unionByName(by_name), [query, "list"], [F.desc("by"), F.col(key)], "place")
+    weight = F.when(F.col("list") == 0, MEANING).when(F.col("list") == 1, WORDS).otherwise(NAMED)
+    fused = lists.groupBy(query, key).agg(F.sum(weight / (BASE + F.col("place"))).alias("score"), F.max(F.when(F.col("list") == 0, F.col("by"))).alias("similarity"), F.max("list").alias("_l"))
+    return fused.where((F.col("_l") > 0) | (F.col("similarity") >= gate)).drop("_l")
+
+
 def mean_vector(rows: DataFrame, per: list[str], vector: str) -> DataFrame:
     """the mean of unit vectors, brought to length one, as one array per group."""
     each = rows.select(*per, F.posexplode(unit(vector)).alias("_i", "_x")).groupBy(*per, "_i").agg(F.avg("_x").alias("_x"))

@@ -37,6 +37,29 @@ def prune_report(rows: DataFrame, active: DataFrame, key: str, size: Column) ->
     return rows.join(active.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes"))
 
 
+def prune(runs: DataFrame, chunks: DataFrame, active: DataFrame, run: str, size: Column, execute: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs and chunks as they stay, and a report of what goes (runs, chunks, bytes). Without `execute` everything stays."""
+    keep = active.where(F.col(run).isNotNull()).select(run).distinct()
+    gone_runs, gone = runs.join(keep, run, "left_anti"), chunks.join(keep, run, "left_anti")
+    report = gone_runs.agg(F.count(F.lit(1)).alias("n_runs")).crossJoin(gone.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes")))
+    return (runs.join(keep, run, "left_semi"), chunks.join(keep, run, "left_semi"), report) if execute else (runs, chunks, report)
+
+
+def verify(originals: DataFrame, artifacts: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """One table of issues (place, issue): originals and artifacts whose content isn't what was recorded, chunks that a run recorded and lacks or holds without a record, and index entries that drift.
+
+    originals, artifacts: place, recorded, found (digests, found null if missing); chunks: run, id, text; index: id, text; a
+    recorded set of chunk ids comes as rows of artifacts' column `chunk_ids` (array), null where none was recorded.
+    """
+    digest = lambda t, what: t.select("place", F.when(F.col("found").isNull(), f"{what} missing").when(F.col("found") != F.col("recorded"), f"{what} changed").alias("issue")).where("issue is not null")
+    listed = artifacts.where("chunk_ids is not null").select(F.col("place").alias("run"), F.explode("chunk_ids").alias("id"))
+    held = chunks.join(artifacts.where("chunk_ids is not null").select(F.col("place").alias("run")), "run", "left_semi").select("run", "id")
+    lacks = listed.exceptAll(held).select(F.col("run").alias("place"), F.concat(F.lit("chunk lacks: "), "id").alias("issue"))
+    more = held.exceptAll(listed).select(F.col("run").alias("place"), F.concat(F.lit("chunk not recorded: "), "id").alias("issue"))
+    index_ = drift(chunks, index, "id", "text").select(F.col("run").alias("place"), F.concat(F.lit("index "), "issue", F.lit(": "), "id").alias("issue"))
+    return digest(originals, "original").unionByName(digest(artifacts, "artifact")).unionByName(lacks).unionByName(more).unionByName(index_)
+
+
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFrame]:
     """Parents without the doomed ones, and children without those of doomed parents."""
     return parents.join(doomed.select(key), key, "left_anti"), children.join(doomed.select(F.col(key).alias(parent)), parent, "left_anti")
@@ -48,6 +71,17 @@ def fold_events(log: DataFrame, key: str, order: list[str], fields: list[str]) -
     return log.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields], F.count(F.lit(1)).alias("n_events"))
 
 
+def next_number(log: DataFrame, number: str) -> int:
+    """The number of the next experiment."""
+    return (log.agg(F.max(number)).first()[0] or 0) + 1
+
+
+def close_open(log: DataFrame, key: str, order: list[str], status: str, now: Column) -> DataFrame:
+    """An event for each experiment that was started and never ended, as interrupted; to be appended to the log."""
+    state = fold_events(log, key, order, [status])
+    return state.where(F.col(status) == "started").select(key, F.lit("interrupted").alias(status), now.alias("at"))
+
+
 def classify_ingest(incoming: DataFrame, catalog: DataFrame, title: str, digest: str, version: str) -> DataFrame:
     """Each incoming document as duplicate, new_version, alias or new, with its version. Of the catalog only latest versions count."""
     newest = latest_by(catalog, [title], [version], [digest])
@@ -82,3 +116,19 @@ def chain_roots(links: DataFrame, node: str, parent: str) -> DataFrame:
 def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
     """U-S5: how many rows each side has beyond the other, repeated rows counted."""
     return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right")))
+
+
+def numbered_blocks(rows: DataFrame, order: str, letter: str) -> DataFrame:
+    """Report lines as citable blocks: their marks (R1, R2 ...) in order. A report has few lines."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("mark", F.concat(F.lit(letter), F.row_number().over(Window.orderBy(order)).cast("string")))
+
+
+def conversation_list(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """Conversations that aren't deleted, with the messages of the user and the assistant that are in context (by default they are) and not blank counted, the latest first."""
+    from pyspark.sql import Window
+
+    counts = F.col("role").isin("user", "assistant") & F.coalesce("in_context", F.lit(True)) & (F.trim("text") != "")
+    each = messages.where(~F.coalesce("deleted", F.lit(False))).groupBy(key).agg(F.count_if(counts).alias("n_messages"), F.max(order).alias("last_turn"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_turn"), key)))

@@ -38,10 +38,26 @@ def from_elsewhere(rows: DataFrame, conversation: str, current: str | None) -> D
     return rows.where((F.col("forgotten") == 0) & ~F.col(conversation).eqNullSafe(F.lit(current)))
 
 
-def named_documents(cards: DataFrame, question: Column, title: str, least: int = 4) -> Column:
-    """Whether the question names the card: its squashed title stands in the squashed question."""
-    squash = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    return (F.length(squash(F.col(title))) >= least) & squash(question).contains(squash(F.col(title)))
+def _squash(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+def title_named(question: Column, title: Column, least: int = 12) -> Column:
+    """Whether the squashed title, if long enough, stands in the squashed question."""
+    return (F.length(_squash(title)) >= least) & _squash(question).contains(_squash(title))
+
+
+def named_documents(question: Column, title: Column, surnames: Column, doi: Column, stop_words: tuple[str, ...], least: int = 12) -> Column:
+    """Whether the question names a card by an author's surname (three letters or more, no stop word), by its title or by its DOI."""
+    asked = F.regexp_extract_all(F.lower(question), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    known = F.filter(F.transform(F.coalesce(surnames, F.array().cast("array<string>")), F.lower), lambda x: (F.length(x) >= 3) & ~x.isin(*stop_words))
+    by_doi = (F.length(F.coalesce(doi, F.lit(""))) > 0) & F.lower(question).contains(F.lower(doi))
+    return F.arrays_overlap(known, asked) | F.coalesce(title_named(question, title, least), F.lit(False)) | F.coalesce(by_doi, F.lit(False))
+
+
+def only_named(chunks: DataFrame, question: Column, named: Column) -> DataFrame:
+    """Where the question says only/apenas, chunks of the documents that it names; else all."""
+    return chunks.where(~question.rlike(r"(?i)\b(only|apenas|somente|s[oó])\b") | named)
 
 
 def caption_descriptions(mentions: DataFrame, descriptions: DataFrame, on: list[str], position: str, item: str) -> DataFrame:
@@ -125,3 +141,29 @@ def accepted_notes(notes: DataFrame, sources: DataFrame, kinds: tuple[str, ...],
 def indicators(wide: DataFrame, key: list[str], names: list[str]) -> DataFrame:
     """Wide results as (key, indicator, value)."""
     return wide.unpivot(key, names, "indicator", "value")
+
+
+def matching(rows: DataFrame, **conditions) -> DataFrame:
+    """Rows of the given values; a condition of None isn't applied, a list means any of its values."""
+    for name, value in conditions.items():
+        if value is not None:
+            rows = rows.where(F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name) == value)
+    return rows
+
+
+def current_pages(trail: DataFrame, documents: DataFrame, digest: str) -> DataFrame:
+    """Pages of a trail with the current document of the same content; those that have vanished drop."""
+    now = documents.groupBy(digest).agg(F.min("doc").alias("doc"))
+    return trail.join(now, digest)
+
+
+def clear_onsets(panels: DataFrame, onsets: DataFrame, trial: str) -> DataFrame:
+    """Each panel with the trial's observed onset where that is clear, else null."""
+    o = onsets.select(trial, F.when(F.col("stability") == "clear", F.col("observed")).alias("onset"))
+    return panels.join(o, trial, "left")
+
+
+def grouped_hits(hits: DataFrame, query: str, title: str, rank: str) -> DataFrame:
+    """A query's hits by title, titles in the order of their best hit, with counts, and each title's hits in order."""
+    own = hits.groupBy(query, title).agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("n_hits"), F.transform(F.array_sort(F.collect_list(F.struct(rank))), lambda x: x[rank]).alias("ranks"))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("_first"))).drop("_first")

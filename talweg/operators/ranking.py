@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def sequence_rank(df: DataFrame, order: list[Column], name: str, per: list[str] | None = None) -> DataFrame:
     """1, 2, 3 ... within each group. The order must be total."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(per or [])).orderBy(*order)))
 
 
+def prefix_sums(rows: DataFrame, per: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Of each row the sums over the rows before it in its group, whatever the group's size. The order must be total.
+
+    The rows are dealt out by ranges of group and order, summed within each range, and what the ranges before it hold is
+    added: no task sees more than a range, and only the ranges' totals (one row a range and group) are ordered again.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = rows.withColumns({f"_v_{k}": v for k, v in sums.items()})
+    dealt = staged(asked.repartitionByRange(n, *per, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*per, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*[f"_g{k}" for k in range(len(per))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*per, "_range").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    totals = totals.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(per)], F.col("_range").alias("_r"), *[f"_t_{k}" for k in sums])
+    totals = totals.select(*[f"_g{k}" for k in range(len(per))], "_r", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    same = F.col("_range") == F.col("_r")
+    for k, g in enumerate(per):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    summed = dealt.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in sums}).join(totals, same)
+    return summed.select(*rows.columns, *[(F.col(f"_b_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])
+
+
+def global_rank(rows: DataFrame, per: list[str], order: list[Column], name: str) -> DataFrame:
+    """1, 2, 3 ... within groups of any size. The order must be total."""
+    return prefix_sums(rows, per, order, {name: F.lit(1)}).withColumn(name, F.col(name) + 1)
+
+
 def best_place(value: str, per: list[str]) -> Column:
     """Equal values share the best place (1, 1, 3), largest first."""
     return F.rank().over(Window.partitionBy(*per).orderBy(F.desc(value)))
@@ -39,6 +67,48 @@ def diverse(ranked: DataFrame, group: str, rank: str, limit: int, cap: Column, p
     return chosen.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(rank))).drop("_e", "_p")
 
 
+def capped(rows: DataFrame, group: str, order: list[Column], cap: int, limit: int, per: list[str]) -> DataFrame:
+    """W11 over groups of any size: as `diverse` with a cap of few rows, but only the first `limit` of a group and of the whole are ever gathered."""
+    lead = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*per, group).orderBy(*order))).where(F.col("_k") <= cap + limit)
+    picked = lead.withColumn("_p", F.row_number().over(Window.partitionBy(*per).orderBy(F.col("_k") > cap, *order))).where(F.col("_p") <= limit)
+    return picked.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).drop("_k", "_p")
+
+
+def ranked_places(rows: DataFrame, per: list[str], place: str, rank: str, most: int) -> DataFrame:
+    """The first `most` distinct places of each group, best first."""
+    best = rows.groupBy(*per, place).agg(F.min(rank).alias("_f"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy("_f"))).where(F.col("place") <= most).drop("_f")
+
+
+def search_units(hits: DataFrame, plan: str, unit: str, item: str, group: str, rank: str, score: str, sources: int, limit: int) -> DataFrame:
+    """Each unit's hits with its sources spread (W15), the units interleaved (W14), and each unit's place by the second score.
+
+    hits are the units' bounded result lists.
+    """
+    spread = spread_sources(hits, group, rank, sources, [unit]).withColumnRenamed("place", "_spread")
+    again = spread.withColumn("reranked", F.row_number().over(Window.partitionBy(unit).orderBy(F.desc(score), item)))
+    first = again.groupBy(plan, item).agg(F.min(F.struct(F.col("_spread"), F.col(unit), F.col("reranked"))).alias("_f"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(plan).orderBy("_f._spread", f"_f.{unit}", item))).where(F.col("place") <= limit)
+    return placed.select(plan, F.col(f"_f.{unit}").alias(unit), item, "place", F.col("_f.reranked").alias("reranked"))
+
+
+def most_similar(rows: DataFrame, per: list[str], similarity: str, tie: str, least: float, most: int) -> DataFrame:
+    """Rows of at least that similarity, best first and then by `tie`, `most` of each group."""
+    near = rows.where(F.col(similarity) >= least)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(similarity), tie))).where(F.col("place") <= most)
+
+
+def relevant_notes(notes: DataFrame, query: str, kind: str, similarity: str, created: str, profile: int = 15, preference: int = 10, others: int = 8, least: float = 0.30) -> DataFrame:
+    """Per query the newest profile and preference notes, and of the others the most similar ones of at least `least`; where none is, the most recent."""
+    per = [query, kind]
+    newest = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(created)))
+    own = notes.where(F.col(kind).isin("profile", "preference")).withColumn("_r", newest).where(F.col("_r") <= F.when(F.col(kind) == "profile", profile).otherwise(preference))
+    rest = notes.where(~F.col(kind).isin("profile", "preference"))
+    near = rest.where(F.col(similarity) >= least).withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(similarity), F.desc(created)))).where(F.col("_r") <= others)
+    recent = rest.join(near.select(query).distinct(), query, "left_anti").withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(created)))).where(F.col("_r") <= others)
+    return own.unionByName(near).unionByName(recent).drop("_r")
+
+
 def group_best(ranked: DataFrame, group: str, rank: str, score: str, pool: int, each: int, per: list[str]) -> DataFrame:
     """Of the first `pool` candidates at most `each` of a group count, by their best score; ties go to the earlier one."""
     taken = ranked.where(F.col(rank) <= pool).withColumn("_k", F.row_number().over(Window.partitionBy(*per, group).orderBy(rank))).where(F.col("_k") <= each)
@@ -68,22 +138,21 @@ def page_cost(text: Column) -> Column:
 def share_budget(asks: DataFrame, order: list[str], want: str, floor: str, budget: int, cap_share: float, per: list[str]) -> DataFrame:
     """Pinned asks get all they want first; then each gets its floor, then more up to its cap, then the rest, each pass in order while the budget lasts. Needs a boolean column `pinned`."""
     cap = F.lit(int(budget * cap_share))
-    steps = [
-        ("_g1", F.when(F.col("pinned"), F.col(want)).otherwise(0)),
-        ("_g2", F.when(~F.col("pinned"), F.least(F.col(floor), F.col(want))).otherwise(0)),
-        ("_g3", F.when(~F.col("pinned"), F.greatest(F.least(F.col(want), cap) - F.col("_g2"), F.lit(0))).otherwise(0)),
-        ("_g4", F.when(~F.col("pinned"), F.col(want) - F.col("_g2") - F.col("_g3")).otherwise(0)),
-    ]
-    run = Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*per)
-    spent = F.lit(0)
-    for name, ask in steps:
-        before = F.coalesce(F.sum("_ask").over(run), F.lit(0))
-        asks = asks.withColumn("_ask", ask).withColumn(name, F.greatest(F.least(F.col("_ask"), F.lit(budget) - spent - before), F.lit(0)))
-        spent = spent + F.sum(name).over(whole)
-        asks = asks.withColumn("_spent", spent)
-        spent = F.col("_spent")
-    return asks.withColumn("granted", F.col("_g1") + F.col("_g2") + F.col("_g3") + F.col("_g4")).drop("_ask", "_spent", "_g1", "_g2", "_g3", "_g4")
+    second = F.when(~F.col("pinned"), F.least(F.col(floor), F.col(want))).otherwise(0)
+    third = F.when(~F.col("pinned"), F.greatest(F.least(F.col(want), cap) - second, F.lit(0))).otherwise(0)
+    steps = [F.when(F.col("pinned"), F.col(want)).otherwise(0), second, third, F.when(~F.col("pinned"), F.col(want) - second - third).otherwise(0)]
+    # What a step asks for doesn't depend on what was granted, so one pass gives all sums before each row; what is left for
+    # a step follows from the steps' totals alone.
+    total = asks.groupBy(*[F.col(g).alias(f"_p{k}") for k, g in enumerate(per)]).agg(*[F.sum(x).alias(f"_t{k}") for k, x in enumerate(steps)])
+    before = prefix_sums(asks, per, [F.col(c) for c in order], {f"_b{k}": x for k, x in enumerate(steps)})
+    same = F.lit(True)
+    for k, g in enumerate(per):
+        same &= F.col(g).eqNullSafe(F.col(f"_p{k}"))
+    joined, spent, granted = before.join(total, same), F.lit(0), F.lit(0)
+    for k, ask in enumerate(steps):
+        granted = granted + F.greatest(F.least(ask, F.lit(budget) - spent - F.col(f"_b{k}")), F.lit(0))
+        spent = F.least(spent + F.col(f"_t{k}"), F.lit(budget))
+    return joined.select(*asks.columns, granted.alias("granted"))
 
 
 def recent_within(rows: DataFrame, per: list[str], order: str, size: Column, budget: int) -> DataFrame:

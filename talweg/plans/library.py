@@ -26,9 +26,22 @@ def support_filter(spark, d):
     return L.without_support(c, "locator", F.col("asked"), ("references", "contents"), (" · references", " · contents")).select("doc_id")
 
 
+def _cards(spark, d):
+    """Cards: the source's title, the customer-like surnames and DOIs that the tables give, and a question for each."""
+    c = T(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Handbook of "), "s_name").alias("title"), F.array(F.concat(F.lit("Author"), (F.col("s_suppkey") % 7).cast("string")), F.lit("and")).alias("surnames"), F.concat(F.lit("10.1000/S"), F.col("s_suppkey").cast("string"), F.lit("x")).alias("doi"))
+    ask = F.element_at(F.array(F.lit("What do author3 and others say?"), F.concat(F.lit("See the HANDBOOK of supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")), F.concat(F.lit("Is 10.1000/s"), F.col("s_suppkey").cast("string"), F.lit("X only a draft?")), F.lit("Nothing is named, only and apenas")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return c.withColumn("question", ask)
+
+
 def named_documents(spark, d):
-    s = T(spark, d, "documents").select("source").distinct()
-    return s.withColumn("named", L.named_documents(s, F.lit("What does SRC-1 say, and src 15?"), "source"))
+    c = _cards(spark, d)
+    return c.select("s_suppkey", L.named_documents(F.col("question"), F.col("title"), F.col("surnames"), F.col("doi"), ("and", "the")).alias("named"))
+
+
+def only_named(spark, d):
+    c = _cards(spark, d)
+    named = L.named_documents(F.col("question"), F.col("title"), F.col("surnames"), F.col("doi"), ("and", "the"))
+    return L.only_named(c, F.col("question"), named).select("s_suppkey")
 
 
 def caption_descriptions(spark, d):
@@ -95,11 +108,14 @@ def indicator_rows(spark, d):
     return L.indicators(w, ["o_orderstatus"], ["total", "n"])
 
 
+_CARDS = "(SELECT *, CASE s_suppkey % 4 WHEN 0 THEN 'What do author3 and others say?' WHEN 1 THEN 'See the HANDBOOK of supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN 2 THEN 'Is 10.1000/s' || s_suppkey || 'X only a draft?' ELSE 'Nothing is named, only and apenas' END AS q FROM supplier)"
+_NAMED = "((s_suppkey % 7 = 3 AND list_contains(regexp_extract_all(lower(q), '[a-z0-9]+'), 'author3')) OR contains(regexp_replace(lower(q), '[^a-z0-9]+', '', 'g'), 'handbookof' || regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g')) OR contains(lower(q), '10.1000/s' || s_suppkey || 'x'))"
 QUERIES = {
     "reindex_reuse": (reindex_reuse, "WITH x AS (SELECT doc_id, source, md5(text) AS t FROM documents), o AS (SELECT DISTINCT t FROM x WHERE doc_id % 2 = 0) SELECT source, count(o.t) AS reused, count(*) FILTER (o.t IS NULL) AS to_encode FROM x LEFT JOIN o USING (t) WHERE doc_id % 2 = 1 OR doc_id % 5 = 0 GROUP BY 1"),
     "opening_text": (opening_text, "SELECT conv_id, md5(substr(string_agg(text, chr(10) ORDER BY turn, text), 1, 200)) AS digest FROM conversations GROUP BY 1"),
     "support_filter": (support_filter, "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0"),
-    "named_documents": (named_documents, "SELECT DISTINCT source, length(source) >= 4 AND contains('whatdoessrc1sayandsrc15', source) AS named FROM documents"),
+    "named_documents": (named_documents, f"SELECT s_suppkey, {_NAMED} AS named FROM {_CARDS}"),
+    "only_named": (only_named, f"SELECT s_suppkey FROM {_CARDS} WHERE NOT regexp_matches(q, '(?i)\\b(only|apenas)\\b') OR {_NAMED}"),
     "caption_descriptions": (caption_descriptions, "SELECT p_partkey, d AS description FROM part LEFT JOIN (SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) d FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"),
     "figure_summary": (figure_summary, "SELECT user_id, count(*) AS pages, count(*) FILTER (event_type = 'click') AS with_text, count(*) FILTER (value > 10) AS described, sum(event_id % 4)::BIGINT AS items, arg_max(event_type || '-m', ts) FILTER (value > 10) AS last_model FROM events GROUP BY 1"),
     "trail_weights": (trail_weights, "WITH l AS (SELECT *, max(event_id) OVER (PARTITION BY user_id) m FROM events), w AS (SELECT user_id, event_type, round(sum(value * CASE WHEN event_id = m THEN 2 ELSE 1 END), 9) AS weight, min(event_id) f FROM l GROUP BY 1, 2) SELECT user_id, event_type, place, round(weight, 5) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, f) AS place FROM w) WHERE place <= 3"),

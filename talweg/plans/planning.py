@@ -20,13 +20,9 @@ def token_estimates(spark, d):
     return T(spark, d, "documents").select("doc_id", P.estimated_tokens(F.col("n_chars"), F.col("doc_id") % 7).alias("tokens"))
 
 
-def question_units(spark, d):
-    q = T(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Compare "), F.lower("n_name"), F.lit(", item "), (F.col("n_nationkey") % 3).cast("string"), F.lit(" and "), F.lower("n_name"), F.lit("; give two sources")).alias("q"))
-    return P.plan_units(q, "n_nationkey", "q")
-
-
 def checked_cards(spark, d):
-    b = T(spark, d, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 30)).otherwise("not in the text at all").alias("title"), F.array(F.lit("The, X."), F.lit("Nobody, Y.")).alias("authors"), F.lit(1987).alias("year"), F.lit("10.1/none").alias("doi"))
+    b = T(spark, d, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 30)).otherwise("not in the text at all").alias("title"), F.array(F.lit("The, X."), F.lit("Nobody, Y.")).alias("authors"), F.lit(1987).alias("year"), F.lit("https://doi.org/10.1000/ABC.").alias("doi"))
+    b = b.withColumn("text", F.concat("text", F.when(F.col("item_id") % 3 == 0, " doi:10.1000/abc").otherwise("")))
     c = P.checked_card(b, "text")
     return c.select("item_id", F.col("title").isNotNull().alias("has_title"), F.size("authors").alias("n_authors"), F.col("year").isNotNull().alias("has_year"), F.col("doi").isNotNull().alias("has_doi"))
 
@@ -42,8 +38,7 @@ def filled_pieces(spark, d):
 QUERIES = {
     "page_costs": (page_costs, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) p, len(string_split(text, chr(10))) n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n > 10 THEN (p - 1) // 4 ELSE 0 END AS block, sum(CASE WHEN doc_id % 2 = 0 THEN 575 + ceil(least(length(line), 120) / 3) ELSE 15 + ceil(length(line) / 3) END)::BIGINT AS cost FROM l GROUP BY 1, 2"),
     "token_estimates": (token_estimates, "SELECT doc_id, n_chars // 3 + doc_id % 7 AS tokens FROM documents"),
-    "question_units": (question_units, "WITH u AS (SELECT n_nationkey, unnest([lower(n_name), 'item ' || (n_nationkey % 3), 'give two sources']) AS name, unnest([1, 2, 3]) AS unit FROM nation) SELECT n_nationkey, 2 AS sources, unit, name FROM u"),
-    "checked_cards": (checked_cards, r"SELECT item_id, item_id % 2 = 0 AS has_title, list_contains(regexp_extract_all(lower(text), '\p{L}+'), 'the')::INT + list_contains(regexp_extract_all(lower(text), '\p{L}+'), 'nobody')::INT AS n_authors, contains(text, '1987') AS has_year, false AS has_doi FROM benchmark"),
+    "checked_cards": (checked_cards, r"SELECT item_id, item_id % 2 = 0 AS has_title, list_contains(regexp_extract_all(strip_accents(lower(text)), '\p{L}+'), 'the')::INT + list_contains(regexp_extract_all(lower(text), '\p{L}+'), 'nobody')::INT AS n_authors, contains(text, '1987') AS has_year, item_id % 3 = 0 AS has_doi FROM benchmark"),
     "time_grids": (time_grids, "SELECT r_regionkey, unnest([0.0::DOUBLE, 1, 2.5, 5, 7.5, 10]) AS t FROM region"),
     "filled_pieces": (filled_pieces, None),
 }

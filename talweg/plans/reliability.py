@@ -100,6 +100,6 @@ QUERIES = {
     "maintainability": (maintainability, "SELECT s_suppkey, t::INT AS t, round(1 - exp(-t / (s_nationkey + 1)), 9) AS maintainability FROM supplier, range(0, 41, 10) r(t)"),
     "fmeca_rank": (fmeca_rank, f"WITH {_ITEMS_SQL} SELECT id, s, o, d, rate, s * o * d AS rpn, rank() OVER (ORDER BY s * o * d DESC) AS place_rpn, rank() OVER (ORDER BY o DESC) AS place_o, CASE WHEN rate IS NOT NULL THEN rank() OVER (ORDER BY rate DESC NULLS LAST) END AS place_rate, round(1 - exp(-rate * hours), 9) AS chance_1, round(rate * hours, 9) AS expected_1, round(1 - exp(-rate * hours * 10), 9) AS chance_10, round(rate * hours * 10, 9) AS expected_10 FROM i"),
     "fmeca_discordant": (fmeca_discordant, f"WITH {_ITEMS_SQL} SELECT a.id AS more_o, b.id AS less_o FROM i a JOIN i b ON a.o > b.o AND a.rate < b.rate"),
-    "component_view": (component_view, f"WITH {_ITEMS_SQL}, {_REP_SQL} SELECT id, scenario, detection + repair AS stop_hours, round(8760 / (rate * hours), 6) AS mtbf_hours, round(8760 / (rate * hours) / (8760 / (rate * hours) + detection + repair), 6) AS availability, round(rate * hours * (detection + repair), 6) AS down_per_year FROM i JOIN rep ON id = \"group\" WHERE rate IS NOT NULL"),
+    "component_view": (component_view, f"WITH {_ITEMS_SQL}, {_REP_SQL}, b AS (SELECT *, unnest(['calendar', 'service']) AS basis FROM i JOIN rep ON id = \"group\" WHERE rate IS NOT NULL), m AS (SELECT *, CASE basis WHEN 'calendar' THEN 8760 / (rate * hours) ELSE 1 / rate END AS mt FROM b) SELECT id, scenario, basis, detection + repair AS stop_hours, round(mt, 6) AS mtbf_hours, round(mt / (mt + detection + repair), 6) AS availability, round(rate * hours * (detection + repair), 6) AS down_per_year FROM m"),
     "repairs_check": (repairs_check, "SELECT 'igbt' AS \"group\", 'no repair' AS issue"),
 }

@@ -9,7 +9,6 @@ from ..functions import text as X
 from ..storage import table as T
 
 HEADING = r"^[A-Z][a-z]+ [a-z]+\.$"
-RULES = [(r"(?i)\b(what|who|when|where)\b", "fact"), (r"(?i)\b(list|all|every)\b", "list"), (r"(?i)\b(why|how)\b", "explain"), (r"\?", "question")]
 
 
 def _docs(spark, d):
@@ -30,7 +29,8 @@ def running_headers(spark, d):
 
 
 def header_tracking(spark, d):
-    return X.tracks_pages(T(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + F.when(F.col("role") == "user", 0).otherwise(1)).alias("k")), ["conv_id"], "turn", "k", least=3)
+    lines = T(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + F.when(F.col("conv_id") % 2 == 0, 7).otherwise(F.col("turn") % 2)).alias("k"))
+    return X.tracks_pages(lines, ["conv_id"], "turn", "k", least=3)
 
 
 def chunk_dedup(spark, d):
@@ -38,11 +38,6 @@ def chunk_dedup(spark, d):
     return X.first_chunks(lines, "doc_id", "line_no", "line").select("doc_id", "line_no", "n_copies")
 
 
-def caption_labels(spark, d):
-    labels = X.caption_labels(F.col("text"), r"(?i)\b(version [0-9]+)")
-    return _docs(spark, d).select("doc_id", F.explode(labels).alias("label"))
-
-
 def subject_terms(spark, d):
     return T(spark, d, "benchmark").select("item_id", F.array_join(X.subject_terms(R.words(F.col("text")), R.STOP_WORDS), " ").alias("terms"))
 
@@ -61,12 +56,24 @@ def sentence_spans(spark, d):
     return _docs(spark, d).select("doc_id", F.size(X.sentences("text")).alias("n_sentences"))
 
 
+def _with_references(spark, d):
+    """Documents with a planted list: a title, four numbered entries (one of two lines), and for some of them other lines after it."""
+    k = F.col("doc_id")
+    tail = F.when(k % 3 == 0, F.array_join(F.array_repeat(F.lit("plain words without an entry"), 9), "\n")).when(k % 3 == 1, "1. another list begins").otherwise("")
+    own = F.concat(F.lit("before\nReferences\n[1] Silva, J. A title\nand its end, 2019, pp. 3-9\n[2] Costa, A.\n[3] Lima, B.\n"), F.when(k % 5 == 0, "").otherwise("[4] Reis, C.\n"), tail)
+    return T(spark, d, "documents").select("doc_id", own.alias("text"))
+
+
 def reference_regions(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(X.reference_regions("text")).alias("r")).select("doc_id", "r.start", "r.end")
+    return X.reference_regions(_with_references(spark, d), "doc_id", "text")
 
 
 def contents_pages(spark, d):
-    return _docs(spark, d).select("doc_id", X.is_contents(F.col("text"), 1, 0.01).alias("is_contents"))
+    """Of every document its text, and for some of them planted lines with leaders before it."""
+    k = F.col("doc_id")
+    lead = F.array_join(F.array_repeat(F.concat(F.lit("Chapter of words "), F.repeat(F.lit(". "), 8), F.lit("12")), 6), "\n")
+    t = F.when(k % 3 == 0, lead).when(k % 3 == 1, F.concat(lead, F.lit("\n"), F.array_join(F.array_repeat(F.lit("a line"), 12), "\n"))).otherwise(F.col("text"))
+    return T(spark, d, "documents").where("text is not null").select("doc_id", X.is_contents(t).alias("is_contents"))
 
 
 def glyph_codes(spark, d):
@@ -77,31 +84,6 @@ def folded_text(spark, d):
     return T(spark, d, "benchmark").select("item_id", X.squash(X.plain("text")).alias("squashed"))
 
 
-def number_extract(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(X.numbers(F.col("text"))).alias("k", "number")).select("doc_id", "k", "number", F.array_join(F.transform(X.readings(F.col("number")), lambda v: v.cast("string")), ";").alias("readings"))
-
-
-def _answers(spark, d):
-    return T(spark, d, "benchmark").select("item_id", F.concat(F.lit("see [K"), F.col("item_id"), F.lit(", K"), F.col("item_id") + 1, F.lit("] and [K"), F.col("item_id"), F.lit("-K"), F.col("item_id") + 3, F.lit("]")).alias("answer"))
-
-
-def citation_verdict(spark, d):
-    used = X.marks(F.when(F.col("item_id") % 4 == 0, "none").otherwise(F.col("answer")))
-    allowed = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.concat(F.lit("K"), i.cast("string")))
-    return _answers(spark, d).select("item_id", used.alias("u")).select("item_id", F.size("u").alias("n_marks"), X.citation_verdict(F.col("u"), allowed, F.col("item_id") % 8 == 0).alias("verdict"))
-
-
-def number_check(spark, d):
-    c = T(spark, d, "orders")
-    a = c.select("o_orderkey", F.array(F.round("o_totalprice", 2).cast("string"), F.lit("2.041")).alias("numbers"))
-    e = c.select("o_orderkey", F.array(F.when(F.col("o_orderkey") % 3 != 0, F.round("o_totalprice", 2).cast("string")).otherwise(F.lit("7")), F.lit("2041")).alias("numbers"))
-    return X.unsupported(a, e, "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-def intent_routing(spark, d):
-    return T(spark, d, "conversations").select("conv_id", "turn", X.intent(F.col("text"), RULES, "other").alias("intent"))
-
-
 def conversation_pairs(spark, d):
     """Consecutive user and assistant messages."""
     from pyspark.sql import Window
@@ -120,11 +102,24 @@ def note_names(spark, d):
     return X.note_names(T(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey").select("c_custkey", "note_name")
 
 
-def passages(spark, d):
-    chunks = X.lines_of(_docs(spark, d).where("doc_id < 300"), "doc_id", "text").withColumnRenamed("line", "text")
+def _lines_and_hits(spark, d):
+    chunks = X.lines_of(_docs(spark, d), "doc_id", "text").withColumnRenamed("line", "text")
     chunks = chunks.withColumn("line_no", F.col("line_no").cast("long"))
     hits = chunks.where(F.length("text") % 4 == 0).select("doc_id", "line_no", F.row_number().over(_by_length()).cast("long").alias("rank"))
-    return X.passages(hits, chunks, "doc_id", "line_no", "rank").withColumn("passage", F.md5("passage"))
+    return chunks, hits
+
+
+def passages(spark, d):
+    chunks, hits = _lines_and_hits(spark, d)
+    return X.passages(hits, chunks, "doc_id", "line_no", "rank").select("doc_id", "rank", "first", "last", F.md5("passage").alias("passage"))
+
+
+def overlap_passages(spark, d):
+    """Fixed windows of words, which share their ends, joined again."""
+    w = _docs(spark, d).select("doc_id", F.posexplode(X.fixed_windows(F.split(F.trim("text"), r"\s+"), 40, 30)).alias("k", "w"))
+    chunks = w.select("doc_id", F.col("k").cast("long").alias("k"), F.array_join("w", " ").alias("text"))
+    hits = chunks.where("k % 4 = 1").select("doc_id", "k", F.floor(F.col("k") / 4).alias("rank"))
+    return X.passages(hits, chunks, "doc_id", "k", "rank", fixed=True).select("doc_id", "rank", "first", "last", F.md5("passage").alias("passage"))
 
 
 def _by_length():
@@ -137,7 +132,7 @@ def reading_plan(spark, d):
     """Allowances by source, then the blocks of each document that fit."""
     from ..operators import ranking as K
 
-    pages = X.lines_of(_docs(spark, d).where("doc_id < 400"), "doc_id", "text").withColumn("block", F.floor((F.col("line_no") - 1) / 2))
+    pages = X.lines_of(_docs(spark, d), "doc_id", "text").withColumn("block", F.floor((F.col("line_no") - 1) / 2))
     blocks = pages.groupBy("doc_id", "block").agg(F.sum(K.page_cost(F.col("line"))).cast("double").alias("cost"), F.min(F.when(F.col("line").contains("the"), F.col("line_no"))).cast("double").alias("found"))
     totals = blocks.groupBy("doc_id").agg(F.sum("cost").cast("bigint").alias("want"), F.min("cost").cast("bigint").alias("floor"))
     asks = totals.join(T(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("pinned", F.col("doc_id") % 97 == 0)
@@ -149,22 +144,18 @@ _W = r"[\p{L}\p{N}]+"
 QUERIES = {
     "markdown_sections": (markdown_sections, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents WHERE text IS NOT NULL), s AS (SELECT *, sum(regexp_matches(line, '" + HEADING + "')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l), b AS (SELECT doc_id, section, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) body FROM s GROUP BY 1, 2) SELECT doc_id, section, first_line, last_line, md5(body) AS digest FROM b WHERE section > 0 OR trim(body) <> ''"),
     "json_leaves": (json_leaves, "SELECT event_id, '/' || k AS pointer, (props::JSON ->> k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) k FROM events)"),
-    "running_headers": (running_headers, r"WITH f AS (SELECT doc_id % 10 AS series, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT series, doc_id, regexp_replace(regexp_replace(trim(lower(line)), '\s+', ' ', 'g'), '\d+', '#', 'g') AS pattern FROM (SELECT series, doc_id, unnest(l[1:3] || CASE WHEN len(l) > 3 THEN l[greatest(len(l) - 2, 1):len(l)] ELSE [] END) line FROM f)), n AS (SELECT series, count(*) AS n_pages FROM f GROUP BY 1), c AS (SELECT series, pattern, count(*) AS n_seen FROM e GROUP BY 1, 2) SELECT series, pattern, n_seen, n_pages FROM c JOIN n USING (series) WHERE n_pages >= 4 AND n_seen >= greatest(3, ceil(0.05 * n_pages))"),
-    "header_tracking": (header_tracking, "WITH x AS (SELECT conv_id, turn, turn + CASE role WHEN 'user' THEN 0 ELSE 1 END k FROM conversations), p AS (SELECT conv_id, lead(turn) OVER w - turn dp, lead(k) OVER w - k dn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT conv_id, count(*) n, count(*) FILTER (dp <= 4) AS pairs, count(*) FILTER (dp <= 4 AND dp = dn) AS hits FROM p GROUP BY 1) SELECT conv_id, pairs, hits FROM g WHERE n >= 3 AND pairs >= 2 AND hits >= 0.6 * pairs"),
+    "running_headers": (running_headers, r"WITH f AS (SELECT doc_id % 10 AS series, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT series, doc_id, regexp_replace(regexp_replace(trim(lower(line)), '\s+', ' ', 'g'), '\d+', '#', 'g') AS pattern FROM (SELECT series, doc_id, unnest(l[1:3] || CASE WHEN len(l) > 3 THEN l[greatest(len(l) - 2, 1):len(l)] ELSE [] END) line FROM f)), n AS (SELECT series, count(*) AS n_pages FROM f GROUP BY 1), c AS (SELECT series, pattern, count(*) AS n_seen FROM e WHERE NOT regexp_matches(pattern, '^(fig|tab|quadro|gr[áa]fico)\w*\.?\s*#') AND (regexp_matches(pattern, '\p{L}') OR length(regexp_replace(pattern, '[^#]', '', 'g')) <= 2) GROUP BY 1, 2) SELECT series, pattern, n_seen, n_pages FROM c JOIN n USING (series) WHERE n_pages >= 4 AND n_seen >= greatest(3, ceil(0.05 * n_pages))"),
+    "header_tracking": (header_tracking, "WITH x AS (SELECT conv_id, turn, turn + CASE WHEN conv_id % 2 = 0 THEN 7 ELSE turn % 2 END k FROM conversations), p AS (SELECT conv_id, lead(turn) OVER w - turn dp, lead(k) OVER w - k dn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT conv_id, count(*) n, count(*) FILTER (dp <= 4) AS pairs, count(*) FILTER (dp <= 4 AND dp = dn) AS hits FROM p GROUP BY 1) SELECT conv_id, pairs, hits FROM g WHERE n >= 3 AND pairs >= 2 AND hits >= 0.6 * pairs"),
     "chunk_dedup": (chunk_dedup, r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(n)::INT AS line_no, count(*) AS n_copies FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(regexp_replace(line, '\s+', ' ', 'g'))"),
-    "caption_labels": (caption_labels, r"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\bversion [0-9]+'))) AS label FROM documents"),
-    "subject_terms": (subject_terms, r"WITH t AS (SELECT item_id, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws FROM benchmark)), f AS (SELECT item_id, w, min(p) p FROM t WHERE length(w) >= 4 AND w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a', 'that', 'it', 'for', 'was', 'on', 'are', 'with', 'as', 'be', 'this', 'by', 'at', 'from', 'or', 'an') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY p) k FROM f) SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY k) FILTER (k <= 6), '') AS terms FROM r GROUP BY 1"),
+    "subject_terms": (subject_terms, r"WITH t AS (SELECT item_id, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') ws FROM benchmark)), f AS (SELECT item_id, w, min(p) p FROM t WHERE length(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + ") GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY p) k FROM f) SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY k) FILTER (k <= 6), '') AS terms FROM r GROUP BY 1"),
     "fixed_windows": (fixed_windows, r"WITH t AS (SELECT doc_id, string_split_regex(trim(text, ' '), '\s+') w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 90)) s FROM t) SELECT doc_id, (s // 90)::INT AS k, len(w[s + 1:s + 110])::INT AS n, md5(array_to_string(w[s + 1:s + 110], ' ')) AS digest FROM s WHERE s = 0 OR s + 20 < len(w)"),
     "sentence_chunks": (sentence_chunks, None),
     "sentence_spans": (sentence_spans, None),
-    "reference_regions": (reference_regions, None),
-    "contents_pages": (contents_pages, r"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, len(l) n, len(list_filter(l, lambda x: regexp_matches(x, '(?:\.[ \t]?){6,}|…{3,}'))) k FROM l) SELECT doc_id, k >= 1 AND k >= 0.01 * n AS is_contents FROM h"),
+    "reference_regions": (reference_regions, "SELECT doc_id, 2 AS start, CASE WHEN doc_id % 5 = 0 THEN 6 ELSE 7 END + 0 AS \"end\" FROM documents"),
+    "overlap_passages": (overlap_passages, None),
+    "contents_pages": (contents_pages, "WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, len(l) n, len(list_filter(l, lambda x: regexp_matches(x, '\\.(\\s?\\.){5,}|…(\\s?…){2,}'))) k FROM l) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE k >= 5 AND k >= 0.4 * n END AS is_contents FROM h"),
     "glyph_codes": (glyph_codes, r"SELECT doc_id, md5(regexp_replace(text, '(?:/gid\d+)+', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL"),
     "folded_text": (folded_text, r"SELECT item_id, regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]', '', 'g') AS squashed FROM benchmark"),
-    "number_extract": (number_extract, None),
-    "citation_verdict": (citation_verdict, "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 0 ELSE 4 END AS n_marks, CASE WHEN item_id % 8 = 0 THEN 'web_grounded' WHEN item_id % 4 = 0 THEN 'uncited' WHEN item_id + 3 <= 20 THEN 'verified' ELSE 'invalid' END AS verdict FROM benchmark"),
-    "number_check": (number_check, "SELECT o_orderkey, 1::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice NOT IN (7, 2041)"),
-    "intent_routing": (intent_routing, r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(what|who|when|where)\b') THEN 'fact' WHEN regexp_matches(text, '(?i)\b(list|all|every)\b') THEN 'list' WHEN regexp_matches(text, '(?i)\b(why|how)\b') THEN 'explain' WHEN regexp_matches(text, '\?') THEN 'question' ELSE 'other' END AS intent FROM conversations"),
     "conversation_pairs": (conversation_pairs, "SELECT conv_id, turn, length(text)::INT AS question, length(a)::INT AS answer FROM (SELECT *, lead(role) OVER w r, lead(text) OVER w a FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'"),
     "conversation_list": (conversation_list, "SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn FROM conversations WHERE trim(text) <> '' GROUP BY 1"),
     "note_names": (note_names, "SELECT c_custkey, CASE WHEN k = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || k || ')' END AS note_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) k FROM customer)"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +82,107 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
+def run_status(runs: DataFrame, chunks: DataFrame, issues: DataFrame, run: str) -> DataFrame:
+    """What is published of each run: failed without vectors, partial with issues, else ready; with its counts."""
+    n = chunks.groupBy(run).agg(F.count("vector").alias("n_vectors"))
+    k = issues.groupBy(run).agg(F.count(F.lit(1)).alias("n_issues"))
+    both = runs.join(n, run, "left").join(k, run, "left").fillna(0, ["n_vectors", "n_issues"])
+    return both.withColumn("status", F.when(F.col("n_vectors") == 0, "failed").when(F.col("n_issues") > 0, "partial").otherwise("ready"))
+
+
+def switch_active(catalog: DataFrame, published: DataFrame, title: str, run: str, number: str) -> DataFrame:
+    """The catalog's active run of each title, switched to the newest published run that didn't fail; the old run's chunks leave the index with it."""
+    best = published.where("status <> 'failed'").groupBy(title).agg(F.max_by(run, number).alias("_new"))
+    return catalog.join(best, title, "full_outer").withColumn("active_run", F.coalesce("_new", "active_run")).drop("_new")
+
+
+def cached(spark: SparkSession, root: str, parts: dict[str, str], build) -> DataFrame:
+    """The table for these parts (hashes of inputs, a version), from the folder named by their digest; built if it isn't there.
+
+    It is written beside its place and moved there when complete, so readers never see a half-written one; if another job
+    was first, that one's stays.
+    """
+    digest = hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(f"{root}/{digest}")
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(home):
+        beside = f"{root}/.{digest}-{uuid.uuid4().hex}"
+        build().write.parquet(beside)
+        if fs.exists(home) or not fs.rename(jvm.org.apache.hadoop.fs.Path(beside), home):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
+    return spark.read.parquet(f"{root}/{digest}")
+
+
+def weights_digest(weights: DataFrame) -> str:
+    """A digest of all weights (name, at, value), whatever their order: the sorted row hashes' hash."""
+    rows = weights.select(F.sha2(F.concat_ws("|", "name", F.col("at").cast("string"), F.hex(F.col("value").cast("double").cast("string"))), 256).alias("h"))
+    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]  # a model's weights
+
+
+def save_weights(weights: DataFrame, path: str) -> str:
+    """A model's weights (name, at, value) as a new folder, with their digest; returns it."""
+    digest = weights_digest(weights)
+    weights.select("name", "at", F.col("value").cast("double").alias("value")).withColumn("digest", F.lit(digest)).write.mode("errorifexists").parquet(path)
+    return digest
+
+
+def load_weights(spark: SparkSession, path: str, digest: str) -> DataFrame:
+    """The weights, after a check that they are those of the digest."""
+    got = spark.read.parquet(path)
+    if weights_digest(got) != digest:
+        raise ValueError("the weights aren't those that were recorded")
+    return got.select("name", "at", "value")
+
+
+#: What the readers expect.
+QUESTIONS = "id string, question string, expected array<string>, kind string"
+FMECA_ITEMS = "id string, name string, s int, o int, d int, rate double, hours double"
+REPAIRS = "`group` string, scenario string, detection double, repair double, source string"
+
+
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Reference questions; blank ones or repeated ids are an error."""
+    q = spark.read.schema(QUESTIONS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if q.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.length(F.trim(F.coalesce("question", F.lit(""))))).alias("l")).where("n > 1 or l = 0 or id is null").limit(1).count():
+        raise ValueError("a question is blank or an id repeats")
+    return q
+
+
+def load_items(spark: SparkSession, path: str) -> DataFrame:
+    """The FMECA table; notes outside 1 to 10 are an error."""
+    t = spark.read.schema(FMECA_ITEMS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if t.where("not coalesce(s between 1 and 10 and o between 1 and 10 and d between 1 and 10, false)").limit(1).count():
+        raise ValueError("a note of severity, occurrence or detection is missing or out of range")
+    return t
+
+
+def load_repairs(spark: SparkSession, path: str) -> DataFrame:
+    """Repair scenarios; hours below zero are an error."""
+    r = spark.read.schema(REPAIRS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if r.where("detection < 0 or repair < 0 or detection is null or repair is null").limit(1).count():
+        raise ValueError("repair hours are missing or negative")
+    return r
+
+
+def parameters(given: dict, known: dict[str, tuple]) -> dict:
+    """Parameters of an experiment: whole numbers within their range, lists without repeats in order; unknown names are an error.
+
+    known: name -> (default, least, most); a default that is a list asks for a list.
+    """
+    unknown = set(given) - set(known)
+    if unknown:
+        raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
+    out = {}
+    for name, (default, least, most) in known.items():
+        value = given.get(name, default)
+        many = list(dict.fromkeys(value)) if isinstance(default, (list, tuple)) else [value]
+        if not many or any(isinstance(x, bool) or not isinstance(x, int) or not least <= x <= most for x in many):
+            raise ValueError(f"{name} must be whole, from {least} to {most}")
+        out[name] = sorted(many) if isinstance(default, (list, tuple)) else many[0]
+    return out
+
+
 def newest(spark: SparkSession, root: str, name: str) -> int | None:
     """Number of the newest complete version."""
     jvm = spark.sparkContext._jvm
