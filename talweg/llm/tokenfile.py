@@ -31,7 +31,7 @@ from .bpe import load_vocabulary
 from .common import fresh_path, input_partitions, slices, staged
 
 #: Bytes that a worker remembers of pieces, in each of two generations. A bound on memory only; results don't depend on it.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 160 << 20
 #: What an entry takes besides its letters and ids, about.
 _ENTRY = 200
 _PIECES: dict[int, PieceEncoder] = {}
@@ -122,20 +122,21 @@ class PieceEncoder:
             self.old, self.young, self.held = self.young, {"": b""}, 0
         young, old = self.young, self.old
 
-        def known(s: str) -> bool:
-            if s in young:
-                return True
-            if s in old:
-                young[s] = old[s]
-                self.held += len(s) + len(old[s]) + _ENTRY
-                return True
-            return False
-
-        new = [s for s in (set().union(*cut) if cut else ()) if not known(s)]
+        def unknown(pieces: set[str]) -> list[str]:
+            new = []
+            for s in pieces.difference(young):
+                if s in old:
+                    young[s] = old[s]
+                    self.held += len(s) + len(old[s]) + _ENTRY
+                else:
+                    new.append(s)
+            return new
+
+        new = unknown(set().union(*cut) if cut else set())
         # Between a letter and the mark after it there is always a cut: "word." is "word" and ".".
         closed = [s for s in new if s[-1] in ".,!" and s[-2:-1] in self.closing]
         stems = {s[:-1] for s in closed}.union(x[-1] for x in closed)
-        asked = [*{*set(new).difference(closed), *(s for s in stems if not known(s))}]
+        asked = [*set(new).difference(closed).union(unknown(stems))]
         self._ask(asked)
         for s in closed:
             young[s] = young[s[:-1]] + young[s[-1]]
