@@ -34,7 +34,7 @@ def _signals(spark, d):
 def feature_vectors(spark, d):
     """The 24 features of each window of the primary signals, as rows."""
     f = S.feature_vector(S.primary_signals(_signals(spark, d), ["trial", "win", "pos"]), ["trial", "win"], "pos", SIZE, SIZE // 2)
-    return S.unpivot_features(f, ["trial", "win"], [c for c in f.columns if c not in ("trial", "win")]).select("trial", "win", "feature", F.round("x", 5).alias("x"))
+    return S.unpivot_features(f, ["trial", "win"], [c for c in f.columns if c not in ("trial", "win")]).select("trial", "win", "feature", F.round("x", 8).alias("x"))
 
 
 def phase_spectra(spark, d):
@@ -268,7 +268,7 @@ _RAW = "tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec, tp / n
 _AREAS = "ar AS (SELECT fault, (sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc_roc FROM (SELECT *, rank() OVER (PARTITION BY fault ORDER BY score) + (count(*) OVER (PARTITION BY fault, score) - 1) / 2 AS r FROM j) GROUP BY 1), pk AS (SELECT fault, score, count(*) FILTER (pos) p, count(*) n FROM j GROUP BY 1, 2), pc AS (SELECT fault, score, sum(p) OVER w AS tpp, sum(n) OVER w AS al, sum(p) OVER (PARTITION BY fault) AS np FROM pk WINDOW w AS (PARTITION BY fault ORDER BY score DESC)), pr AS (SELECT fault, sum(area) AS auc_pr FROM (SELECT fault, (rc - coalesce(lag(rc) OVER x, 0)) * (pp + coalesce(lag(pp) OVER x, 1)) / 2 AS area FROM (SELECT fault, score, tpp / np AS rc, tpp / al AS pp FROM pc) WINDOW x AS (PARTITION BY fault ORDER BY score DESC)) GROUP BY 1)"
 _SEG = "sg AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN win % 4 < 2 ELSE phase = 'pre_fault' AND row_number() OVER (PARTITION BY user_id, phase ORDER BY win) <= greatest(3, count(*) OVER (PARTITION BY user_id, phase) // 2) END AS baseline, user_id % 2 = 0 AND win % 4 < 2 AS train FROM p), ul AS (SELECT user_id, win, train, baseline, feature, x FROM sg UNPIVOT (x FOR feature IN (mean, rms))), fl AS (SELECT feature, greatest(0.1 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)), 1e-6) AS floor FROM ul WHERE train GROUP BY 1), bs AS (SELECT user_id, feature, quantile_cont(x, 0.5) AS c, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS s FROM ul WHERE baseline GROUP BY 1, 2), nm AS (SELECT ul.*, ((x - c) / greatest(s, floor))::FLOAT::DOUBLE AS n FROM ul JOIN bs USING (user_id, feature) JOIN fl USING (feature)), gc AS (SELECT feature, quantile_cont(n, 0.5) AS c, CASE WHEN quantile_cont(n, 0.75) - quantile_cont(n, 0.25) = 0 THEN 1 ELSE quantile_cont(n, 0.75) - quantile_cont(n, 0.25) END AS s FROM nm WHERE train GROUP BY 1)"
 QUERIES = {
-    "feature_vectors": (feature_vectors, f"WITH {_SIG_SQL}, {_WIDE} SELECT trial, win, feature, round(x, 5) AS x FROM m UNPIVOT INCLUDE NULLS (x FOR feature IN ({_NAMES}))"),
+    "feature_vectors": (feature_vectors, f"WITH {_SIG_SQL}, {_WIDE} SELECT trial, win, feature, round(x, 8) AS x FROM m UNPIVOT INCLUDE NULLS (x FOR feature IN ({_NAMES}))"),
     "phase_spectra": (phase_spectra, f"WITH {_SIG_SQL}, l AS (SELECT trial, win, pos, phase, x FROM v UNPIVOT (x FOR phase IN (ia, ib, ic))), s AS (SELECT trial, win, phase, avg(x) AS a0, {', '.join(f'{_AMP("x", k)} AS c{k}' for k in range(1, 6))} FROM l GROUP BY 1, 2, 3), t AS (SELECT *, sqrt(c2 * c2 + c3 * c3 + c4 * c4 + c5 * c5) / nullif(c1, 0) AS thd, quantile_cont(c1, 0.5) OVER (PARTITION BY trial, phase) AS ref FROM s) SELECT trial, win, phase, {_ROUND('a0 c1 thd', 4)}, round(a0 / nullif(c1, 0), 4) AS a0_c1, round(c1 / nullif(ref, 0), 4) AS c1_ref, round(c2 / nullif(c1, 0), 4) AS c2_c1, round(c3 / nullif(c1, 0), 4) AS c3_c1, round(c5 / nullif(c1, 0), 4) AS c5_c1 FROM t"),
     "two_stage_scale": (two_stage_scale, f"WITH {_S}, {_F}, {_P}, {_SEG} SELECT user_id, win, feature, round((n - c) / s, 3) AS z FROM nm JOIN gc USING (feature)"),
     "onset_estimates": (onset_estimates, None),
