@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import staged
+from ..storage import spread, staged
 
 # Words left out of queries, folded, in Portuguese and in English.
 PORTUGUESE = """
@@ -34,6 +34,8 @@ why will with would you your yours yourself yourselves according whose
 """
 STOP_WORDS = tuple(dict.fromkeys((PORTUGUESE + ENGLISH).split()))
 K1, B = 1.2, 0.75
+#: Queries scored against all rows at once, and the bytes that their vectors or weights may take in a task.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
 #: Fusion: the base, and the weights of meaning, words and named documents. Candidates by meaning alone need this similarity.
 BASE, MEANING, WORDS, NAMED, GATE = 60, 1.0, 0.5, 1.0, 0.30
 
@@ -53,8 +55,9 @@ def folded(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits of the folded text, in order."""
-    return F.regexp_extract_all(folded(text), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits of the folded text, in order. Only words that aren't ASCII are folded letter by letter."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    return F.transform(found, lambda w: F.when(F.octet_length(w) > F.length(w), F.translate(w, _MARKED, _BASE)).otherwise(w))
 
 
 def query_terms(text: Column, most: int = 40) -> Column:
@@ -73,19 +76,59 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, t
     The texts are read once: of each only its length and those of its words that some query asks for are kept. queries: a
     workload's questions with an array of distinct terms, so their words are few.
     """
-    asked = queries.select(query, F.explode(terms).alias("term"))
+    asked = queries.select(query, F.explode(terms).alias("term")).distinct()
     wanted = sorted(r[0] for r in asked.distinct().select("term").distinct().collect())  # a workload's distinct words
     # The words are letters and digits, so they stand in the expression as they are; it becomes a look-up in one hash set.
     some = "filter(_w, x -> x IN (" + ", ".join(f"'{x}'" for x in wanted or [""]) + "))"
-    counted = staged(docs.select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.expr(some).alias("_hit")), "postings")
+    counted = staged(spread(docs.select(doc, text)).select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.expr(some).alias("_hit")), "postings")
     total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg")).first()
-    hits = counted.where(F.size("_hit") > 0).select(doc, "_len", F.explode("_hit").alias("term")).groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counted.select(F.explode(F.array_distinct("_hit")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.ln((F.lit(total["n"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = df.select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"))
-    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.lit(total["avg"] or 1.0)))
-    asks = asked.join(weight, "term")  # as many rows as the queries have words
-    return hits.join(F.broadcast(asks), "term").groupBy(query, doc).agg(F.sum(part).alias("bm25"))
+    df = {r[0]: r[1] for r in counted.select(F.explode(F.array_distinct("_hit")).alias("t")).groupBy("t").count().collect()}  # a workload's words
+    terms = sorted(df)
+    place = {t: k for k, t in enumerate(terms)}
+    by_query: dict = {}
+    for q, t in asked.collect():
+        by_query.setdefault(q, []).append(place.get(t, -1))
+    idf = np.log((total["n"] - np.array([df[t] for t in terms], float) + 0.5) / (np.array([df[t] for t in terms], float) + 0.5))
+    idf = np.where(idf <= 0, 1e-6, idf)
+    kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *queries.schema.fields]}
+    schema = f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, bm25 double"
+    names, out = sorted(by_query), None
+    # Blocks of queries of bounded size; each is sent to all tasks as a matrix of words by queries.
+    step = max(1, BLOCK_BYTES // (8 * max(1, len(terms))))
+    for first in range(0, len(names), step):
+        some = names[first : first + step]
+        weight = np.zeros((len(terms), len(some)))
+        for j, q in enumerate(some):
+            own = [k for k in by_query[q] if k >= 0]
+            weight[own, j] = idf[own]
+        shared = docs.sparkSession.sparkContext.broadcast((some, terms, weight, float(total["avg"] or 1.0)))
+        part = counted.where(F.size("_hit") > 0).mapInArrow(_scorer(shared, query, doc, kinds[query]), schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def _scorer(shared, query: str, doc: str, kind: str):
+    """Documents (doc, length, asked words) by block: their saturated term frequencies times the block's weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, weight, mean = shared.value
+        value_set, own = pa.array(terms, pa.string()), pa.array(names, _arrow(kind))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(b.num_rows), n)
+                term = pc.index_in(b.column(2).flatten(), value_set=value_set).to_numpy(zero_copy_only=False).astype(np.int64)
+                pair, tf = np.unique(owner * len(terms) + term, return_counts=True)
+                d, t = pair // len(terms), pair % len(terms)
+                size = b.column(1).to_numpy().astype(float)[d]
+                dense = np.zeros((b.num_rows, len(terms)))
+                dense[d, t] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+                score = dense @ weight
+                x, y = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(y)), b.column(0).take(pa.array(x)), pa.array(score[x, y])], names=[query, doc, "bm25"])
+
+    return run
 
 
 def prefix_hits(docs: DataFrame, doc: str, text: str, prefix: str) -> DataFrame:
@@ -134,13 +177,11 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-#: Queries scored against all rows at once, and the bytes that their vectors may take in a task.
-BLOCK, BLOCK_BYTES = 2048, 64 << 20
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows of that many components, in double, and the rows' places. Null, zero or odd vectors take no part."""
-    size = np.array([-1 if x is None else x for x in pc.list_value_length(column).to_pylist()])
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(size == dim)
     flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim) if len(at) else np.zeros((0, dim))
     norm = np.sqrt((flat * flat).sum(1)) if len(at) else np.zeros(0)
@@ -172,6 +213,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
+            asked = pa.array(names, _arrow(kinds[query]))
             for b in batches:
                 v, at = _matrix(b.column(1), dim)
                 if not len(at):
@@ -190,9 +232,9 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
                     bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                     keep &= s >= bound[:, None] - 1e-9  # all that rounding may bring among the k best
                 x, y = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x.tolist()], _arrow(kinds[query])), own.take(pa.array(y)), pa.array(s[x, y])], names=[query, key, "similarity"])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(x)), own.take(pa.array(y)), pa.array(s[x, y])], names=[query, key, "similarity"])
 
-        return vectors.select(key, vector).mapInArrow(run, schema)
+        return spread(vectors.select(key, vector)).mapInArrow(run, schema)
 
     whole = None
     for n in range(blocks):
@@ -250,7 +292,8 @@ def hybrid_scores(similar: DataFrame, lexical: DataFrame, named: DataFrame, quer
     by_meaning = similar.select(query, key, F.lit(0).alias("list"), F.col("similarity").alias("by"))
     by_words = lexical.select(query, key, F.lit(1).alias("list"), F.col("bm25").alias("by"))
     by_name = similar.join(named, [query, key], "left_semi").select(query, key, F.lit(2).alias("list"), F.col("similarity").alias("by"))
-    lists = rank(by_meaning.unionByName(by_words).unionByName(by_name), [query, "list"], [F.desc("by"), F.col(key)], "place")
+    whole = staged(by_meaning.unionByName(by_words).unionByName(by_name), "ranked-lists")  # dealing out by ranges reads its rows twice
+    lists = rank(whole, [query, "list"], [F.desc("by"), F.col(key)], "place")
     weight = F.when(F.col("list") == 0, MEANING).when(F.col("list") == 1, WORDS).otherwise(NAMED)
     fused = lists.groupBy(query, key).agg(F.sum(weight / (BASE + F.col("place"))).alias("score"), F.max(F.when(F.col("list") == 0, F.col("by"))).alias("similarity"), F.max("list").alias("_l"))
     return fused.where((F.col("_l") > 0) | (F.col("similarity") >= gate)).drop("_l")

@@ -11,10 +11,11 @@ from ..storage import table as T
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + ")"
 _WORDS = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
-#: Questions: all benchmark items, their distinct words that aren't stop words.
+#: Questions: benchmark items whose number is divisible by 100 (plans of several units: by 10), their distinct words that aren't stop words.
 _Q_SQL = rf"""
+bm0 AS (SELECT * FROM benchmark WHERE item_id % 100 = 0),
 q AS (SELECT item_id, w AS term FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY p) r FROM (
-    SELECT item_id, w, min(p) p FROM (SELECT item_id, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT item_id, {_WORDS} ws FROM benchmark)) GROUP BY 1, 2)
+    SELECT item_id, w, min(p) p FROM (SELECT item_id, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT item_id, {_WORDS} ws FROM bm0)) GROUP BY 1, 2)
   WHERE w NOT IN {_STOP}) WHERE r <= 40),
 toks AS (SELECT doc_id, source, {_WORDS} ws FROM documents),
 stat AS (SELECT count(*) n, avg(len(ws)) avgl FROM toks),
@@ -25,12 +26,14 @@ bm AS (SELECT item_id, doc_id, round(sum(greatest_idf * tf * 2.2 / (tf + 1.2 * (
     FROM tf JOIN df USING (term) JOIN q USING (term), stat) GROUP BY 1, 2)"""
 
 
-def _questions(spark, d):
-    return T(spark, d, "benchmark").select("item_id", R.query_terms(F.col("text")).alias("terms"))
+def _asked(spark, d, every=100):
+    """The stated query set."""
+    return T(spark, d, "benchmark").where(F.col("item_id") % every == 0)
 
 
-def _lexical(spark, d):
-    scored = R.bm25(T(spark, d, "documents"), _questions(spark, d), "doc_id", "text", "item_id", "terms")
+def _lexical(spark, d, every=100):
+    questions = _asked(spark, d, every).select("item_id", R.query_terms(F.col("text")).alias("terms"))
+    scored = R.bm25(T(spark, d, "documents"), questions, "doc_id", "text", "item_id", "terms")
     return scored.withColumn("bm25", F.round("bm25", 9))
 
 
@@ -40,31 +43,31 @@ def bm25_topk(spark, d):
     return top.select("item_id", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
-def _similar(spark, d):
+def _similar(spark, d, every=100):
     """Similarity of every document's vector (that of its number) to every question's: the question's own vector is the one of its number."""
     v = T(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = T(spark, d, "benchmark").select("item_id").join(T(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("q"))
+    q = _asked(spark, d, every).select("item_id").join(T(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("q"))
     held = v.join(T(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
     return R.cosine_scores(held, q, "doc_id", "embedding", "item_id", "q", with_own=True).withColumn("similarity", F.round("similarity", 9))
 
 
-def _named(spark, d):
+def _named(spark, d, every=100):
     """Documents of the collections that a question names: here it is asked of "collected notes" of the source of its number."""
     cards = T(spark, d, "documents").select("source").distinct().select("source", F.concat(F.lit("Collected notes, "), "source").alias("title"))
-    asked = T(spark, d, "benchmark").select("item_id", F.concat("text", F.lit(" (collected notes src"), (F.col("item_id") % 30).cast("string"), F.lit(")")).alias("question"))
+    asked = _asked(spark, d, every).select("item_id", F.concat("text", F.lit(" (collected notes src"), (F.col("item_id") % 30).cast("string"), F.lit(")")).alias("question"))
     pairs = cards.join(F.broadcast(asked), L.title_named(F.col("question"), F.col("title")))  # a workload's questions
     return T(spark, d, "documents").select("doc_id", "source").join(pairs, "source").select("item_id", "doc_id")
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, every=100):
     """The fused candidates of every question, ranked: item_id, doc_id, source, score, similarity, fused_rank."""
-    fused = R.hybrid_scores(_similar(spark, d), _lexical(spark, d), _named(spark, d), "item_id", "doc_id", K.global_rank)
+    fused = R.hybrid_scores(_similar(spark, d, every), _lexical(spark, d, every), _named(spark, d, every), "item_id", "doc_id", K.global_rank)
     return fused.join(T(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("score", F.round("score", 9))
 
 
-def _ranked(spark, d, most):
+def _ranked(spark, d, most, every=100):
     """The first `most` candidates of each question; only they are ordered in one place."""
-    return K.sequence_rank(_hybrid(spark, d), [F.desc("score"), F.col("doc_id")], "fused_rank", ["item_id"]).where(F.col("fused_rank") <= most)
+    return K.sequence_rank(_hybrid(spark, d, every), [F.desc("score"), F.col("doc_id")], "fused_rank", ["item_id"]).where(F.col("fused_rank") <= most)
 
 
 def hybrid_search(spark, d):
@@ -77,13 +80,14 @@ def hybrid_search(spark, d):
 
 _HYBRID_SQL = f"""WITH {_Q_SQL},
 sem AS (SELECT b.vec_id item_id, a.vec_id doc_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) s
-    FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark) AND a.vec_id IN (SELECT doc_id FROM documents)),
-named AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(regexp_replace(lower(benchmark.text || ' (collected notes src' || (item_id % 30) || ')'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'collectednotes' || source)),
+    FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM bm0) AND a.vec_id IN (SELECT doc_id FROM documents)),
+named AS (SELECT item_id, doc_id FROM bm0 JOIN documents ON contains(regexp_replace(lower(bm0.text || ' (collected notes src' || (item_id % 30) || ')'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'collectednotes' || source)),
 lists AS (SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)) p, s, 0 l FROM sem
     UNION ALL SELECT item_id, doc_id, 0.5 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY b DESC, doc_id)), NULL, 1 FROM bm
     UNION ALL SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)), NULL, 2 FROM sem SEMI JOIN named USING (item_id, doc_id)),
 fused AS (SELECT item_id, doc_id, source, round(sum(p), 9) score, max(s) similarity FROM lists JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1, 2, 3 HAVING max(l) > 0 OR max(s) >= 0.3),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) fused_rank FROM fused)"""
+_PLANS_SQL = _HYBRID_SQL.replace("item_id % 100 = 0", "item_id % 10 = 0")
 _DIVERSE_SQL = """e AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY fused_rank) <= 2 AS ok FROM r),
 p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ok DESC, fused_rank) pick FROM e)"""
 
@@ -109,13 +113,13 @@ def ranked_pages(spark, d):
 
 
 def interleave(spark, d):
-    lists = _ranked(spark, d, 10).select(F.floor(F.col("item_id") / 4).alias("plan"), F.col("item_id").alias("unit"), "fused_rank", "doc_id")
+    lists = _ranked(spark, d, 10, 10).select(F.floor(F.col("item_id") / 40).alias("plan"), F.col("item_id").alias("unit"), "fused_rank", "doc_id")
     return K.interleave(lists, "unit", "fused_rank", "doc_id", 12, ["plan"])
 
 
 def unit_search(spark, d):
     """Each unit (question) of a plan searched, its sources spread, the units' lists interleaved; then each unit's pages reranked."""
-    hits = _ranked(spark, d, 20).withColumn("plan", F.floor(F.col("item_id") / 4))
+    hits = _ranked(spark, d, 20, 10).withColumn("plan", F.floor(F.col("item_id") / 40))
     second = T(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("second"))
     return K.search_units(hits.join(second, "doc_id"), "plan", "item_id", "doc_id", "source", "fused_rank", "second", 3, 10)
 
@@ -191,7 +195,7 @@ def gated_methods(spark, d):
 
 def token_share(spark, d):
     doc = T(spark, d, "documents")
-    asks = doc.select("source", "doc_id", (F.col("doc_id") % 50 == 0).alias("pinned"), K.page_cost(F.col("text")).alias("want"), F.lit(40).cast("bigint").alias("floor"))
+    asks = doc.select("source", "doc_id", (F.col("doc_id") % 50 == 0).alias("pinned"), K.page_cost(F.coalesce("text", F.lit(""))).alias("want"), F.lit(40).cast("bigint").alias("floor"))
     return K.share_budget(asks, ["doc_id"], "want", "floor", 4000, 0.25, ["source"])
 
 
@@ -244,7 +248,7 @@ QUERIES = {
     "hybrid_search": (hybrid_search, f"{_HYBRID_SQL}, {_DIVERSE_SQL}, n AS (SELECT conv_id, substr(arg_min(text, turn), 1, 40) d FROM conversations GROUP BY 1) SELECT item_id, doc_id, source, row_number() OVER (PARTITION BY item_id ORDER BY fused_rank) AS place, round(score, 6) AS score, round(similarity, 6) AS similarity, d AS description FROM p LEFT JOIN n ON conv_id = doc_id WHERE pick <= 6"),
     "bm25_topk": (bm25_topk, f"WITH {_Q_SQL} SELECT item_id, doc_id, rank, round(b, 6) AS bm25 FROM (SELECT item_id, doc_id, b, row_number() OVER (PARTITION BY item_id ORDER BY b DESC, doc_id) rank FROM bm) WHERE rank <= 10"),
     "ranked_pages": (ranked_pages, f"{_HYBRID_SQL}, g AS (SELECT item_id, source, doc_id // 10 AS page, min(fused_rank) f FROM r WHERE fused_rank <= 60 GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY f) AS place FROM g) SELECT item_id, source, page, place FROM k WHERE place <= 20"),
-    "unit_search": (unit_search, f"""{_HYBRID_SQL}, h AS (SELECT r.item_id // 4 AS plan, r.item_id, r.doc_id, r.source, fused_rank, n_chars::DOUBLE AS second, min(fused_rank) OVER (PARTITION BY r.item_id, r.source) lead FROM r JOIN documents USING (doc_id) WHERE fused_rank <= 20),
+    "unit_search": (unit_search, f"""{_PLANS_SQL}, h AS (SELECT r.item_id // 40 AS plan, r.item_id, r.doc_id, r.source, fused_rank, n_chars::DOUBLE AS second, min(fused_rank) OVER (PARTITION BY r.item_id, r.source) lead FROM r JOIN documents USING (doc_id) WHERE fused_rank <= 20),
 g AS (SELECT *, dense_rank() OVER (PARTITION BY item_id ORDER BY lead) dk FROM h), s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN fused_rank = lead AND dk <= 3 THEN 0 ELSE 1 END, fused_rank) AS spread FROM g),
 f AS (SELECT plan, doc_id, min((spread, item_id)) x FROM s GROUP BY 1, 2), i AS (SELECT plan, doc_id, x[1] AS spread, x[2] AS item_id, row_number() OVER (PARTITION BY plan ORDER BY x, doc_id) AS place FROM f),
 c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY second DESC, doc_id) AS reranked FROM s) SELECT i.plan, i.item_id, doc_id, place, reranked FROM i JOIN c USING (item_id, doc_id) WHERE place <= 10"""),
@@ -256,7 +260,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY second DESC, do
     "rrf_fusion": (rrf_fusion, f"{_HYBRID_SQL} SELECT item_id, doc_id, fused_rank, round(score, 6) AS score FROM r WHERE fused_rank <= 20"),
     "source_diversity": (source_diversity, f"{_HYBRID_SQL}, h AS (SELECT *, min(fused_rank) OVER (PARTITION BY item_id, source) lead FROM r WHERE fused_rank <= 30), g AS (SELECT *, dense_rank() OVER (PARTITION BY item_id ORDER BY lead) dk FROM h) SELECT item_id, doc_id, source, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN fused_rank = lead AND dk <= 4 THEN 0 ELSE 1 END, fused_rank) AS place FROM g"),
     "page_rerank": (page_rerank, f"{_HYBRID_SQL}, t AS (SELECT r.*, n_chars::DOUBLE AS second, row_number() OVER (PARTITION BY item_id, r.source ORDER BY fused_rank) k FROM r JOIN documents USING (doc_id) WHERE fused_rank <= 60), b AS (SELECT item_id, source, max(second) AS best_score, min(fused_rank) AS first_rank FROM t WHERE k <= 2 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY best_score DESC, first_rank) AS place FROM b"),
-    "interleave": (interleave, f"{_HYBRID_SQL}, l AS (SELECT item_id // 4 AS plan, doc_id, min((fused_rank, item_id)) f FROM r WHERE fused_rank <= 10 GROUP BY 1, 2) SELECT plan, doc_id, place FROM (SELECT plan, doc_id, row_number() OVER (PARTITION BY plan ORDER BY f, doc_id) AS place FROM l) WHERE place <= 12"),
+    "interleave": (interleave, f"{_PLANS_SQL}, l AS (SELECT item_id // 40 AS plan, doc_id, min((fused_rank, item_id)) f FROM r WHERE fused_rank <= 10 GROUP BY 1, 2) SELECT plan, doc_id, place FROM (SELECT plan, doc_id, row_number() OVER (PARTITION BY plan ORDER BY f, doc_id) AS place FROM l) WHERE place <= 12"),
     "term_mentions": (term_mentions, r"WITH h AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) term FROM documents), c AS (SELECT term, source, count(*) AS n_places, list_sort(list(doc_id))[1:12] AS places FROM h WHERE term IN ('license', 'the', 'idiot', 'version') GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n_places DESC, source) AS place FROM c) WHERE place <= 8"),
     "phrase_match": (phrase_match, r"WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), '  ') || ' ' s FROM documents) SELECT doc_id, ((length(s) - length(replace(s, ' general  public  license ', ''))) / length(' general  public  license '))::INT AS n_hits FROM w WHERE contains(s, ' general  public  license ')"),
     "prefix_match": (prefix_match, r"SELECT doc_id, n_hits FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: starts_with(x, 'licens')))::INT AS n_hits FROM documents) WHERE n_hits > 0"),
@@ -264,7 +268,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY second DESC, do
     "retrieval_eval": (retrieval_eval, "WITH h AS (SELECT c.query_id, c.rank, a.label, b.label AS asked, (c.query_id % 200 = 0)::INT AS even FROM (" + _COS.format(n=_NORM, k=6) + ") c JOIN embeddings a ON a.vec_id = c.vec_id JOIN embeddings b ON b.vec_id = c.query_id), e AS (SELECT query_id, asked, even, min(rank) FILTER (label = asked) f, count(DISTINCT label) t FROM h GROUP BY ALL) SELECT asked, even, count(*) AS n, count(f) AS hits, round(count(f) / count(*), 6) AS rate, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(t), 6) AS mean_titles FROM e GROUP BY GROUPING SETS ((), (asked), (even))"),
     "label_margin": (label_margin, "WITH u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) i, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) x FROM embeddings), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), c AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) x FROM m), s AS (SELECT vec_id, c.label, round(sum(u.x * c.x), 9) s FROM u JOIN c USING (i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label DESC) k FROM s), p AS (SELECT vec_id, max(s) FILTER (k = 1) s1, coalesce(max(s) FILTER (k = 2), -1) s2, max(label) FILTER (k = 1) l FROM r GROUP BY 1) SELECT vec_id, CASE WHEN s1 >= 0.1 AND s1 - s2 >= 0.02 THEN l END AS chosen, round(s1, 6) AS best, round(s1 - s2, 6) AS lead FROM p"),
     "mean_query_vector": (mean_query_vector, "WITH u AS (SELECT label, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) x FROM embeddings), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2) SELECT label, i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m"),
-    "token_share": (token_share, None),
+    "token_share": (token_share, "WITH a AS (SELECT source, doc_id, doc_id % 50 = 0 AS pinned, 15 + ceil(length(coalesce(text, '')) / 3)::BIGINT AS want, 40::BIGINT AS floor FROM documents), s AS (SELECT *, CASE WHEN pinned THEN want ELSE 0 END AS s1, CASE WHEN pinned THEN 0 ELSE least(floor, want) END AS s2, CASE WHEN pinned THEN 0 ELSE greatest(least(want, 1000) - least(floor, want), 0) END AS s3, CASE WHEN pinned THEN 0 ELSE want - least(floor, want) - greatest(least(want, 1000) - least(floor, want), 0) END AS s4 FROM a), b AS (SELECT *, coalesce(sum(s1) OVER w, 0) b1, coalesce(sum(s2) OVER w, 0) b2, coalesce(sum(s3) OVER w, 0) b3, coalesce(sum(s4) OVER w, 0) b4, sum(s1) OVER v t1, sum(s2) OVER v t2, sum(s3) OVER v t3 FROM s WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY source)), c AS (SELECT *, least(t1, 4000) x1, least(least(t1, 4000) + t2, 4000) x2, least(least(least(t1, 4000) + t2, 4000) + t3, 4000) x3 FROM b) SELECT source, doc_id, pinned, want, floor, (greatest(least(s1, 4000 - b1), 0) + greatest(least(s2, 4000 - x1 - b2), 0) + greatest(least(s3, 4000 - x2 - b3), 0) + greatest(least(s4, 4000 - x3 - b4), 0))::BIGINT AS granted FROM c"),
     "recent_history": (recent_history, "SELECT conv_id, turn, running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE running <= 900"),
     "page_ranges": (page_ranges, "SELECT toxic, min(doc_id) AS first_page, max(doc_id) AS last_page FROM (SELECT toxic, doc_id, doc_id - row_number() OVER (PARTITION BY toxic ORDER BY doc_id) g FROM (SELECT DISTINCT toxic, doc_id FROM labels WHERE quality = 1)) GROUP BY toxic, g"),
     "rank_ties": (rank_ties, "SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS place FROM part"),

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import retrieval as R
 from ..functions import text as X
+from ..storage import spread
 from ..storage import table as T
 
 HEADING = r"^[A-Z][a-z]+ [a-z]+\.$"
 
 
 def _docs(spark, d):
-    return T(spark, d, "documents").where("text is not null")
+    return spread(T(spark, d, "documents").where("text is not null"))
 
 
 def markdown_sections(spark, d):
