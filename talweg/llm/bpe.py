@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, spread
 
 #: How byte-level BPE splits text before merging (a fixed, public pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[id_col, "ids"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    source = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text")))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
@@ -380,6 +380,6 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             size = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], size, pa.array(sha, pa.string()), pa.array(back, pa.string())], names=names)
 
-    source = docs.select(F.col(text_col).alias("_text"), id_col, *keep)
+    source = spread(docs.select(F.col(text_col).alias("_text"), id_col, *keep))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     return source.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")

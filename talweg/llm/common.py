@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.storage import shared_dir, staged, table  # noqa: F401  (for the operators)
+from talweg.storage import shared_dir, spread, staged, table  # noqa: F401  (for the operators)
 
 #: Text handled at once inside a task. Bounds a worker's arrays whatever the length of an Arrow batch.
 SLICE_BYTES = 1 << 20

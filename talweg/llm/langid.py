@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, spread
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -121,7 +121,7 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, lang_pred and score, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    source = spread(docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)]))
     kinds = [f.dataType.simpleString() for f in source.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

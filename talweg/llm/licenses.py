@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, slices, span_hash, text_buffer, word_spans
+from .common import BYTE_VALUE, slices, span_hash, spread, text_buffer, word_spans
 
 #: Fixed base phrases and their labels.
 BASE = (
@@ -234,7 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=[id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    source = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text")))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, mix, slices, staged, text_buffer
+from .common import BYTE_VALUE, mix, slices, spread, staged, text_buffer
 
 WINDOW = 50
 DIGIT = 20
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_bytes, spans (array of [start, end) removed), kept (the remaining bytes)."""
     if not DIGIT + 8 <= window <= DIGIT + 63:
         raise ValueError(f"window must be {DIGIT + 8} to {DIGIT + 63} bytes")
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     blocks = staged(source.mapInArrow(_pack, "block long, ids array<long>, raw binary, bounds binary"), "text-blocks")
     total = blocks.agg(F.sum(F.length("raw"))).first()[0] or 0
     count = max(1, -(-total // (16 * BUCKET_ANCHORS)))

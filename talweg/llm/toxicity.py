@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, mix, slices, span_hash, staged, text_buffer, word_spans
+from .common import BYTE_VALUE, mix, slices, span_hash, spread, staged, text_buffer, word_spans
 from .langid import remainder
 
 #: Terms that name groups, by kind (a default; give your own as `groups`). Within a kind each term may be swapped for each other.
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for b in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)))], names=["_id", "score"])
 
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     return source.mapInArrow(run, f"_id {source.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
