@@ -19,14 +19,14 @@ from .timeseries import _ALL, _CONF, _DER, _F, _P, _ROUND, _S, _alarms, _feature
 
 SIZE = 20
 #: The primary signals of `lineitem`: a trial is a supplier's remainder of 16, in the order of the lines.
-_SIG_SQL = "g AS (SELECT l_suppkey % 16 AS trial, row_number() OVER (PARTITION BY l_suppkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx, l_quantity::DOUBLE AS Ipv, l_extendedprice::DOUBLE / 1000 AS Vpv, l_discount::DOUBLE * 100 + 1 AS Vdc, l_tax::DOUBLE * 100 - 4 AS ia, l_linenumber - 3.5::DOUBLE AS ib, (l_partkey % 17 - 8)::DOUBLE AS ic, (l_suppkey % 13 - 6)::DOUBLE AS va, (l_orderkey % 11 - 5)::DOUBLE AS vb, l_quantity::DOUBLE - 25 AS vc FROM lineitem), q AS (SELECT *, idx // 20 AS win, idx % 20 AS pos, count(*) OVER (PARTITION BY trial) // 20 AS nw FROM g), v AS (SELECT * FROM q WHERE win < nw)"
+_SIG_SQL = "g AS (SELECT l_suppkey % 16 AS trial, row_number() OVER (PARTITION BY l_suppkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx, l_quantity::DOUBLE AS Ipv, l_extendedprice::DOUBLE / 1000 AS Vpv, l_discount::DOUBLE * 100 + 1 AS Vdc, l_tax::DOUBLE * 100 - 4 AS ia, l_linenumber - 3.5::DOUBLE AS ib, (l_partkey % 17 - 8)::DOUBLE AS ic, (l_partkey % 13 - 6)::DOUBLE AS va, (l_orderkey % 11 - 5)::DOUBLE AS vb, l_quantity::DOUBLE - 25 AS vc FROM lineitem), q AS (SELECT *, idx // 20 AS win, idx % 20 AS pos, count(*) OVER (PARTITION BY trial) // 20 AS nw FROM g), v AS (SELECT * FROM q WHERE win < nw)"
 
 
 def _signals(spark, d):
     x = F.col
     s = T(spark, d, "lineitem").select(
         (x("l_suppkey") % 16).alias("trial"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", x("l_quantity").cast("double").alias("Ipv"), (x("l_extendedprice").cast("double") / 1000).alias("Vpv"), (x("l_discount").cast("double") * 100 + 1).alias("Vdc"),
-        (x("l_tax").cast("double") * 100 - 4).alias("ia"), (x("l_linenumber") - 3.5).alias("ib"), (x("l_partkey") % 17 - 8).cast("double").alias("ic"), (x("l_suppkey") % 13 - 6).cast("double").alias("va"), (x("l_orderkey") % 11 - 5).cast("double").alias("vb"), (x("l_quantity").cast("double") - 25).alias("vc"),
+        (x("l_tax").cast("double") * 100 - 4).alias("ia"), (x("l_linenumber") - 3.5).alias("ib"), (x("l_partkey") % 17 - 8).cast("double").alias("ic"), (x("l_partkey") % 13 - 6).cast("double").alias("va"), (x("l_orderkey") % 11 - 5).cast("double").alias("vb"), (x("l_quantity").cast("double") - 25).alias("vc"),
     )
     return Q.tumbling(Q.numbered(s, "trial", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]), SIZE).withColumn("pos", F.col("idx") % SIZE)
 
