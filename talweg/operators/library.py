@@ -1,4 +1,4 @@
-"""Library and memory operators."""
+"""Library and memory operators."""
 
 from __future__ import annotations
 
@@ -126,7 +126,7 @@ def stability(runs: DataFrame, per: list[str], value: str) -> DataFrame:
 
 
 def plan_coverage(sent: DataFrame, candidates: DataFrame, on: list[str], unit: str) -> DataFrame:
-    """Of each unit of a plan the candidate places, those sent, and whether it is covered, partial or missing."""
+    """Of each unit of a plan the candidate places, those sent, and whether it is covered, partial or missing."""
     got = candidates.join(sent.select(*on).distinct().withColumn("_s", F.lit(1)), on, "left")
     n = got.groupBy(unit).agg(F.count(F.lit(1)).alias("n_places"), F.count("_s").alias("n_sent"))
     return n.withColumn("status", F.when(F.col("n_sent") == 0, "missing").when(F.col("n_sent") < F.col("n_places"), "partial").otherwise("covered"))

@@ -1,4 +1,4 @@
-"""Windows over ordered records: tumbling windows, splits, alarms, onsets."""
+"""Windows over ordered records: tumbling windows, splits, alarms, onsets."""
 
 from __future__ import annotations
 

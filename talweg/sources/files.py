@@ -1,4 +1,4 @@
-"""Files in and out: strict scans, provenance, logs, exports and run folders."""
+"""Files in and out: strict scans, provenance, logs, exports and run folders."""
 
 from __future__ import annotations
 
