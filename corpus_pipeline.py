@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, BPE. Each stage reads what the one before wrote."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, BPE. Each stage reads what the one before wrote.
+
+What every stage makes of odd rows: a null or letterless text is rejected by language ID; for later stages it would be an
+empty text, equal to other empty ones and near to none. Null ids are values of their own: they are never learned from, and
+rank last where the least id stays. Of rows that agree in id and text one stays. A null language or source is a value of its own in
+mixing. Long texts are never cut. An empty table passes all stages as an empty table. Columns beside those of
+`documents` don't come through, whatever their names.
+"""
 
 from __future__ import annotations
 
