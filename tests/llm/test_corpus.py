@@ -486,3 +486,86 @@ def test_pipeline_stages(spark, tmp_path):
     four = P.mix_sources(spark, three, "")
     assert 0 < four.count() < 30 and four.columns == [*P.COLUMNS]
     assert P.encode(spark, four, "").count() == four.count()
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(18)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=4)) for _ in range(60))
+    some = [text() for _ in range(12)]
+    rows = [*enumerate(some), (3, some[3]), (3, some[3]), (None, some[4]), (None, text()), (None, text()), (5, text()), (20, "\u00e9 " * 3000), (21, None)]
+    d = docs(spark, rows).select(*P.COLUMNS)
+    for stage in (P.identify_language, P.drop_copies, P.drop_near_copies):
+        d = stage(spark, d, "")
+        assert d.columns == [*P.COLUMNS]
+    got = [(x["doc_id"], x["text"]) for x in d.collect()]
+    assert len(got) == len({*got}) and sorted(i for i, _ in got if i is not None) == sorted([*range(12), 5, 20]) and sum(i is None for i, _ in got) == 2
+    empty = docs(spark, []).select(*P.COLUMNS)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, "")
+        assert empty.count() == 0
+
+
+def test_rows_that_stay_keep_columns_of_clashing_names(spark):
+    d = docs(spark, [(1, "a b"), (1, "ab"), (2, "c"), (2, "c"), (3, " c")]).selectExpr("*", "7 as id", "'k' as key", "1 as n", "2 as own", "'d' as doc", "3 as rank")
+    for f in (exactdedup.distinct, neardup.distinct):
+        got = f(d).collect()
+        assert [*got[0].asDict()] == d.columns and all((x["id"], x["key"], x["n"], x["own"], x["doc"], x["rank"]) == (7, "k", 1, 2, "d", 3) for x in got)
+    assert sorted((x["doc_id"], x["text"]) for x in exactdedup.distinct(d).collect()) == [(1, "a b"), (3, " c")]
+
+
+def test_language_scores_equal_a_plain_classifier(spark):
+    """Naive Bayes by loops over dictionaries of hashed n-grams."""
+    import math
+
+    r = random.Random(19)
+    words = {"x": ["abba", "baab", "aab"], "y": ["cddc", "dcc", "bdc"]}
+    rows = [(i, " ".join(r.choices(words["xy"[i % 2]], k=r.randint(1, 6)))) for i in range(40)]
+    d = docs(spark, rows, {i: "xy"[i % 2] for i, _ in rows})
+    model = langid.fit(d, F.col("lang"), key=F.col("doc_id"))
+
+    def buckets(t):
+        b, start, _ = langid.grams([t])
+        return [int(k) for k in b.ravel() if k < langid.BUCKETS]
+
+    count, n = {"x": {}, "y": {}}, {"x": 0, "y": 0}
+    for i, t in rows:
+        n["xy"[i % 2]] += 1
+        for k in buckets(t):
+            count["xy"[i % 2]][k] = count["xy"[i % 2]].get(k, 0) + 1
+    total = {c: sum(v.values()) + 0.5 * langid.BUCKETS for c, v in count.items()}
+    for t in ("abba dcc", "baab", "bdc cddc aab", "zzz"):
+        logs = [math.log((n[c] + 1) / (40 + 2)) + sum(math.log((count[c].get(k, 0) + 0.5) / total[c]) for k in buckets(t)) for c in "xy"]
+        best = max(range(2), key=lambda k: (logs[k], -k))
+        lang, p = langid.score(model, [t])
+        assert lang == ["xy"[best]] and abs(p[0] - 1 / sum(math.exp(v - logs[best]) for v in logs)) < 1e-9
+
+
+def test_near_classes_against_all_pairs(spark):
+    """All-pairs weighted Jaccard on a small corpus: no link across 0.85 is missed, and none below 0.8 is made."""
+    import pyarrow as pa
+
+    r = random.Random(20)
+    vocabulary = ["".join(r.choices("abcdefghij", k=4)) for _ in range(800)]
+    rows = []
+    for g in range(12):
+        base = r.choices(vocabulary, k=120)
+        for _ in range(5):
+            own = list(base)
+            for _ in range(r.randint(0, 4)):
+                own[r.randrange(120)] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(own)))
+    d = docs(spark, rows)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.dedup(d).collect()}
+    idf, least, strict = neardup.word_rarity(d), list(range(60)), list(range(60))
+    find = lambda up, k: k if up[k] == k else find(up, up[k])
+    for a in range(60):
+        s = neardup.similarity(pa.array([rows[a][1]] * 60), pa.array([t for _, t in rows]), idf)
+        for b in range(60):
+            for up, bound in ((least, 0.8), (strict, 0.85)):
+                if s[b] >= bound:
+                    x, y = sorted((find(up, a), find(up, b)))
+                    up[y] = x
+    assert all(find(least, i) == find(least, got[i]) for i in range(60))
+    assert all(got[i] == got[find(strict, i)] for i in range(60))
