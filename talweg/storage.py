@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of what this process has staged, in order.
+_STAGED: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,9 +42,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete what was staged from number `since` on. Only for a caller whose results are written: frames that read it fail afterwards."""
+    jvm = spark.sparkContext._jvm
+    for path in _STAGED[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del _STAGED[since:]
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df`, its rows dealt out to all cores if it is read in no more splits than there are cores (a small table may be one row group). Larger ones are left as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
