@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm import bpe, exactdedup, langid, mixing, neardup
 from talweg.llm.common import fresh_path, table
+from talweg.storage import release, staged_so_far
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -65,10 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and what the stage had staged on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = fresh_path(spark, f"pipeline-{name}")
+        before, path = staged_so_far(), fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before)
         docs = spark.read.parquet(path)
     return docs
