@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Links that one task handles, about: few links needn't be spread over all shuffle partitions in every round.
+LINKS = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the least vertex of the component of each vertex of links (a, b). Labels spread to neighbours and jump to the label's label, so rounds grow with the logarithm of a component's diameter."""
     both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    n = max(1, -(-both.count() // LINKS))
+    both = both.coalesce(n)
+    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")).coalesce(n), "labels")
     while True:
         near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
-        spread = staged(labels.join(near, "v").select("v", F.least("c", "n").alias("c"), F.col("c").alias("was")), "labels")
+        spread = staged(labels.join(near, "v").select("v", F.least("c", "n").alias("c"), F.col("c").alias("was")).coalesce(n), "labels")
         up = spread.select(F.col("v").alias("p"), F.col("c").alias("pc"))
-        jumped = staged(spread.join(up, F.col("c") == F.col("p"), "left").select("v", F.least("c", F.coalesce("pc", "c")).alias("c"), "was"), "labels")
+        jumped = staged(spread.join(up, F.col("c") == F.col("p"), "left").select("v", F.least("c", F.coalesce("pc", "c")).alias("c"), "was").coalesce(n), "labels")
         labels = jumped.select("v", "c")
         if jumped.where("c <> was").limit(1).count() == 0:
             return labels

@@ -364,10 +364,10 @@ def _keyed(docs: DataFrame, shared, id_col: str, text_col: str) -> tuple[DataFra
     raise RuntimeError("no seed tells all rows apart")
 
 
-def _dealt(rows: DataFrame, salt: int = 0) -> DataFrame:
+def _dealt(rows: DataFrame, salt: int = 0, size: int | None = None) -> DataFrame:
     """(bucket, v) rows with their part of the bucket, whether it has several and how many. Buckets of one row drop out."""
     many = rows.groupBy("bucket").count().where("count > 1")
-    parts = F.ceil(F.col("count") / BUCKET).cast("int")
+    parts = F.ceil(F.col("count") / (size or BUCKET)).cast("int")
     part = F.pmod(F.xxhash64("v", "bucket", F.lit(salt)), parts).cast("int")
     return rows.join(many, "bucket").select("bucket", part.alias("part"), "v", (parts > 1).alias("split"), parts.alias("parts"))
 
@@ -410,7 +410,7 @@ class _Search:
         level = stars.where("a = b").select("bucket", F.col("a").alias("v")).join(self.signed.where("split").select("bucket", "v"), ["bucket", "v"], "left_semi")
         champions, rounds, before = [], [], 0
         for k in range(1, 64):
-            dealt = staged(_dealt(level, k), "leaders")
+            dealt = staged(_dealt(level, k, 4 * BUCKET), "leaders")
             now = dealt.count()
             if not now or (before and now > before * 0.7):
                 break
