@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exactdedup, importance, langid, licenses, mixing, neardup, suffixdedup, tokenfile, toxicity
+from . import ann, bpe, chat, exactdedup, importance, langid, licenses, mixing, neardup, suffixdedup, tokenfile, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_all(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,9 +71,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_language_id, op3_repeated_windows, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, op12_importance_resampling, pipeline]
+    found = [op1_bpe_round_trip, op2_language_id, op3_repeated_windows, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, op12_importance_resampling, op13_chat_formatting, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exactdedup.SQL, "op12_importance_resampling": importance.sql()}
+    return {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exactdedup.SQL, "op12_importance_resampling": importance.sql(), "op13_chat_formatting": chat.sql()}
