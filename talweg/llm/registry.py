@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exactdedup, importance, langid, licenses, mixing, neardup, suffixdedup, tokenfile, toxicity
+from . import ann, bpe, chat, exactdedup, importance, langid, licenses, mixing, neardup, negatives, suffixdedup, tokenfile, toxicity
 from .common import table
 
 
@@ -56,6 +56,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_language_id, op3_repeated_windows, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, op12_importance_resampling, op13_chat_formatting, pipeline]
+    found = [op1_bpe_round_trip, op2_language_id, op3_repeated_windows, op4_license_scan, op5_mix_sources, op6_exact_dedup, op7_token_files, op8_toxicity, op9_nearest_neighbours, op10_near_dedup, op11_hard_negatives, op12_importance_resampling, op13_chat_formatting, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exactdedup.SQL, "op12_importance_resampling": importance.sql(), "op13_chat_formatting": chat.sql()}
+    return {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exactdedup.SQL, "op11_hard_negatives": negatives.sql(), "op12_importance_resampling": importance.sql(), "op13_chat_formatting": chat.sql()}
