@@ -13,6 +13,8 @@ unseen features. Columns beside id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +29,29 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
-def features(text: Column, longest: int = LONGEST, buckets: int = BUCKETS) -> tuple[Column, Column]:
-    """Of a text the bucket of every run of 1 to `longest` words, repeats included, and the number of words."""
-    w = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(1))
-    n = F.size(w)
-    runs = [w]
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(1))
+
+
+def features(w: str, longest: int = LONGEST, buckets: int = BUCKETS) -> Column:
+    """Of a column of words the bucket of every run of 1 to `longest` of them, repeats included. It must be a column: an expression would be taken anew for each run."""
+    n, runs = F.size(w), [F.col(w)]
+
+    def run(k: int) -> Callable[[Column], Column]:
+        return lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)])
+
     for k in range(2, longest + 1):
         starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(w, i, k), " ")))
+        runs.append(F.transform(starts, run(k)))
     every = runs[0] if longest == 1 else F.concat(*runs)
-    return F.transform(every, lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int")), n
+    return F.transform(every, lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int"))
 
 
 def collapsed(docs: DataFrame, text_col: str, longest: int, buckets: int) -> DataFrame:
     """(key, copies, words, b) of each distinct text: the digest of its bytes, its rows, its words, its features' buckets."""
     each = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    b, n = features(F.col("text"), longest, buckets)
-    return each.select(_key(F.col("text")), "copies", n.cast("long").alias("words"), b.cast("array<smallint>" if buckets <= 1 << 15 else "array<int>").alias("b"))
+    told = each.select(_key(F.col("text")), "copies", words(F.col("text")).alias("w"))
+    return told.select("key", "copies", F.size("w").cast("long").alias("words"), features("w", longest, buckets).cast("array<smallint>" if buckets <= 1 << 15 else "array<int>").alias("b"))
 
 
 def _key(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 Each row gets one more component that brings it to the largest length, and each anchor is brought to that length, so a
 larger inner product is a smaller distance. A bounded sample of rows are the pivots; every row and every anchor belongs to
-the cell of its nearest pivot, and every row keeps its distance to it. Anchors first meet the rows of their own cell; what
-they find bounds how far a row may be that could still serve them. By the triangle inequality and the planes between
+the cell of its nearest pivot, and every row keeps its distance to it. Cells near each other are regions, of which there are
+no more than a group of anchors each needs. Anchors first meet the rows of their own region; what they find bounds how far
+a row may be that could still serve them. By the triangle inequality and the planes between
 pivots those bounds become, for each group of anchors and each cell, an interval of distances to the cell's pivot; a row is
 copied only to the groups whose interval holds it, and compared there exactly, in integers. Two such joins run: the first
 finds each anchor's positives (best rows of its label), the second the best rows of other labels between two shares of
@@ -29,7 +30,7 @@ from .common import staged
 
 #: Rows a cell holds about, and the most cells. The pivots' matrix and its distances are sent to every task.
 CELL_ROWS, MOST_CELLS = 2048, 128
-#: Rows in a chunk; anchors in a group at least, and groups at most besides one a cell and label bucket.
+#: Rows in a chunk; anchors that a group is made for, and groups at most besides one a region and label bucket.
 CHUNK, GROUP, MOST_GROUPS, LABEL_BUCKETS = 8192, 1024, 1024, 8
 #: Widening of every bound against rounding, as a share of the largest length.
 SLACK = 1e-9
@@ -177,29 +178,31 @@ def joined(vectors: DataFrame, is_anchor: Column, k: int, m: int, least: int, mo
     counted: list[dict] = []
 
     def visited(anchors: DataFrame, alike: bool, own: bool, count: int) -> DataFrame:
-        """What the anchors (id, label, v, home, low, high, floors, caps) find in their own cell (own) or in all others: id, place, row, score."""
+        """What the anchors (id, label, v, home, low, high, floors, caps) find in their own region (own) or in all others: id, place, row, score."""
         bucket = F.pmod("label", F.lit(LABEL_BUCKETS)).cast("int") if alike else F.lit(0)
-        located = anchors.withColumn("bucket", bucket)
-        blocks = located.groupBy("home", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")).collect()  # cells x buckets at most
+        regions = max(1, min(len(sample), math.ceil(n_anchors / size / (LABEL_BUCKETS if alike else 1))))
+        region_of = shared.value.apart[:, :regions].argmin(1)  # of each cell the nearest of the first pivots
+        located = anchors.withColumn("bucket", bucket).withColumn("region", F.get(F.array(*[F.lit(int(r)) for r in region_of]), F.col("home")))
+        blocks = located.groupBy("region", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")).collect()  # regions x buckets at most
         number, first = {}, 0
         for r in sorted(blocks):
-            number[r["home"], r["bucket"]] = (first, r["blocks"])
+            number[r["region"], r["bucket"]] = (first, r["blocks"])
             first += r["blocks"]
         if not number:
             return spark.createDataFrame([], "id long, place int, row long, score long")
-        places = F.broadcast(spark.createDataFrame([(h, b, f, c) for (h, b), (f, c) in number.items()], "home int, bucket int, first int, blocks int"))  # as many
-        grouped = staged(located.join(places, ["home", "bucket"]).withColumn("group", (F.col("first") + F.pmod(F.xxhash64("id"), "blocks")).cast("int")).drop("first", "blocks", "bucket"), "anchor-groups")
+        places = F.broadcast(spark.createDataFrame([(h, b, f, c) for (h, b), (f, c) in number.items()], "region int, bucket int, first int, blocks int"))  # as many
+        grouped = staged(located.join(places, ["region", "bucket"]).withColumn("group", (F.col("first") + F.pmod(F.xxhash64("id"), "blocks")).cast("int")).drop("first", "blocks", "bucket", "region"), "anchor-groups")
 
         def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = shared.value
             for b in batches:
                 v, home, group = _matrix(b.column(0), kind).astype(float), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
+                near = region_of[None] == region_of[home][:, None]
                 if own:
-                    c = np.arange(len(p.points))[None] == home[:, None]
-                    lo, hi = np.where(c, -np.inf, np.inf), np.where(c, np.inf, -np.inf)
+                    lo, hi = np.where(near, -np.inf, np.inf), np.where(near, np.inf, -np.inf)
                 else:
                     lo, hi = intervals(p, v, b.column(3).to_numpy(), b.column(4).to_numpy(), home)
-                    lo[np.arange(len(v)), home], hi[np.arange(len(v)), home] = np.inf, -np.inf
+                    lo[near], hi[near] = np.inf, -np.inf
                 names, at = np.unique(group, return_inverse=True)
                 low, high = np.full((len(names), lo.shape[1]), np.inf), np.full((len(names), lo.shape[1]), -np.inf)
                 np.minimum.at(low, at, lo)
@@ -274,8 +277,8 @@ def joined(vectors: DataFrame, is_anchor: Column, k: int, m: int, least: int, mo
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
     def twice(anchors: DataFrame, alike: bool, count: int) -> DataFrame:
-        """Own cell first; its finds raise the low bounds with which all other cells are asked."""
-        near = staged(first_of(visited(anchors, alike, True, count), count), "own-cell")
+        """Own region first; its finds raise the low bounds with which all others are asked."""
+        near = staged(first_of(visited(anchors, alike, True, count), count), "own-region")
         full = near.groupBy("id", "place").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == count)
         if alike:
             known = anchors.drop("low").join(full.select("id", "least"), "id", "left").withColumn("low", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf")))).drop("least")
