@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 
 def reuse_vectors(new: DataFrame, old: DataFrame, text: str, vector: str) -> DataFrame:
     """Chunks with the vector of an old chunk of the same text; the others (null) are all that the encoder must see."""
@@ -108,10 +110,11 @@ def decorrelation(acf: DataFrame, block: str, lags: int, limit: float, share: fl
 
 
 def shift_in_ranges(rows: DataFrame, per: list[str], value: str, baseline: str) -> DataFrame:
-    """Medians before and after, and the change in interquartile ranges of the baseline."""
-    q = lambda cond, p: F.percentile(F.when(cond, F.col(value)), p)
-    base, rest = F.col(baseline), ~F.col(baseline)
-    m = rows.groupBy(*per).agg(q(base, 0.5).alias("before"), q(rest, 0.5).alias("after"), q(base, 0.25).alias("_q1"), q(base, 0.75).alias("_q3"))
+    """Medians before and after, and the change in interquartile ranges of the baseline; groups may be of any size."""
+    parts = rows.where(F.col(baseline).isNotNull()).select(*per, F.col(baseline).alias("_base"), value)
+    q = quantiles(parts, [*per, "_base"], value, (0.25, 0.5, 0.75))
+    pick = lambda cond, i: F.max(F.when(cond, F.col("q")[i]))  # noqa: E731  one row of each group
+    m = q.groupBy(*per).agg(pick(F.col("_base"), 1).alias("before"), pick(~F.col("_base"), 1).alias("after"), pick(F.col("_base"), 0).alias("_q1"), pick(F.col("_base"), 2).alias("_q3"))
     return m.withColumn("change", F.try_divide(F.col("after") - F.col("before"), F.col("_q3") - F.col("_q1"))).drop("_q1", "_q3")
 
 

@@ -30,17 +30,22 @@ def irregular_step(samples: DataFrame, trial: str, time: str, tolerance: float)
     return step.join(usual, trial).groupBy(trial, "win").agg(F.coalesce(F.bool_or(F.abs(F.col("_d") - F.col("_m")) > tolerance * F.abs("_m")), F.lit(False)).alias("irregular"))
 
 
-def temporal_split(wins: DataFrame, trial: str, order: str, shares: dict[str, float], purge: int) -> DataFrame:
-    """Contiguous blocks by cumulated share; `purge` windows after each inner boundary belong to none (null)."""
+def temporal_split(wins: DataFrame, trial: str, order: str, shares: dict[str, float], purge: int, least: int = 10) -> DataFrame:
+    """Contiguous blocks by cumulated share; `purge` windows after each inner boundary belong to none (null). A trial of which some block has fewer than `least` windows fails the job."""
     w = Window.partitionBy(trial)
     df = wins.withColumn("_k", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    role, total, start = F.lit(None).cast("string"), 0.0, F.lit(0)
+    role, total, start, sizes = F.lit(None).cast("string"), 0.0, F.lit(0), []
     for k, (name, share) in enumerate(shares.items()):
         total = round(total + share, 10)
         end = F.floor(F.col("_n") * F.lit(total))
-        role = F.when((F.col("_k") >= start + (purge if k else 0)) & (F.col("_k") < end), name).otherwise(role)
+        first = start + (purge if k else 0)
+        role = F.when((F.col("_k") >= first) & (F.col("_k") < end), name).otherwise(role)
+        sizes.append(end - first)
         start = end
-    return df.withColumn("role", role).drop("_k", "_n")
+    # greatest and least skip nulls, so one size alone is taken as it is.
+    short = (F.least(*sizes) if len(sizes) > 1 else sizes[0]) < least
+    refused = F.raise_error(F.concat(F.lit(f"a block of fewer than {least} windows in trial "), F.col(trial).cast("string"))).cast("string")
+    return df.withColumn("role", F.when(short, refused).otherwise(role)).drop("_k", "_n")
 
 
 def padded_sequences(wins: DataFrame, per: list[str], order: str, value: str, length: int) -> DataFrame:

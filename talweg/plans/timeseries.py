@@ -32,7 +32,7 @@ def _features(spark, d):
 
 
 def _roles(spark, d):
-    return Q.temporal_split(_features(spark, d), "user_id", "win", {"train": 0.5, "calibration": 0.3, "test": 0.2}, 1)
+    return Q.temporal_split(_features(spark, d), "user_id", "win", {"train": 0.5, "calibration": 0.3, "test": 0.2}, 1, 1)  # some users have few windows
 
 
 def _long(spark, d):
