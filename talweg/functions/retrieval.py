@@ -220,8 +220,8 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
                     continue
                 own = b.column(0).take(pa.array(at))
                 s = np.einsum("qd,nd->qn", q, v)
-                ids = own.to_pylist()
-                place = {x: j for j, x in enumerate(ids)}
+                ids = [] if with_own else own.to_pylist()
+                place = {} if with_own else {x: j for j, x in enumerate(ids)}
                 for j, name in enumerate(() if with_own else names):
                     if name in place:
                         s[j, place[name]] = -np.inf
@@ -282,23 +282,6 @@ def of_methods(chunks: DataFrame, method: str, methods: tuple[str, ...]) -> Data
     return chunks.where(F.col(method).isin(*methods))
 
 
-def hybrid_scores(similar: DataFrame, lexical: DataFrame, named: DataFrame, query: str, key: str, rank, gate: float = GATE) -> DataFrame:
-    """Reciprocal-rank fusion of three whole lists: (query, key, similarity, score).
-
-    similar: (query, key, similarity) of every chunk; lexical: (query, key, bm25); named: (query, key) of the chunks of
-    documents that the query names, ranked by similarity. A chunk needs a lexical or a named rank, or `gate` in similarity.
-    rank(rows, per, order, name) numbers rows in groups of any size.
-    """
-    by_meaning = similar.select(query, key, F.lit(0).alias("list"), F.col("similarity").alias("by"))
-    by_words = lexical.select(query, key, F.lit(1).alias("list"), F.col("bm25").alias("by"))
-    by_name = similar.join(named, [query, key], "left_semi").select(query, key, F.lit(2).alias("list"), F.col("similarity").alias("by"))
-    whole = staged(by_meaning.unionByName(by_words).unionByName(by_name), "ranked-lists")  # dealing out by ranges reads its rows twice
-    lists = rank(whole, [query, "list"], [F.desc("by"), F.col(key)], "place")
-    weight = F.when(F.col("list") == 0, MEANING).when(F.col("list") == 1, WORDS).otherwise(NAMED)
-    fused = lists.groupBy(query, key).agg(F.sum(weight / (BASE + F.col("place"))).alias("score"), F.max(F.when(F.col("list") == 0, F.col("by"))).alias("similarity"), F.max("list").alias("_l"))
-    return fused.where((F.col("_l") > 0) | (F.col("similarity") >= gate)).drop("_l")
-
-
 def mean_vector(rows: DataFrame, per: list[str], vector: str) -> DataFrame:
     """the mean of unit vectors, brought to length one, as one array per group."""
     each = rows.select(*per, F.posexplode(unit(vector)).alias("_i", "_x")).groupBy(*per, "_i").agg(F.avg("_x").alias("_x"))

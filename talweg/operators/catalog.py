@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import staged
+from .ranking import global_rank, prefix_sums
 
 
 def latest_by(df: DataFrame, key: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -82,15 +83,56 @@ def close_open(log: DataFrame, key: str, order: list[str], status: str, now: Col
     return state.where(F.col(status) == "started").select(key, F.lit("interrupted").alias(status), now.alias("at"))
 
 
-def classify_ingest(incoming: DataFrame, catalog: DataFrame, title: str, digest: str, version: str) -> DataFrame:
-    """Each incoming document as duplicate, new_version, alias or new, with its version. Of the catalog only latest versions count."""
-    newest = latest_by(catalog, [title], [version], [digest])
-    mine = newest.select(F.col(title).alias("_t"), F.col(digest).alias("_d"), F.col(version).alias("_v"))
-    same = newest.groupBy(F.col(digest).alias("_od")).agg(F.min(title).alias("_other"))
-    joined = incoming.join(mine, F.col(title) == F.col("_t"), "left").join(same, F.col(digest) == F.col("_od"), "left")
-    status = F.when(F.col("_d") == F.col(digest), "duplicate").when(F.col("_t").isNotNull(), "new_version").when(F.col("_other").isNotNull(), "alias").otherwise("new")
-    number = F.when(status == "new_version", F.col("_v") + 1).when(status == "duplicate", F.col("_v")).when(status == "new", 1)
-    return joined.select(*incoming.columns, status.alias("status"), number.cast("long").alias("version"))
+#: Kinds of files that are taken, the largest size in bytes and the longest title.
+KINDS, LARGEST, LONGEST_TITLE = ("pdf", "md", "json"), 100 << 20, 250
+
+
+def ingest_issue(file: Column, size: Column, title: Column) -> Column:
+    """Why a file isn't taken; null if it is."""
+    kind = F.lower(F.regexp_extract(F.coalesce(file, F.lit("")), r"\.([^./]+)$", 1))
+    name = F.length(F.trim(F.coalesce(title, F.lit(""))))
+    return F.when(~kind.isin(*KINDS), "kind").when(F.coalesce(size, F.lit(LARGEST + 1)) > LARGEST, "size").when((name == 0) | (name > LONGEST_TITLE), "title")
+
+
+def classify_ingest(incoming: DataFrame, catalog: DataFrame, title: str, digest: str, version: str, order: str) -> DataFrame:
+    """Each incoming document as duplicate, new_version, alias or new, with its version, in the order of arrival (a distinct whole number).
+
+    A title that is there gets a next version whenever its content changes. A title that isn't there is an alias, and stays
+    out, while some other title's current content is the same; else it is new. So what an arrival is depends on earlier
+    ones by its title and by its content. Each round counts, for the first undecided arrival of every title, the titles
+    that surely and that possibly hold its content just then: none possibly makes it new, one surely an alias. The counts
+    are running sums, whatever the number of titles that share a content; the earliest undecided arrival is always decided,
+    and rounds grow only with chains of aliases that wait for each other.
+    """
+    old = latest_by(catalog, [title], [version], [digest]).select(F.col(title).alias("t"), F.col(digest).alias("d"), F.lit(None).cast("long").alias("at"), F.col(version).cast("long").alias("v"))
+    came = incoming.select(F.col(title).alias("t"), F.col(digest).alias("d"), F.col(order).cast("long").alias("at"), F.lit(None).cast("long").alias("v"))
+    per = Window.partitionBy("t").orderBy(F.asc_nulls_first("at"))
+    # alive: whether the title is there from this arrival on; null: not known yet.
+    rows = came.unionByName(old).withColumn("next", F.lead("at").over(per)).withColumn("own", F.max("v").over(per.rowsBetween(Window.unboundedPreceding, 0)).isNotNull())
+    rows = staged(rows.withColumn("alive", F.when(F.col("own"), True)), "arrivals")
+    earliest = F.lit(-(1 << 62))
+    while rows.where("alive is null").limit(1).count():
+        sure, maybe = F.coalesce("alive", F.lit(False)).cast("long"), F.coalesce("alive", F.lit(True)).cast("long")
+        starts = rows.select("d", F.coalesce("at", earliest).alias("time"), F.lit(1).alias("last"), F.col("t"), sure.alias("sure"), maybe.alias("maybe"), F.lit(False).alias("asks"))
+        ends = rows.where("next is not null").select("d", F.col("next").alias("time"), F.lit(0).alias("last"), F.col("t"), (-sure).alias("sure"), (-maybe).alias("maybe"), F.lit(False).alias("asks"))
+        open_ = rows.where("alive is null").groupBy("t").agg(F.min("at").alias("time"), F.min_by("d", "at").alias("d"))
+        asks = open_.select("d", "time", F.lit(-1).alias("last"), "t", F.lit(0).cast("long").alias("sure"), F.lit(0).cast("long").alias("maybe"), F.lit(True).alias("asks"))
+        events = starts.unionByName(ends).unionByName(asks)
+        held = prefix_sums(events, ["d"], [F.col("time"), F.col("last"), F.col("t")], {"n_sure": F.col("sure"), "n_maybe": F.col("maybe")}).where("asks")
+        found = held.select(F.col("t").alias("_t"), F.col("time").alias("_at"), F.when(F.col("n_sure") > 0, False).when(F.col("n_maybe") == 0, True).alias("_alive")).where("_alive is not null")
+        told = rows.join(found, F.col("t").eqNullSafe(F.col("_t")), "left")
+        # A title that is there stays there; an alias decides only its own arrival.
+        now = F.when(F.col("alive").isNull() & F.col("_alive") & (F.col("at") >= F.col("_at")), True).when(F.col("alive").isNull() & ~F.col("_alive") & (F.col("at") == F.col("_at")), False).otherwise(F.col("alive"))
+        rows = staged(told.withColumn("alive", now).drop("_t", "_at", "_alive"), "arrivals")
+    there = Window.partitionBy("t", "alive").orderBy(F.asc_nulls_first("at"))
+    before = F.lag("d").over(there)
+    first = F.row_number().over(there) == 1
+    kind = F.when(~F.col("alive"), "alias").when(first, "new").when(before.eqNullSafe(F.col("d")), "duplicate").otherwise("new_version")
+    base = F.coalesce(F.max("v").over(there.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
+    told = rows.withColumn("status", kind).withColumn("_base", base)
+    number = F.col("_base") + F.sum((F.col("status") == "new_version").cast("long")).over(there)
+    told = told.withColumn("version", F.when(F.col("alive"), number)).where("at is not null").select(F.col("at").alias("_at"), "status", "version")
+    return incoming.join(told, F.col(order) == F.col("_at")).drop("_at")
 
 
 def compare_keyed(saved: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:
@@ -120,15 +162,11 @@ def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def numbered_blocks(rows: DataFrame, order: str, letter: str) -> DataFrame:
     """Report lines as citable blocks: their marks (R1, R2 ...) in order. A report has few lines."""
-    from pyspark.sql import Window
-
     return rows.withColumn("mark", F.concat(F.lit(letter), F.row_number().over(Window.orderBy(order)).cast("string")))
 
 
 def conversation_list(messages: DataFrame, key: str, order: str) -> DataFrame:
     """Conversations that aren't deleted, with the messages of the user and the assistant that are in context (by default they are) and not blank counted, the latest first."""
-    from pyspark.sql import Window
-
     counts = F.col("role").isin("user", "assistant") & F.coalesce("in_context", F.lit(True)) & (F.trim("text") != "")
     each = messages.where(~F.coalesce("deleted", F.lit(False))).groupBy(key).agg(F.count_if(counts).alias("n_messages"), F.max(order).alias("last_turn"))
-    return each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_turn"), key)))
+    return global_rank(each, [], [F.desc("last_turn"), F.col(key)], "place")

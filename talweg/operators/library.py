@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.retrieval import folded, words
 from .selection import quantiles
 
 
@@ -41,20 +42,28 @@ def from_elsewhere(rows: DataFrame, conversation: str, current: str | None) -> D
 
 
 def _squash(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", "")
 
 
 def title_named(question: Column, title: Column, least: int = 12) -> Column:
-    """Whether the squashed title, if long enough, stands in the squashed question."""
+    """Whether the title, if long enough, stands in the question; case, accents, marks and blanks don't count."""
     return (F.length(_squash(title)) >= least) & _squash(question).contains(_squash(title))
 
 
+def titles_in(questions: DataFrame, name: str, question: str, cards: DataFrame, title: str, least: int = 12) -> DataFrame:
+    """J18 for many questions and titles: (name, all columns of cards) where `title_named` holds. Joined on the title's first `least` characters, which the question must hold somewhere, so no pair is tried in vain."""
+    asked = questions.select(name, _squash(F.col(question)).alias("_q"))
+    starts = F.sequence(F.lit(1), F.length("_q") - (least - 1))
+    pieces = asked.where(F.length("_q") >= least).select(name, "_q", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_q"), i, F.lit(least))))).alias("_p"))
+    held = cards.withColumn("_t", _squash(F.col(title))).where(F.length("_t") >= least).withColumn("_p", F.substring("_t", 1, least))
+    return held.join(pieces, "_p").where(F.col("_q").contains(F.col("_t"))).drop("_p", "_q", "_t")
+
+
 def named_documents(question: Column, title: Column, surnames: Column, doi: Column, stop_words: tuple[str, ...], least: int = 12) -> Column:
-    """Whether the question names a card by an author's surname (three letters or more, no stop word), by its title or by its DOI."""
-    asked = F.regexp_extract_all(F.lower(question), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    known = F.filter(F.transform(F.coalesce(surnames, F.array().cast("array<string>")), F.lower), lambda x: (F.length(x) >= 3) & ~x.isin(*stop_words))
-    by_doi = (F.length(F.coalesce(doi, F.lit(""))) > 0) & F.lower(question).contains(F.lower(doi))
-    return F.arrays_overlap(known, asked) | F.coalesce(title_named(question, title, least), F.lit(False)) | F.coalesce(by_doi, F.lit(False))
+    """Whether the question names a card by an author's surname (three letters or more, no stop word), by its title or by its DOI. Case and accents don't count."""
+    known = F.filter(F.transform(F.coalesce(surnames, F.array().cast("array<string>")), folded), lambda x: (F.length(x) >= 3) & ~x.isin(*stop_words))
+    by_doi = (F.length(F.coalesce(doi, F.lit(""))) > 0) & folded(question).contains(folded(doi))
+    return F.arrays_overlap(known, words(question)) | F.coalesce(title_named(question, title, least), F.lit(False)) | F.coalesce(by_doi, F.lit(False))
 
 
 def only_named(chunks: DataFrame, question: Column, named: Column) -> DataFrame:

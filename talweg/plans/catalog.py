@@ -63,7 +63,7 @@ def versioned_ingest(spark, d):
     docs = T(spark, d, "documents").select("doc_id", F.concat_ws("-", "source", (F.col("doc_id") % 40).cast("string")).alias("title"), F.md5("text").alias("digest"))
     old = docs.where("doc_id % 3 <> 0")
     old = old.select("title", "digest", F.col("doc_id").alias("version"))
-    return C.classify_ingest(docs.where("doc_id % 3 = 0"), old, "title", "digest", "version").drop("digest")
+    return C.classify_ingest(docs.where("doc_id % 3 = 0"), old, "title", "digest", "version", "doc_id").drop("digest")
 
 
 def card_upsert(spark, d):
@@ -116,8 +116,14 @@ QUERIES = {
     "anti_prune": (anti_prune, "SELECT count(*) AS n_rows, coalesce(sum(length(text)), 0)::BIGINT AS n_bytes FROM documents WHERE doc_id NOT IN (SELECT max(doc_id) FROM documents WHERE source IS NOT NULL GROUP BY source)"),
     "event_fold": (event_fold, "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'click') AS state, arg_max(value, (ts, event_id)) FILTER (value > 10) AS amount, count(*) AS n_events FROM events GROUP BY 1"),
     "usage_totals": (usage_totals, "WITH l AS (SELECT *, ts::DATE AS day FROM events WHERE event_type <> 'error') SELECT round(sum(value) FILTER (day = (SELECT max(day) FROM l)), 4) AS today_total, round(sum(value), 4) AS total, count(*) AS calls FROM l"),
-    "versioned_ingest": (versioned_ingest, """WITH x AS (SELECT doc_id, source || '-' || (doc_id % 40) AS title, md5(text) AS digest FROM documents), c AS (SELECT title, arg_max(digest, doc_id) AS digest, max(doc_id) AS version FROM x WHERE doc_id % 3 <> 0 GROUP BY 1), h AS (SELECT digest, min(title) AS other FROM c GROUP BY 1)
-SELECT doc_id, title, status, CASE status WHEN 'duplicate' THEN version WHEN 'new_version' THEN version + 1 WHEN 'new' THEN 1 END AS version FROM (SELECT x.doc_id, x.title, c.version, CASE WHEN c.digest = x.digest THEN 'duplicate' WHEN c.title IS NOT NULL THEN 'new_version' WHEN h.other IS NOT NULL THEN 'alias' ELSE 'new' END AS status FROM x LEFT JOIN c ON x.title = c.title LEFT JOIN h ON x.digest = h.digest WHERE x.doc_id % 3 = 0)"""),
+    "versioned_ingest": (versioned_ingest, """WITH RECURSIVE x AS (SELECT doc_id, source || '-' || (doc_id % 40) AS title, md5(text) AS digest FROM documents),
+c AS (SELECT title, arg_max(digest, doc_id) AS digest, max(doc_id) AS version FROM x WHERE doc_id % 3 <> 0 GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM x WHERE doc_id % 3 = 0),
+s AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::VARCHAR AS title, NULL::VARCHAR AS status, NULL::BIGINT AS version, (SELECT MAP(list(title), list(digest)) FROM c) AS held, (SELECT MAP(list(title), list(version)) FROM c) AS numbers
+UNION ALL SELECT n, doc_id, title, status, CASE status WHEN 'new' THEN 1 WHEN 'new_version' THEN numbers[title] + 1 WHEN 'duplicate' THEN numbers[title] END,
+    CASE WHEN status = 'alias' THEN held ELSE map_concat(held, MAP([title], [digest])) END, CASE status WHEN 'new' THEN map_concat(numbers, MAP([title], [1::BIGINT])) WHEN 'new_version' THEN map_concat(numbers, MAP([title], [numbers[title] + 1])) ELSE numbers END
+    FROM (SELECT i.*, s.held, s.numbers, CASE WHEN s.held[i.title] = i.digest THEN 'duplicate' WHEN s.held[i.title] IS NOT NULL THEN 'new_version' WHEN list_contains(map_values(s.held), i.digest) THEN 'alias' ELSE 'new' END AS status FROM s JOIN i ON i.n = s.n + 1))
+SELECT doc_id, title, status, version FROM s WHERE n > 0"""),
     "card_upsert": (card_upsert, "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'edited' ELSE c_mktsegment END AS v, count(*) AS n FROM customer GROUP BY 1"),
     "full_outer_compare": (full_outer_compare, "WITH a AS (SELECT o_custkey k, round(sum(o_totalprice), 2) v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey k, round(sum(o_totalprice), 2) v FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, a.v AS saved, b.v AS current, round(b.v - a.v, 2) AS diff, a.v = b.v AS same FROM a FULL JOIN b ON a.k = b.k"),
     "version_chain": (version_chain, "WITH RECURSIVE l AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) up FROM orders), c AS (SELECT o_orderkey, o_orderkey AS root, 0 AS depth FROM l WHERE up IS NULL UNION ALL SELECT l.o_orderkey, c.root, c.depth + 1 FROM l JOIN c ON l.up = c.o_orderkey) SELECT * FROM c"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fusion as U
 from ..functions import retrieval as R
 from ..operators import library as L
 from ..operators import ranking as K
@@ -43,36 +44,47 @@ def bm25_topk(spark, d):
     return top.select("item_id", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
+def _keyed(docs):
+    """Documents under one key that carries their source along."""
+    return docs.withColumn("chunk", F.struct(F.col("doc_id").alias("key"), F.col("source").alias("group")))
+
+
 def _similar(spark, d, every=100):
     """Similarity of every document's vector (that of its number) to every question's: the question's own vector is the one of its number."""
     v = T(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = _asked(spark, d, every).select("item_id").join(T(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("q"))
-    held = v.join(T(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
-    return R.cosine_scores(held, q, "doc_id", "embedding", "item_id", "q", with_own=True).withColumn("similarity", F.round("similarity", 9))
+    held = _keyed(v.join(T(spark, d, "documents").select("doc_id", "source"), "doc_id"))
+    scored = R.cosine_scores(held, q, "chunk", "embedding", "item_id", "q", with_own=True)
+    return scored.select(F.col("item_id").alias("query"), "chunk.key", "chunk.group", F.round("similarity", 9).alias("by"))
+
+
+def _worded(spark, d, every=100):
+    questions = _asked(spark, d, every).select("item_id", R.query_terms(F.col("text")).alias("terms"))
+    scored = R.bm25(_keyed(T(spark, d, "documents").select("doc_id", "source", "text")), questions, "chunk", "text", "item_id", "terms")
+    return scored.select(F.col("item_id").alias("query"), "chunk.key", "chunk.group", F.round("bm25", 9).alias("by"))
 
 
 def _named(spark, d, every=100):
-    """Documents of the collections that a question names: here it is asked of "collected notes" of the source of its number."""
-    cards = T(spark, d, "documents").select("source").distinct().select("source", F.concat(F.lit("Collected notes, "), "source").alias("title"))
-    asked = _asked(spark, d, every).select("item_id", F.concat("text", F.lit(" (collected notes src"), (F.col("item_id") % 30).cast("string"), F.lit(")")).alias("question"))
-    pairs = cards.join(F.broadcast(asked), L.title_named(F.col("question"), F.col("title")))  # a workload's questions
-    return T(spark, d, "documents").select("doc_id", "source").join(pairs, "source").select("item_id", "doc_id")
+    """The collections that a question names: here it is asked of "collected notes" of the source of its number, among others with their accents."""
+    cards = T(spark, d, "documents").select("source").distinct().select("source", F.concat(F.lit("Collected nótes, "), "source").alias("title"))
+    asked = _asked(spark, d, every).select("item_id", F.concat("text", F.lit(" (colléctèd notes src"), (F.col("item_id") % 30).cast("string"), F.lit(")")).alias("question"))
+    return L.titles_in(asked, "item_id", "question", cards, "title").select(F.col("item_id").alias("query"), F.col("source").alias("group"))
 
 
-def _hybrid(spark, d, every=100):
-    """The fused candidates of every question, ranked: item_id, doc_id, source, score, similarity, fused_rank."""
-    fused = R.hybrid_scores(_similar(spark, d, every), _lexical(spark, d, every), _named(spark, d, every), "item_id", "doc_id", K.global_rank)
-    return fused.join(T(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("score", F.round("score", 9))
+def _fused(spark, d, need, every=100, cap=None):
+    """The first candidates of every question: item_id, doc_id, source, score, similarity."""
+    found = U.best(_similar(spark, d, every), _worded(spark, d, every), _named(spark, d, every), need, cap)
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), F.col("group").alias("source"), "score", "similarity")
 
 
 def _ranked(spark, d, most, every=100):
     """The first `most` candidates of each question; only they are ordered in one place."""
-    return K.sequence_rank(_hybrid(spark, d, every), [F.desc("score"), F.col("doc_id")], "fused_rank", ["item_id"]).where(F.col("fused_rank") <= most)
+    return K.sequence_rank(_fused(spark, d, most, every), [F.desc("score"), F.col("doc_id")], "fused_rank", ["item_id"]).where(F.col("fused_rank") <= most)
 
 
 def hybrid_search(spark, d):
     """meaning, words and named documents fused, at most two of a source, each hit with its first description."""
-    capped = K.capped(_hybrid(spark, d), "source", [F.desc("score"), F.col("doc_id")], 2, 6, ["item_id"])
+    capped = K.capped(_fused(spark, d, 6, cap=2), "source", [F.desc("score"), F.col("doc_id")], 2, 6, ["item_id"])
     notes = T(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.substring("text", 1, 40).alias("note"))
     hits = L.caption_descriptions(capped, notes, ["doc_id"], "turn", "note")
     return hits.select("item_id", "doc_id", "source", "place", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "description")
@@ -81,7 +93,7 @@ def hybrid_search(spark, d):
 _HYBRID_SQL = f"""WITH {_Q_SQL},
 sem AS (SELECT b.vec_id item_id, a.vec_id doc_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) s
     FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM bm0) AND a.vec_id IN (SELECT doc_id FROM documents)),
-named AS (SELECT item_id, doc_id FROM bm0 JOIN documents ON contains(regexp_replace(lower(bm0.text || ' (collected notes src' || (item_id % 30) || ')'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'collectednotes' || source)),
+named AS (SELECT item_id, doc_id FROM bm0 JOIN documents ON contains(regexp_replace(strip_accents(lower(bm0.text || ' (colléctèd notes src' || (item_id % 30) || ')')), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'collectednotes' || source)),
 lists AS (SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)) p, s, 0 l FROM sem
     UNION ALL SELECT item_id, doc_id, 0.5 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY b DESC, doc_id)), NULL, 1 FROM bm
     UNION ALL SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)), NULL, 2 FROM sem SEMI JOIN named USING (item_id, doc_id)),

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits
+
 #: A trial's columns, in the order of the header (a fixed format).
 SIGNAL_COLUMNS = ("Time", "Ipv", "Vpv", "Vdc", "ia", "ib", "ic", "va", "vb", "vc", "Iabc", "If", "Vabc", "Vf")
 SIGNALS = T.StructType([T.StructField(c, T.DoubleType()) for c in SIGNAL_COLUMNS])
@@ -75,11 +77,18 @@ def export(df: DataFrame, path: str, form: str = "csv") -> None:
     writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write version n + 1 of a table below `root` and return its path. A folder counts once its _SUCCESS marker is there, so readers of `current` never see a half-written one."""
-    path = f"{root}/{name}-{(newest(df.sparkSession, root, name) or 0) + 1:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def publish(df: DataFrame, root: str, name: str) -> int:
+    """Write a table as the next version below `root`, and return its number. The files are written to a folder of their own; a manifest that no other writer can take makes them the version."""
+    return publish_all(df.sparkSession, root, {name: df})
+
+
+def publish_all(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Several tables (chunks, index, pointer) as one version: readers see all of them or none. Tables of earlier versions that aren't given stay."""
+    paths = {}
+    for name, df in tables.items():
+        paths[name] = f"{root}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(paths[name])
+    return commits.commit(spark, root, lambda now: now | paths)
 
 
 def run_status(runs: DataFrame, chunks: DataFrame, issues: DataFrame, run: str) -> DataFrame:
@@ -183,27 +192,26 @@ def parameters(given: dict, known: dict[str, tuple]) -> dict:
     return out
 
 
-def newest(spark: SparkSession, root: str, name: str) -> int | None:
-    """Number of the newest complete version."""
+def legacy(spark: SparkSession, root: str, name: str) -> str | None:
+    """The newest complete folder `name-<number>` of a place without manifests."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(root)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return None
     found = []
-    for s in fs.listStatus(place):
+    for s in fs.listStatus(place) if fs.exists(place) else []:
         got = s.getPath().getName()
         if got.startswith(f"{name}-") and got[len(name) + 1 :].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            found.append(int(got[len(name) + 1 :]))
-    return max(found, default=None)
+            found.append((int(got[len(name) + 1 :]), s.getPath().toString()))
+    return max(found, default=(0, None))[1]
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest complete version."""
-    n = newest(spark, root, name)
-    if n is None:
+def current(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table as the newest (or an earlier) version has it; of a place without manifests the newest complete folder."""
+    content = commits.newest(spark, root)[1] if version is None else commits.read(spark, root, version)
+    path = content.get(name) or (legacy(spark, root, name) if version is None else None)
+    if path is None:
         raise FileNotFoundError(f"{root} holds no complete {name}")
-    return spark.read.parquet(f"{root}/{name}-{n:06d}")
+    return spark.read.parquet(path)
 
 
 def confirmation_key(row: Column) -> Column:

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import metrics as M
-from talweg.functions import models as N
 from talweg.functions import numbers as W
 from talweg.functions import planning as P2
 from talweg.functions import reliability as R
@@ -91,7 +90,7 @@ def test_harmonics_of_a_sine(spark):
 
 def test_split_blocks_are_disjoint_and_purged(spark):
     wins = spark.createDataFrame([("t", k) for k in range(40)], "t string, win int")
-    got = {r["win"]: r["role"] for r in Q.temporal_split(wins, "t", "win", {"train": 0.5, "validation": 0.2, "calibration": 0.2, "test": 0.1}, 2).collect()}
+    got = {r["win"]: r["role"] for r in Q.temporal_split(wins, "t", "win", {"train": 0.5, "validation": 0.2, "calibration": 0.2, "test": 0.1}, 2, 1).collect()}
     assert [k for k, v in got.items() if v is None] == [20, 21, 28, 29, 36, 37] and got[19] == "train" and got[22] == "validation" and got[39] == "test"
 
 
@@ -289,13 +288,6 @@ def test_small_text_functions(spark):
     assert X.overlap_join(*twice) is None and X.overlap_join(*twice, split=lambda t: [*twice]) == "one termtermterm b termtermterm two"
 
 
-def test_autoencoder_learns():
-    x = np.random.default_rng(0).normal(size=(200, 1)) @ np.ones((1, 4))
-    before = ((N.forward(N.initial(4, 1), x)[-1] - x) ** 2).mean()
-    after = ((N.forward(N.train(x[:150], x[150:], 1, epochs=60), x)[-1] - x) ** 2).mean()
-    assert after < 0.2 * before
-
-
 def test_signal_files(spark, tmp_path):
     rows = [tuple(float(k if c == 0 else k * c) for c in range(14)) for k in range(5)]
     df = spark.createDataFrame(rows, P.SIGNALS)
