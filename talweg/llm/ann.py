@@ -4,8 +4,9 @@ Each vector gets one more component that brings it to the largest length, so the
 Euclidean distance. Gaussian (2-stable) projections to a few dimensions keep distances up to a factor whose square follows
 a chi-square law. A kd-tree over a bounded sample of projections cuts the space into cells; every row is indexed in the cell
 that holds it, cells are dealt out in chunks of bounded size, and each chunk has a kd-tree of its own. A query visits
-leaves in the order of projected distance and verifies their rows exactly; it stops when a row as near as its k-th best
-would, by the chi-square law, have had a smaller projected distance with probability `CONFIDENCE`. It starts in its own
+leaves in the order of projected distance and verifies those of their rows exactly whose projected distance is within its
+reach; it stops when a row as near as its k-th best would, by the chi-square law, have had a smaller projected distance
+with probability `CONFIDENCE`. It starts in its own
 cell; what it finds there bounds the second round over the other cells.
 
 Vectors that are null, zero, of another size than most, or hold null or non-finite components take no part, nor do null
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-DIMENSIONS = 8
-CONFIDENCE = 0.97
+#: Projections, and the share of rows as near as the k-th best that the test lets through; together they give a recall of
+#: about 0.95 on vectors without structure (see the README for shares verified and recalls measured).
+DIMENSIONS, CONFIDENCE = 24, 0.9
 #: Rows that the cells' tree is fitted on, at most.
 SAMPLE = 65_536
 #: Rows in a chunk and queries in a block, about.
@@ -83,14 +85,6 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def inner(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components, so equal vectors score alike."""
-    out = np.zeros((len(queries), len(rows)))
-    for k in range(queries.shape[1]):
-        out += queries[:, k, None] * rows[None, :, k]
-    return out
-
-
 def _leaves(points: np.ndarray) -> list[np.ndarray]:
     """Rows of a chunk by kd-tree leaf: halves at the median of the widest dimension."""
     open_, done = [np.arange(len(points))], []
@@ -106,35 +100,49 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return done
 
 
-def search_chunk(ids: np.ndarray, rows: np.ndarray, points: np.ndarray, qid: np.ndarray, q: np.ndarray, qp: np.ndarray, floor: np.ndarray, k: int, top: float, quantile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the best rows of a chunk for each query that reach its floor."""
+def search_chunk(ids: np.ndarray, rows: np.ndarray, points: np.ndarray, qid: np.ndarray, q: np.ndarray, qp: np.ndarray, floor: np.ndarray, k: int, top: float, quantile: float, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best rows of a chunk for each query that reach its floor. `tally` gets the number of rows verified.
+
+    Leaves come in the order of their distance; a query is done when the next one is beyond its reach. Within a leaf only
+    rows whose own projected distance is within reach are verified.
+    """
     leaves = _leaves(points)
     low, high = np.array([points[x].min(0) for x in leaves]), np.array([points[x].max(0) for x in leaves])
     near = box_distance(qp, low, high)
     order = np.argsort(near, 1, kind="stable")
     sorted_near = np.take_along_axis(near, order, 1)
-    norm = np.sqrt((q * q).sum(1))
+    norm, square, q_square = np.sqrt((q * q).sum(1)), (points * points).sum(1), (qp * qp).sum(1)
     best: list[list[np.ndarray]] = [[np.zeros(0), np.zeros(0, np.int64)] for _ in qid]
     worst = floor.copy()
     live = np.arange(len(qid))
     for step in range(len(leaves)):
         # A score s of a query of length |q| is the squared distance 2 top^2 - 2 top s / |q|, the query brought to length top.
         reach = quantile * np.maximum(2 * top * top - 2 * top * worst[live] / norm[live], 0)
-        live = live[~(sorted_near[live, step] > reach)]
+        go = sorted_near[live, step] <= reach
+        live, reach = live[go], reach[go]
         if not len(live):
             break
         here = order[live, step]
         for leaf in np.unique(here).tolist():
-            some, own = live[here == leaf], leaves[leaf]
-            score = inner(q[some], rows[own])
-            hit = (score >= worst[some, None]) & (ids[own][None] != qid[some, None])
-            for j in np.flatnonzero(hit.any(1)).tolist():
-                x, at = int(some[j]), np.flatnonzero(hit[j])
-                s, v = np.append(best[x][0], score[j, at]), np.append(best[x][1], ids[own][at])
-                keep = np.lexsort((v, -s))[:k]
-                best[x] = [s[keep], v[keep]]
-                if len(keep) == k:
-                    worst[x] = max(worst[x], s[keep[-1]])
+            mine, own = np.flatnonzero(here == leaf), leaves[leaf]
+            for at in range(0, len(mine), 256):
+                some = live[mine[at : at + 256]]
+                apart = q_square[some, None] + square[own][None] - 2 * qp[some] @ points[own].T
+                x, y = np.nonzero((apart <= reach[mine[at : at + 256], None] * (1 + 1e-9) + 1e-9) & (ids[own][None] != qid[some, None]))
+                if tally is not None:
+                    tally[0] += len(x)
+                score, left, right = np.zeros(len(x)), q[some], rows[own]
+                for c in range(q.shape[1]):  # in the order of the components, so equal vectors score alike
+                    score += left[x, c] * right[y, c]
+                hit = np.flatnonzero(score >= worst[some[x]])
+                for j, one in zip(*(a.tolist() for a in np.unique(x[hit], return_index=True))):
+                    mine_ = hit[one : one + int(np.searchsorted(x[hit][one:], j, "right"))]
+                    i = int(some[j])
+                    s, v = np.append(best[i][0], score[mine_]), np.append(best[i][1], ids[own][y[mine_]])
+                    keep = np.lexsort((v, -s))[:k]
+                    best[i] = [s[keep], v[keep]]
+                    if len(keep) == k:
+                        worst[i] = max(worst[i], s[keep[-1]])
     size = [len(b[0]) for b in best]
     return np.repeat(qid, size), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best])
 
@@ -144,8 +152,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.n
     return np.frombuffer(b"".join(got), kind).reshape(len(got), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CHUNK, confidence: float = CONFIDENCE) -> DataFrame:
-    """The k nearest rows of each query: query_id, rank (from 1), vec_id, score."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CHUNK, confidence: float = CONFIDENCE, dimensions: int = DIMENSIONS, ratio: float = 1.0) -> DataFrame:
+    """The k nearest rows of each query: query_id, rank (from 1), vec_id, score. With a ratio above 1 the test asks only for rows nearer than the k-th best by that factor, and stops sooner. dimensions: an even number."""
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null and v is not null")
     sound = given.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -155,8 +163,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, top = sizes["d"], sizes["n"], math.sqrt(sizes["top"])
     sound = sound.where(F.size("v") == dim)
-    quantile = chi_square_quantile(confidence, DIMENSIONS)
-    project = np.random.default_rng(64).standard_normal((dim + 1, DIMENSIONS))
+    quantile = chi_square_quantile(confidence, dimensions) / ratio**2
+    project = np.random.default_rng(64).standard_normal((dim + 1, dimensions))
 
     def projected(v: np.ndarray) -> np.ndarray:
         lift = np.sqrt(np.maximum(top * top - (v * v).sum(1), 0))

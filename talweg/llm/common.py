@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.storage import shared_dir, spread, staged, table  # noqa: F401  (for the operators)
+from talweg.storage import shared_dir, staged, table  # noqa: F401  (for the operators)
 
 #: Text handled at once inside a task. Bounds a worker's arrays whatever the length of an Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Rows handled at once: operators pack a row's number into 16 bits beside a hash.
+SLICE_ROWS = 1 << 15
 _U = np.uint64
 
 
@@ -32,18 +34,20 @@ def with_rows(decided: DataFrame) -> DataFrame:
 def one_each(docs: DataFrame, stay: DataFrame, id_col: str, key: Column, text_col: str) -> DataFrame:
     """The rows of docs that stay, one for each (id, key), with all columns.
 
-    stay: id, key, n (rows of that id in docs), decided on narrow columns; so the texts are shuffled once, by id. Only where
-    an id has several rows are they told apart by their key; of rows that share both the longest text stays, then the greatest.
+    stay: id, key, n (rows of that id in docs), decided on narrow columns; so the texts are shuffled once, by id. Rows of an
+    id that stands once are looked up by it; only rows of an id that repeats are told apart by their key, and of those that
+    share both the longest text stays, then the greatest.
     """
     stay = staged(stay, "stay")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
-    if not stay.where("n > 1").limit(1).count():
-        own = stay.select(F.col("id").alias("own"))
-        return rows.join(own, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("doc.*")
+    once = stay.where("n = 1").select(F.col("id").alias("own"))
+    alone = rows.join(once, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("doc")
+    several = stay.where("n > 1").select(F.col("id").alias("own"), F.col("key").alias("own_key"))
     text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
-    each = rows.withColumn("key", key).groupBy("id", "key").agg(F.max_by("doc", F.struct(F.length(text), text)).alias("doc"))
-    own = stay.select(F.col("id").alias("own"), F.col("key").alias("own_key"))
-    return each.join(own, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")), "left_semi").select("doc.*")
+    some = rows.join(several.select("own").distinct(), F.col("id").eqNullSafe(F.col("own")), "left_semi").withColumn("key", key)
+    kept = some.join(several, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")), "left_semi")
+    each = kept.groupBy("id", "key").agg(F.max_by("doc", F.struct(F.length(text), text)).alias("doc")).select("doc")
+    return alone.unionByName(each).select("doc.*")
 
 
 def input_partitions(df: DataFrame, least: int = 1) -> int:
@@ -67,7 +71,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the text of each is about `most` bytes, or one document if that alone is longer."""
+    """The batches cut so that the text of each is about `most` bytes, or one document if that alone is longer, and its rows SLICE_ROWS at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -75,7 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + SLICE_ROWS, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, input_partitions, mix, one_each, slices, span_hash, spread, staged, text_buffer, with_rows, word_spans
+from .common import BYTE_VALUE, input_partitions, mix, one_each, slices, span_hash, staged, text_buffer, with_rows, word_spans
 from .graph import components, merged
 
 WORDS = 5
@@ -130,7 +130,7 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(at, SLOTS), pa.int32()), "n": np.append(total[at], n)})
 
-    counted = spread(docs.select(F.col(text_col).alias("_text"))).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     full = np.zeros(SLOTS + 1)
     full[counted["slot"]] = counted["n"]
     n = full[SLOTS]
@@ -143,7 +143,7 @@ def row_key(seed: int, id_: Column, text: Column) -> Column:
 
 def _sketched(docs: DataFrame, shared, seed: int, id_col: str, text_col: str) -> DataFrame:
     """_key, id, h1, h2 (of the words), n_words, sig, bands of every document."""
-    source = spread(docs.select(row_key(seed, F.col(id_col), F.col(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    source = docs.select(row_key(seed, F.col(id_col), F.col(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -330,14 +330,9 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.divide(common, every, out=np.zeros(n), where=every > 0)
 
 
-#: Keys that are sent to all tasks, rather than shuffling the texts, when only those rows' texts are needed (8 bytes each).
-FEW = 400_000
-
-
 def _texts(text: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of text (_k, _t) whose key is among the distinct keys (k)."""
-    few = keys.limit(FEW + 1).count() <= FEW
-    return text.join(F.broadcast(keys) if few else keys, F.col("_k") == F.col("k"), "left_semi")
+    """The rows of text (_k, _t) whose key is among the distinct keys (k), staged: each text is looked up once."""
+    return staged(text.join(keys, F.col("_k") == F.col("k"), "left_semi"), "needed-texts")
 
 
 def _verified(pairs: DataFrame, text: DataFrame, shared, threshold: float) -> DataFrame:

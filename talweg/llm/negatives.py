@@ -291,8 +291,9 @@ def joined(vectors: DataFrame, is_anchor: Column, k: int, m: int, least: int, mo
 
     anchors = own_rows.select("id", "label", "v", "home", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.array().cast("array<long>").alias("floors"), F.array().cast("array<long>").alias("caps"))
     positives = staged(twice(anchors, True, k), "positives").select("id", F.col("rank").alias("r"), F.col("row").alias("positive_id"), F.col("score").alias("positive_score"))
-    # The integers s with least * p <= 100 s <= most * p.
-    floor, cap = F.expr(f"-((-{least} * positive_score - pmod(-{least} * positive_score, 100)) div 100)"), F.expr(f"({most} * positive_score - pmod({most} * positive_score, 100)) div 100")
+    # The integers s with least * p <= 100 s <= most * p, in decimals, as the products may not fit a long.
+    share = lambda x, name: F.expr(f"cast({name}(cast(positive_score as decimal(20, 0)) * {x} / 100) as bigint)")
+    floor, cap = share(least, "ceil"), share(most, "floor")
     bands = positives.where(floor <= cap).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", floor.alias("floor"), cap.alias("cap"), "positive_id", "positive_score"))).alias("bands"))  # k at most
     asking = staged(own_rows.join(bands, "id").select("id", "label", "v", "home", F.array_min(F.transform("bands", lambda x: x["floor"])).cast("double").alias("low"), F.array_max(F.transform("bands", lambda x: x["cap"])).cast("double").alias("high"), F.transform("bands", lambda x: x["floor"]).alias("floors"), F.transform("bands", lambda x: x["cap"]).alias("caps"), "bands"), "bands")
     found = twice(asking.drop("bands"), False, m)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.llm import chat, importance, negatives
+from talweg.llm import ann, chat, importance, negatives
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, n_features string, weight string, score string, rank string, key string, b string"
@@ -166,5 +166,58 @@ def test_hard_negatives_of_odd_tables(spark):
     assert _mined(spark, [(5, [1.0], 2), (5, [2.0], 1), (6, [1.5], 2), (7, [2.0], 1)], 20)[0].count() == 1
     with pytest.raises(ValueError, match="long"):
         _mined(spark, [(5, [1e30], 2)], 20)
-    big = [(i, [2.0**20 * (i + 1), -1.0], i % 2) for i in range(12)]
+    big = [(i, [2.0**18 * (i + 1), -1.0], i % 2) for i in range(12)]
     assert sorted(map(tuple, _mined(spark, big, 20)[0].collect())) == _pairs([(i, label, [math.floor(256 * c) for c in v]) for i, v, label in big], 5)
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.3, 0.1), (1.0, 0.5)])
+def test_the_search_stops_before_it_has_seen_everything(spread, most):
+    """Rows verified on clustered vectors, and recall against all pairs."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(100, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = centres[rng.integers(0, 100, 8000)] + rng.normal(size=(8000, 64)) * spread / 8
+    ids, top = np.arange(8000), float(np.sqrt((v * v).sum(1).max()))
+    project = rng.standard_normal((65, ann.DIMENSIONS))
+    points = v @ project[:-1] + np.sqrt(np.maximum(top * top - (v * v).sum(1), 0))[:, None] * project[-1]
+    at = np.arange(0, 8000, 100)
+    q = v[at]
+    qp = (q * (top / np.sqrt((q * q).sum(1)))[:, None]) @ project[:-1]
+    tally = [0]
+    found = ann.search_chunk(ids, v, points, ids[at], q, qp, np.full(len(at), -np.inf), 20, top, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMENSIONS), tally)
+    s = q @ v.T
+    s[np.arange(len(at)), at] = -np.inf
+    true = {(int(i), int(j)) for i, near in zip(ids[at], np.argsort(-s, 1)[:, :20]) for j in near}
+    assert len(true & set(zip(found[0].tolist(), found[1].tolist()))) >= 0.9 * len(true)
+    assert tally[0] < most * len(at) * 8000
+
+
+def test_rows_are_sliced_before_their_numbers_leave_16_bits():
+    import pyarrow as pa
+
+    from talweg.llm import common
+
+    whole = pa.RecordBatch.from_arrays([pa.array(["a b"] * 70_000)], names=["text"])
+    assert [b.num_rows for b in common.slices(iter([whole]))] == [1 << 15, 1 << 15, 70_000 - (1 << 16)]
+
+
+def test_a_long_text_among_short_ones_and_clashing_columns(spark):
+    """Operators on pairs, spans and ids with a text of three million characters, and columns named like their own."""
+    from talweg.llm import bpe, exactdedup, langid, licenses, mixing, neardup, suffixdedup, tokenfile
+
+    long = "Licensed under the Apache License, they said again. " * 60_000
+    rows = [(1, long, "en", "a", 1, "x", "x", "x"), (2, long + " end", "en", "b", 1, "x", "x", "x"), (3, "short text", None, None, None, "x", "x", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_bytes string, labels string, kept string")
+    kept = {r["doc_id"]: r for r in suffixdedup.digest(d).collect()}
+    assert kept[1]["n_removed"] == 0 and kept[2]["n_bytes"] == len(long) + 4 and kept[2]["n_removed"] >= len(long)
+    assert {r["doc_id"]: r["n_base"] for r in licenses.scan(d).collect()} == {1: 60_000, 2: 60_000, 3: 0}
+    assert {r["doc_id"]: r["kept"] for r in exactdedup.dedup(d).collect()} == {1: True, 2: True, 3: True}
+    assert {r["doc_id"]: r["class_size"] for r in neardup.dedup(d).collect()} == {1: 2, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mix(d).collect()} == {1: 480_000, 2: 480_001, 3: 2}
+    assert langid.identify(d).count() == 3
+    import public_tokenizers
+
+    got = {r["doc_id"]: r for r in bpe.round_trip(d, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    files = {r["doc_id"]: r["n_tokens"] for r in tokenfile.round_trip(d, public_tokenizers.path("word_bpe_49k.json"), 2).collect()}
+    assert files[3] == 3 and files[2] > files[1] > 60_000
