@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import spread, staged
+from ..storage import staged
 
 # Words left out of queries, folded, in Portuguese and in English.
 PORTUGUESE = """
@@ -80,7 +80,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, t
     wanted = sorted(r[0] for r in asked.distinct().select("term").distinct().collect())  # a workload's distinct words
     # The words are letters and digits, so they stand in the expression as they are; it becomes a look-up in one hash set.
     some = "filter(_w, x -> x IN (" + ", ".join(f"'{x}'" for x in wanted or [""]) + "))"
-    counted = staged(spread(docs.select(doc, text)).select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.expr(some).alias("_hit")), "postings")
+    counted = staged(docs.select(doc, text).select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.expr(some).alias("_hit")), "postings")
     total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg")).first()
     df = {r[0]: r[1] for r in counted.select(F.explode(F.array_distinct("_hit")).alias("t")).groupBy("t").count().collect()}  # a workload's words
     terms = sorted(df)
@@ -234,7 +234,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
                 x, y = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(x)), own.take(pa.array(y)), pa.array(s[x, y])], names=[query, key, "similarity"])
 
-        return spread(vectors.select(key, vector)).mapInArrow(run, schema)
+        return vectors.select(key, vector).mapInArrow(run, schema)
 
     whole = None
     for n in range(blocks):

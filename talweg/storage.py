@@ -58,8 +58,3 @@ def release(spark: SparkSession, since: int = 0) -> None:
 def staged_so_far() -> int:
     return len(_STAGED)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """`df`, its rows dealt out to all cores if it is read in no more splits than there are cores (a small table may be one row group). Larger ones are left as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() <= n else df
