@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, catalog, detection, evaluation, library, planning, reliability, retrieval, textual, timeseries
+from . import answers, catalog, detection, evaluation, indexing, library, planning, reliability, retrieval, textual, timeseries
 
-_FAMILIES = (catalog, retrieval, answers, timeseries, reliability, textual, detection, evaluation, library, planning)
+_FAMILIES = (catalog, retrieval, answers, timeseries, reliability, textual, detection, evaluation, indexing, library, planning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,6 +59,9 @@ INVARIANT = {
     "poisson_upper": lambda r: abs(sum(math.exp(-r["upper"]) * r["upper"] ** k / math.factorial(k) for k in range(r["n_alarms"] + 1)) - 0.05) < 1e-4,
     "stored_scores": lambda r: r["windows"] > 0 and r["unlike"] == 0,
     "onset_estimates": lambda r: (r["observed"] is None) == (r["stability"] == "none") and r["chosen"] > 0,
+    "index_cost": lambda r: 0 < r["slabs_read"] <= r["slabs"] and 0 < r["blocks_read"] <= r["blocks"],
+    "training_runs": lambda r: r["reason"] in ("patience", "limit") and 0 < r["best"] <= r["epochs"] and r["parameters"] in (1088, 17216),
+    "detector_thresholds": lambda r: r["n"] > 0 and r["threshold"] > 0,
     "ae_errors": lambda r: r["score"] >= 0,
 }
 
