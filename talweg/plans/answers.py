@@ -81,11 +81,25 @@ def coverage_check(spark, d):
     return out.select("n_nationkey", "unit", "n_sent", F.array_join("cited", ",").alias("cited"), "status")
 
 
+#: Messages with their intent alone, after an answer from the library, and after one from the results. "+" marks a subject near the library's.
+MESSAGES = [
+    ("você não respondeu", "conversation", "complaint", "results"), ("a resposta ficou incompleta", "conversation", "complaint", "results"), ("Aprofunde um pouco mais", "deeper", "deeper", "deeper"),
+    ("quero mais detalhes sobre a calibração", "deeper", "deeper", "deeper"), ("Olá, bom dia!", "conversation", "conversation", "conversation"), ("Valeu! E a segunda fonte?", "conversation", "follow_up", "conversation"),
+    ("anote que prefiro gráficos", "conversation", "conversation", "conversation"), ("Quais artigos há sobre inversores?", "collection", "collection", "collection"), ("Mostre a FIGURA 3 do artigo", "visual", "visual", "visual"),
+    ("nossos resultados mostram o quê?", "results", "results", "results"), ("quantos alarmes falsos teve o modelo denso?", "results", "results", "results"), ("o capítulo é denso", "conversation", "follow_up", "results"),
+    ("corrija este script em Python", "task", "task", "task"), ("traduza este parágrafo para um leigo", "task", "follow_up", "results"), ("qual critério define a calibração do limiar e a separação dos blocos de teste", "method", "method", "method"),
+    ("o que a literatura diz sobre o envelhecimento de capacitores em inversores solares", "synthesis", "synthesis", "synthesis"), ("+capacitores eletrolíticos em inversores fotovoltaicos ligados à rede de baixa tensão", "query", "query", "query"),
+    ("+explique por que os capacitores eletrolíticos envelhecem depressa em inversores ligados à rede", "synthesis", "synthesis", "synthesis"), ("ok, entendi", "conversation", "conversation", "results"), ("e na primavera?", "conversation", "follow_up", "results"),
+]
+
+
 def intent_routing(spark, d):
-    """Rules over every message, then an example's kind, then its words."""
-    c, n = T(spark, d, "conversations"), F.length("text")
-    label = F.when(n % 2 == 0, "conversation").otherwise("synthesis")
-    return c.select("conv_id", "turn", R.route(F.col("text"), n % 11 == 0, label, n % 10 / 10.0, n % 3 / 100.0, n % 7 / 10.0).alias("intent"))
+    """A message for every turn, in one of three contexts; every eleventh names a document, every thirteenth is like an example of a task."""
+    k, said = F.col("turn") * 7 + F.col("conv_id"), F.array(*[F.lit(m[0]) for m in MESSAGES])
+    c = T(spark, d, "conversations").select("conv_id", "turn", k.alias("k"), F.element_at(said, (k % len(MESSAGES) + 1).cast("int")).alias("q")).withColumn("near", F.when(F.col("q").startswith("+"), 0.5).otherwise(0.1))
+    c = c.withColumn("q", F.regexp_replace("q", r"^\+", ""))
+    k = F.col("k")
+    return R.route(c, "q", k % 11 == 0, F.lit("task"), F.when(k % 13 == 0, 0.9).otherwise(0.1), F.lit(0.1), F.col("near"), k % 3 == 1, k % 3 == 2).select("conv_id", "turn", "intent")
 
 
 def rewrite_kinds(spark, d):
@@ -164,8 +178,8 @@ def open_issues(spark, d):
     return G.open_issues(issues, described, blank, "doc", "issue")
 
 
-_SRC = r"\b(literatura|fontes?|definic\w+|conceitos?|referencias?|artigos?|documentos?|autor(es)?|normas?|livros?|sources?|papers?|books?)\b"
-_CASCADE = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in R.RULES)
+#: What goes before a named document, and before an example: rules that come earlier in T17's order.
+_INTENTS = "[" + ", ".join(f"['{a}', '{b}', '{c}']" for _, a, b, c in MESSAGES) + "]"
 QUERIES = {
     "number_extract": (number_extract, None),
     "number_readings": (number_readings, "WITH o AS (SELECT o_orderkey, round(o_totalprice::DOUBLE, 2) AS p, (o_custkey % 9 + 1) AS a, o_orderkey % 1000 AS b FROM orders) SELECT o_orderkey, 0 AS k, 0 AS j, p AS value FROM o UNION ALL SELECT o_orderkey, 1, 0, round(a + b / 1000.0::DOUBLE, 3) FROM o UNION ALL SELECT o_orderkey, 1, 1, (a * 1000 + b)::DOUBLE FROM o"),
@@ -175,7 +189,8 @@ QUERIES = {
     "question_units": (question_units, "WITH u AS (SELECT n_nationkey, unnest([lower(n_name), 'item 0' || (n_nationkey % 3), lower(n_name) || ' usando duas fontes']) AS name, unnest([1, 2, 3]) AS unit FROM nation) SELECT n_nationkey, 2 AS sources, unit, name FROM u"),
     "recalled_units": (recalled_units, "WITH q AS (SELECT n_nationkey k, CASE WHEN n_nationkey % 3 = 0 THEN [('Manutenção Centrada na Confiabilidade', 'RCM')] ELSE [] END || [('alpha', 'alpha')] || CASE WHEN n_nationkey % 2 = 0 THEN [('gamma', 'gamma')] ELSE [] END || CASE WHEN n_nationkey % 3 <> 0 THEN [('MCC', 'MCC')] ELSE [] END AS u FROM nation) SELECT k AS n_nationkey, CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END AS sources, i::INT AS unit, u[i][1] AS name, u[i][2] AS query FROM (SELECT k, u, unnest(range(1, len(u) + 1)) i FROM q)"),
     "coverage_check": (coverage_check, "WITH u AS (SELECT n_nationkey k, 1 AS unit, 1 AS n_sent, n_nationkey % 3 = 1 AS c, 'K1' AS m FROM nation UNION ALL SELECT n_nationkey, 2, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END, n_nationkey % 2 = 0 AND n_nationkey % 4 = 2, 'K2' FROM nation) SELECT k AS n_nationkey, unit, n_sent, CASE WHEN c THEN m ELSE '' END AS cited, CASE WHEN c THEN 'cited' WHEN n_sent > 0 THEN 'uncited' WHEN k % 5 > 0 THEN 'not sent' ELSE 'no candidate' END AS status FROM u"),
-    "intent_routing": (intent_routing, f"WITH c AS (SELECT conv_id, turn, length(text) n, strip_accents(lower(text)) t FROM conversations) SELECT conv_id, turn, CASE WHEN n % 11 = 0 THEN 'document' {_CASCADE} WHEN n % 10 >= 5 AND n % 3 = 2 AND NOT (n % 2 = 0 AND regexp_matches(t, '{_SRC}')) THEN CASE WHEN n % 2 = 0 THEN 'conversation' ELSE 'synthesis' END WHEN regexp_matches(t, '{R.METHOD}') THEN 'method' WHEN regexp_matches(t, '{_SRC}') THEN 'synthesis' WHEN n % 7 >= 4 THEN 'query' ELSE 'conversation' END AS intent FROM conversations JOIN c USING (conv_id, turn)"),
+    "intent_routing": (intent_routing, f"""WITH c AS (SELECT conv_id, turn, turn * 7 + conv_id AS k, {_INTENTS}[(turn * 7 + conv_id) % {len(MESSAGES)} + 1][(turn * 7 + conv_id) % 3 + 1] AS said, (turn * 7 + conv_id) % {len(MESSAGES)} AS i FROM conversations)
+SELECT conv_id, turn, CASE WHEN said IN ('complaint', 'deeper') THEN said WHEN k % 11 = 0 THEN 'document' WHEN k % 13 = 0 AND (said IN ('method', 'query') OR (i = 17) OR (said = 'conversation' AND k % 3 = 0 AND i IN (0, 1, 11, 18, 19))) THEN 'task' ELSE said END AS intent FROM c"""),
     "rewrite_kinds": (rewrite_kinds, "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'plan' WHEN c_custkey % 5 IN (1, 2, 4) OR c_custkey % 15 = 3 THEN 'simple' ELSE 'none' END AS kind FROM customer"),
     "review_gate": (review_gate, "SELECT c_custkey, CASE WHEN c_custkey % 35 = 1 THEN true WHEN c_custkey % 5 IN (0, 1) THEN false WHEN c_custkey % 5 IN (2, 3) THEN true ELSE c_custkey % 2 = 0 END AS review FROM customer"),
     "written_requests": (written_requests, "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'O que é MCC?' WHEN 1 THEN 'Explique MCC?' WHEN 2 THEN 'Sem a biblioteca de componentes, o que é MCC?' WHEN 3 THEN 'Explique MCC' ELSE 'Leia o artigo inteiro do Silva' END AS text, CASE c_custkey % 5 WHEN 0 THEN 'model=strong' WHEN 1 THEN 'reading=passages' WHEN 2 THEN '' WHEN 3 THEN 'web=yes' ELSE 'reading=document,skill=alfa' END AS choices FROM customer"),

@@ -12,7 +12,7 @@ from talweg.functions import metrics as M
 from talweg.functions import numbers as W
 from talweg.functions import planning as P2
 from talweg.functions import reliability as R
-from talweg.functions import routing as R2
+from talweg.functions import phrasing
 from talweg.functions import signal as S
 from talweg.functions import text as X
 from talweg.operators import catalog as C
@@ -261,7 +261,7 @@ def test_written_requests():
         "Use a skill outra. Alfa?": ("Use a skill outra. Alfa?", {}),
     }
     for text, want in cases.items():
-        assert R2.written_requests(text, frozenset({"alfa"})) == want, text
+        assert phrasing.requests(text, frozenset({"alfa"})) == want, text
 
 
 def test_small_text_functions(spark):
