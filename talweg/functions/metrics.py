@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import global_rank
+from ..storage import staged
+
 
 def confusion(rows: DataFrame, per: list[str], positive: Column, flagged: Column) -> DataFrame:
     """True and false positives and negatives."""
@@ -130,39 +134,83 @@ def beta_interval(place: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(int(r), int(s)) for r, s in zip(place, n)], columns=["low", "high"])
 
 
-def block_bootstrap(rows: DataFrame, per: str, order: str, flag: str, block: int, resamples: int, seed: int) -> DataFrame:
-    """95 % interval of a proportion by moving blocks, one group a trial, drawn with a seed derived from the trial's name."""
+def named_seed(seed: int, name: object) -> list[int]:
+    """A seed from the whole name of a trial, so trials whose names begin alike draw apart."""
+    return [seed, int.from_bytes(hashlib.sha256(str(name).encode()).digest()[:16], "big")]
+
+
+def block_sums(x: np.ndarray, block: int, resamples: int, seed: list[int]) -> np.ndarray:
+    """Sums (resamples, columns) over moving blocks of consecutive rows, drawn with replacement until as many rows as there are; the last block is cut. All columns share the draws."""
+    n, size = len(x), min(block, len(x))
+    count, rng = math.ceil(n / size), np.random.default_rng(seed)
+    upto = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, 0)])
+    last = n - (count - 1) * size
+    out = np.empty((resamples, x.shape[1]))
+    step = max(1, (1 << 20) // count)  # resamples at a time, so a long trial's draws don't fill the memory
+    for at in range(0, resamples, step):
+        start = rng.integers(0, n - size + 1, (min(step, resamples - at), count))
+        out[at : at + step] = (upto[start[:, :-1] + size] - upto[start[:, :-1]]).sum(1) + upto[start[:, -1] + last] - upto[start[:, -1]]
+    return out
+
+
+def resampled(rows: DataFrame, group: list[str], trial: str, order: str, values: list[str], block: int, resamples: int, seed: int) -> DataFrame:
+    """(group, k, n, values): in each resample k the sums of the values over moving blocks of every trial, and the number of rows. Trials are drawn apart, each by its name, and their sums combine before the shuffle."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[flag].to_numpy(float)
-        size = min(block, len(x))
-        rng = np.random.default_rng([seed, int.from_bytes(str(pdf[per].iloc[0]).encode()[:8], "big")])
-        starts = rng.integers(0, len(x) - size + 1, (resamples, math.ceil(len(x) / size)))
-        means = x[(starts[:, :, None] + np.arange(size)).reshape(resamples, -1)[:, : len(x)]].mean(1)
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({per: pdf[per].iloc[:1].to_numpy(), "mean": [x.mean()], "low": [low], "high": [high]})
+        x = pdf.sort_values(order)[values].to_numpy(float)
+        sums = block_sums(x, block, resamples, named_seed(seed, pdf[trial].iloc[0]))
+        out = pd.DataFrame(sums, columns=values).assign(k=np.arange(resamples), n=len(x))
+        for g in group:
+            out[g] = [pdf[g].iloc[0]] * resamples
+        return out
+
+    kinds = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in group)
+    schema = kinds + "k long, n long, " + ", ".join(f"`{v}` double" for v in values)
+    keys = list(dict.fromkeys([*group, trial]))
+    drawn = rows.select(*keys, order, *values).groupBy(*keys).applyInPandas(run, schema)
+    return drawn.groupBy(*group, "k").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values])
+
+
+def _interval(drawn: DataFrame, group: list[str], value: Column) -> DataFrame:
+    """2.5 and 97.5 % of the resamples' values (as many as there are resamples)."""
+    return drawn.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(*group, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
+def block_bootstrap(rows: DataFrame, group: list[str], trial: str, order: str, flag: str, block: int, resamples: int, seed: int) -> DataFrame:
+    """Mean and 95 % interval of a proportion over the trials of each group, by moving blocks."""
+    known = rows.groupBy(*group).agg(F.avg(flag).alias("mean"))
+    return known.join(_interval(resampled(rows, group, trial, order, [flag], block, resamples, seed), group, F.col(flag) / F.col("n")), group)
+
 
-    kind = rows.schema[per].dataType.simpleString()
-    return rows.select(per, order, flag).groupBy(per).applyInPandas(run, f"{per} {kind}, mean double, low double, high double")
+def paired_blocks(rows: DataFrame, group: list[str], trial: str, order: str, a: str, b: str, block: int, resamples: int, seed: int) -> DataFrame:
+    """Mean and 95 % interval of the difference of two models' proportions. Both see the same blocks in every resample, so what they share cancels."""
+    known = rows.groupBy(*group).agg((F.avg(a) - F.avg(b)).alias("mean"))
+    return known.join(_interval(resampled(rows, group, trial, order, [a, b], block, resamples, seed), group, (F.col(a) - F.col(b)) / F.col("n")), group)
 
 
 def paired_bootstrap(rows: DataFrame, pair: str, a: str, b: str, resamples: int, seed: int) -> DataFrame:
-    """95 % interval of the mean difference a - b over pairs (few: one a trial), in one row, drawn with replacement.
+    """95 % interval of the mean difference a - b over pairs (one a trial), in one row, drawn with replacement.
 
-    Each pair draws how often it is taken in every resample (a Poisson number, by a seed from its name), so the sums combine
-    across tasks and no task holds all pairs.
+    The pairs are numbered by name; every task makes the same draws in turn and counts those of its own pairs, so sums
+    combine across tasks and no task holds all pairs.
     """
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(pair).alias("_p"), (F.col(a) - F.col(b)).cast("double").alias("_d"))
+    numbered = staged(global_rank(known, [], [F.col("_p")], "_i"), "pairs")
+    n = numbered.count()
 
     def run(batches):
+        own, diff = [], []
         for pdf in batches:
-            for name, d in zip(pdf[pair], pdf[a] - pdf[b]):
-                rng = np.random.default_rng([seed, int.from_bytes(str(name).encode()[:8], "big")])
-                n = rng.poisson(1.0, resamples)
-                yield pd.DataFrame({"k": np.arange(resamples), "n": n, "x": n * d})
-
-    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(pair, a, b)
-    drawn = known.mapInPandas(run, "k long, n long, x double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("mean"))
-    return drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).crossJoin(known.agg(F.avg(F.col(a) - F.col(b)).alias("mean")))
+            own.append(pdf["_i"].to_numpy() - 1)
+            diff.append(pdf["_d"].to_numpy())
+        if own:
+            at, d, rng = np.concatenate(own), np.concatenate(diff), np.random.default_rng(seed)
+            for k in range(resamples):
+                taken = np.bincount(rng.integers(0, n, n), minlength=n)[at]
+                yield pd.DataFrame({"k": [k], "x": [float((taken * d).sum())]})
+
+    drawn = numbered.select("_i", "_d").mapInPandas(run, "k long, x double").groupBy("k").agg((F.sum("x") / n).alias("mean"))
+    return drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).crossJoin(known.agg(F.avg("_d").alias("mean")))
 
 
 def verdict(low: Column, high: Column, first: str, second: str) -> Column:

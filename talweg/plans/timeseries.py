@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import signal as S
+from ..operators import selection as L
 from ..operators import sequences as Q
 from ..storage import staged
 from ..storage import table as T
@@ -181,21 +182,35 @@ def paired_diff(spark, d):
     return _rounded(M.paired(e, "user_id", "event_type", "v", "click", "view"), "a", "b", "diff")
 
 
+PERCENTILES, CONFIRMATIONS, CANONICAL = (80, 90, 95), (1, 2, 3, 5), {"k": 2, "p": 90, "m": 2}
+
+
 def alarm_grid(spark, d):
-    """Alarms for each number of confirmations and percentile. Thresholds are few rows; the scores are read once for all of them."""
-    e = staged(_scores(spark, d), "scores")
+    """Alarms for each number of largest errors, confirmations and percentile, against the canonical setting. One row a k has its thresholds; the scores are sorted once."""
+    z = _scaled(spark, d).groupBy("user_id", "win", "phase", "role").agg(F.collect_list(F.col("z") * F.col("z")).alias("e"))  # four features
+    scores = z.select("user_id", "win", "phase", "role", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(S.top_mean(F.col("e"), k), 9).alias("score")) for k in (1, 2, 4)])).alias("s")).select("user_id", "win", "phase", "role", "s.*")
+    e = staged(scores, "scores")
     cal = e.where("role = 'calibration' and user_id % 2 = 0")
-    grid = S.order_statistic(cal, "score", 80).withColumn("p", F.lit(80)).unionByName(S.order_statistic(cal, "score", 95).withColumn("p", F.lit(95))).select("p", "threshold")
-    flags = e.crossJoin(F.broadcast(grid)).withColumn("flag", F.col("score") > F.col("threshold"))
-    out = None
-    for m in (1, 2, 3):
-        one = Q.alarm_starts(flags, ["p", "user_id", "phase"], "win", "flag", m).groupBy("p").agg(F.count(F.lit(1)).alias("n_alarms"), F.countDistinct("user_id").alias("n_trials")).withColumn("m", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    return out
+    limits = None
+    for p in PERCENTILES:
+        one = L.order_statistic(cal, ["k"], "score", p).select("k", F.lit(p).alias("p"), "threshold")
+        limits = one if limits is None else limits.unionByName(one)
+    rows = e.join(F.broadcast(limits.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "threshold"))), lambda x: x["threshold"]).alias("limits"))), "k")  # one row a k
+    grid = S.alarm_grid(rows, ["k"], "user_id", "phase", "win", "score", F.col("limits"), CONFIRMATIONS)
+    grid = grid.withColumn("p", F.element_at(F.array(*map(F.lit, PERCENTILES)), F.col("place") + 1)).drop("place")
+    return S.against(grid, (F.col("k") == CANONICAL["k"]) & (F.col("p") == CANONICAL["p"]) & (F.col("m") == CANONICAL["m"]))
 
 
 def bootstrap_ci(spark, d):
-    return _rounded(M.block_bootstrap(_flags(spark, d).withColumn("flag", F.col("flag").cast("int")), "user_id", "win", "flag", 5, 500, 20), "mean", "low", "high")
+    f = _flags(spark, d).withColumn("flag", F.col("flag").cast("int"))
+    return _rounded(M.block_bootstrap(f, ["user_id"], "user_id", "win", "flag", 5, 500, 20), "mean", "low", "high")
+
+
+def paired_blocks(spark, d):
+    """Two detectors (one with a lower threshold) on the same windows, by phase: the difference's interval and its verdict."""
+    f = _flags(spark, d).select("user_id", "phase", "win", F.col("flag").cast("int").alias("a"), (F.col("score") > 2.0).cast("int").alias("b"))
+    out = M.paired_blocks(f, ["phase"], "user_id", "win", "a", "b", 5, 500, 20)
+    return _rounded(out, "mean", "low", "high").withColumn("verdict", M.verdict(F.col("low"), F.col("high"), "a", "b"))
 
 
 def poisson_upper(spark, d):
@@ -264,8 +279,17 @@ QUERIES = {
     "auc_pr": (auc_pr, f"WITH {_SC}, k AS (SELECT lang, score, count(*) FILTER (pos) p, count(*) n FROM x GROUP BY 1, 2), c AS (SELECT lang, score, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER (PARTITION BY lang) AS np FROM k WINDOW w AS (PARTITION BY lang ORDER BY score DESC)), r AS (SELECT lang, score, tp / np AS rc, tp / al AS pr FROM c), t AS (SELECT lang, (rc - coalesce(lag(rc) OVER v, 0)) * (pr + coalesce(lag(pr) OVER v, 1)) / 2 AS area FROM r WINDOW v AS (PARTITION BY lang ORDER BY score DESC)) SELECT lang, round(sum(area), 6) AS auc_pr FROM t GROUP BY 1"),
     "seed_spread": (seed_spread, "WITH e AS (SELECT user_id, event_id % 5 AS seed, round(max(value), 6) AS v FROM events GROUP BY 1, 2), f AS (SELECT user_id, CASE WHEN v > 20 THEN v END AS v FROM e) SELECT user_id, min(v) AS least, max(v) AS most, count(v) AS n_detected, count(*) AS n_seeds FROM f GROUP BY 1"),
     "paired_diff": (paired_diff, "WITH e AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1) SELECT user_id, round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS diff FROM e"),
-    "alarm_grid": (alarm_grid, f"{_ALL}, gr AS (SELECT 80 AS p, * FROM ({_ORD.format(p=0.8)}) UNION ALL SELECT 95, * FROM ({_ORD.format(p=0.95)})), fl AS (SELECT p, user_id, phase, win, score > gr.threshold AS flag FROM e, gr), i1 AS (SELECT *, row_number() OVER (PARTITION BY p, user_id, phase ORDER BY win) - row_number() OVER (PARTITION BY p, user_id, phase, flag ORDER BY win) AS isl FROM fl), i2 AS (SELECT *, row_number() OVER (PARTITION BY p, user_id, phase, isl ORDER BY win) AS run FROM i1 WHERE flag) SELECT p, run::INT AS m, count(*) AS n_alarms, count(DISTINCT user_id) AS n_trials FROM i2 WHERE run IN (1, 2, 3) GROUP BY 1, 2"),
+    "alarm_grid": (alarm_grid, f"""WITH {_S}, {_F}, {_P}, {_R}, {_Z}, ks AS (SELECT unnest([1, 2, 4]) AS k), ps AS (SELECT unnest([80, 90, 95]) AS p), ms AS (SELECT unnest([1, 2, 3, 5]) AS m),
+v AS (SELECT user_id, win, phase, role, k, round(list_sum(list_sort(list(z * z), 'DESC')[1:k]) / k, 9) AS score FROM z, ks GROUP BY user_id, win, phase, role, k),
+q AS (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) - 1 AS place, count(*) OVER (PARTITION BY k) AS n FROM v WHERE role = 'calibration' AND user_id % 2 = 0),
+th AS (SELECT k, p, max(score) FILTER (place = ceil((n - 1) * (p / 100))) AS threshold FROM q, ps GROUP BY k, p),
+fl AS (SELECT v.*, p, score > threshold AS flag FROM v JOIN th USING (k)),
+i1 AS (SELECT *, row_number() OVER (PARTITION BY k, p, user_id, phase ORDER BY win) - row_number() OVER (PARTITION BY k, p, user_id, phase, flag ORDER BY win) AS isl FROM fl),
+i2 AS (SELECT *, row_number() OVER (PARTITION BY k, p, user_id, phase, isl ORDER BY win) AS run FROM i1 WHERE flag),
+g AS (SELECT ks.k, ps.p, ms.m, count(user_id) AS n_alarms, count(DISTINCT user_id) AS n_trials FROM ks CROSS JOIN ps CROSS JOIN ms LEFT JOIN i2 ON i2.k = ks.k AND i2.p = ps.p AND i2.run = ms.m GROUP BY 1, 2, 3)
+SELECT g.*, g.n_alarms - c.n_alarms AS more_alarms, g.n_trials - c.n_trials AS more_trials FROM g, (SELECT * FROM g WHERE k = 2 AND p = 90 AND m = 2) c"""),
     "bootstrap_ci": (bootstrap_ci, None),
+    "paired_blocks": (paired_blocks, None),
     "poisson_upper": (poisson_upper, None),
     "beta_interval": (beta_interval, None),
     "pelt_changes": (pelt_changes, None),
