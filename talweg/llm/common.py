@@ -16,6 +16,8 @@ from talweg.storage import shared_dir, staged, table  # noqa: F401  (for the ope
 SLICE_BYTES = 1 << 20
 #: Rows handled at once: operators pack a row's number into 16 bits beside a hash.
 SLICE_ROWS = 1 << 15
+#: Ids or keys that are sent to all tasks at most (some 40 bytes each), after they were counted.
+FEW_IDS = 400_000
 _U = np.uint64
 
 
@@ -43,8 +45,13 @@ def one_each(docs: DataFrame, stay: DataFrame, id_col: str, key: Column, text_co
     once = stay.where("n = 1").select(F.col("id").alias("own"))
     alone = rows.join(once, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("doc")
     several = stay.where("n > 1").select(F.col("id").alias("own"), F.col("key").alias("own_key"))
+    ids = staged(several.select("own").distinct(), "repeated-ids")
+    found = ids.count()
+    if not found:
+        return alone.select("doc.*")
     text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
-    some = rows.join(several.select("own").distinct(), F.col("id").eqNullSafe(F.col("own")), "left_semi").withColumn("key", key)
+    # Few ids are sent to the texts (16 MB at most); more of them are met in a shuffle of their own.
+    some = rows.join(F.broadcast(ids) if found <= FEW_IDS else ids, F.col("id").eqNullSafe(F.col("own")), "left_semi").withColumn("key", key)
     kept = some.join(several, F.col("id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")), "left_semi")
     each = kept.groupBy("id", "key").agg(F.max_by("doc", F.struct(F.length(text), text)).alias("doc")).select("doc")
     return alone.unionByName(each).select("doc.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, input_partitions, mix, one_each, slices, span_hash, staged, text_buffer, with_rows, word_spans
+from .common import BYTE_VALUE, FEW_IDS, input_partitions, mix, one_each, slices, span_hash, staged, text_buffer, with_rows, word_spans
 from .graph import components, merged
 
 WORDS = 5
@@ -331,7 +331,14 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 
 def _texts(text: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of text (_k, _t) whose key is among the distinct keys (k), staged: each text is looked up once."""
+    """The rows of text (_k, _t) whose key is among the distinct keys (k).
+
+    Few keys are sent to the texts, which stay where they are; more of them meet the texts in a shuffle, and what is needed
+    is staged, so each text is moved once. The README has figures of both ways.
+    """
+    keys = staged(keys, "needed-keys")
+    if keys.count() <= FEW_IDS:
+        return text.join(F.broadcast(keys), F.col("_k") == F.col("k"), "left_semi")
     return staged(text.join(keys, F.col("_k") == F.col("k"), "left_semi"), "needed-texts")
 
 
