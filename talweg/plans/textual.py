@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import retrieval as R
 from ..functions import text as X
+from ..operators import reading as G
+from ..storage import staged
 from ..storage import table as T
 
 HEADING = r"^[A-Z][a-z]+ [a-z]+\.$"
@@ -20,8 +23,9 @@ def markdown_sections(spark, d):
 
 
 def json_leaves(spark, d):
-    e = T(spark, d, "events").select("event_id", F.explode(X.json_leaves("props")).alias("x"))
-    return e.select("event_id", "x.pointer", "x.value")
+    """The events' properties within an object, an array and names that pointers escape."""
+    whole = F.concat(F.lit('{"a/b": ['), "props", F.lit(', {"x~y": ['), F.col("event_id").cast("string"), F.lit(", null, {}]}], \"t\": "), F.when(F.col("event_id") % 2 == 0, F.lit('"é \\" x"')).otherwise("true"), F.lit("}"))
+    return X.json_leaves(T(spark, d, "events").select("event_id", whole.alias("j")), "event_id", "j")
 
 
 def running_headers(spark, d):
@@ -128,6 +132,32 @@ def _by_length():
     return Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "line_no")
 
 
+def _reading(spark, d):
+    """Documents of a source as one plan, by number, with blocks of two lines and what a word finds in them."""
+    from ..operators import ranking as K
+
+    pages = X.lines_of(_docs(spark, d), "doc_id", "text").withColumn("block", F.floor((F.col("line_no") - 1) / 2))
+    blocks = pages.groupBy("doc_id", "block").agg(F.sum(K.page_cost(F.col("line"))).cast("long").alias("cost"), F.min(F.when(F.col("line").contains("the"), F.col("line_no"))).alias("found_rank"))
+    documents = T(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("position"), (F.col("doc_id") % 97 == 0).alias("pinned"))
+    return documents, blocks.join(documents.select("doc_id", "source"), "doc_id")
+
+
+def reading_selection(spark, d):
+    """The blocks of pinned and found documents of each source within one budget."""
+    documents, blocks = _reading(spark, d)
+    return G.selected_blocks(documents, staged(blocks, "blocks"), "source", "doc_id", "position", 2500)
+
+
+def page_picks(spark, d):
+    """Of each source the first blocks by rank that still fit behind the documents pinned, twelve at most."""
+    documents, blocks = _reading(spark, d)
+    blocks = staged(blocks.withColumnRenamed("block", "page"), "blocks")
+    pinned = blocks.join(documents.where("pinned").select("doc_id"), "doc_id").groupBy("source", "doc_id").agg(F.sum("cost").alias("tokens"))
+    wanted = blocks.where("found_rank is not null").withColumn("priority", F.struct("found_rank", "doc_id", "page"))
+    lead = wanted.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("priority"))).where(F.col("_r") <= 200).drop("_r")  # a search's pool
+    return G.picked_pages(lead, blocks.drop("found_rank"), pinned, "source", "doc_id", "page", "priority", 2500)
+
+
 def reading_plan(spark, d):
     """Allowances by source, then the blocks of each document that fit."""
     from ..operators import ranking as K
@@ -143,7 +173,8 @@ def reading_plan(spark, d):
 _W = r"[\p{L}\p{N}]+"
 QUERIES = {
     "markdown_sections": (markdown_sections, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents WHERE text IS NOT NULL), s AS (SELECT *, sum(regexp_matches(line, '" + HEADING + "')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l), b AS (SELECT doc_id, section, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) body FROM s GROUP BY 1, 2) SELECT doc_id, section, first_line, last_line, md5(body) AS digest FROM b WHERE section > 0 OR trim(body) <> ''"),
-    "json_leaves": (json_leaves, "SELECT event_id, '/' || k AS pointer, (props::JSON ->> k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) k FROM events)"),
+    "json_leaves": (json_leaves, """SELECT event_id, '/a~1b/0/' || k AS pointer, (props::JSON ->> k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) k FROM events)
+UNION ALL SELECT event_id, '/a~1b/1/x~0y/0', event_id::VARCHAR FROM events UNION ALL SELECT event_id, '/a~1b/1/x~0y/1', 'null' FROM events UNION ALL SELECT event_id, '/t', CASE WHEN event_id % 2 = 0 THEN '"é \\" x"' ELSE 'true' END FROM events"""),
     "running_headers": (running_headers, r"WITH f AS (SELECT doc_id % 10 AS series, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT series, doc_id, regexp_replace(regexp_replace(trim(lower(line)), '\s+', ' ', 'g'), '\d+', '#', 'g') AS pattern FROM (SELECT series, doc_id, unnest(l[1:3] || CASE WHEN len(l) > 3 THEN l[greatest(len(l) - 2, 1):len(l)] ELSE [] END) line FROM f)), n AS (SELECT series, count(*) AS n_pages FROM f GROUP BY 1), c AS (SELECT series, pattern, count(*) AS n_seen FROM e WHERE NOT regexp_matches(pattern, '^(fig|tab|quadro|gr[áa]fico)\w*\.?\s*#') AND (regexp_matches(pattern, '\p{L}') OR length(regexp_replace(pattern, '[^#]', '', 'g')) <= 2) GROUP BY 1, 2) SELECT series, pattern, n_seen, n_pages FROM c JOIN n USING (series) WHERE n_pages >= 4 AND n_seen >= greatest(3, ceil(0.05 * n_pages))"),
     "header_tracking": (header_tracking, "WITH x AS (SELECT conv_id, turn, turn + CASE WHEN conv_id % 2 = 0 THEN 7 ELSE turn % 2 END k FROM conversations), p AS (SELECT conv_id, lead(turn) OVER w - turn dp, lead(k) OVER w - k dn FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT conv_id, count(*) n, count(*) FILTER (dp <= 4) AS pairs, count(*) FILTER (dp <= 4 AND dp = dn) AS hits FROM p GROUP BY 1) SELECT conv_id, pairs, hits FROM g WHERE n >= 3 AND pairs >= 2 AND hits >= 0.6 * pairs"),
     "chunk_dedup": (chunk_dedup, r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(n)::INT AS line_no, count(*) AS n_copies FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(regexp_replace(line, '\s+', ' ', 'g'))"),
@@ -161,4 +192,6 @@ QUERIES = {
     "note_names": (note_names, "SELECT c_custkey, CASE WHEN k = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || k || ')' END AS note_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) k FROM customer)"),
     "passages": (passages, None),
     "reading_plan": (reading_plan, None),
+    "reading_selection": (reading_selection, None),
+    "page_picks": (page_picks, None),
 }

@@ -180,8 +180,9 @@ def test_sections_and_json(spark):
     d = spark.createDataFrame([(1, "intro\n# A\nx\n## B\n"), (2, "\n# C")], "id int, t string")
     got = [(r["id"], r["section"], r["first_line"], r["last_line"]) for r in X.sections(d, "id", "t").orderBy("id", "section").collect()]
     assert got == [(1, 0, 1, 1), (1, 1, 2, 3), (1, 2, 4, 5), (2, 1, 2, 2)]
-    leaves = spark.createDataFrame([('{"a/b": [1, {"~": null}], "c": "é"}',), ("3",), ("{bad",)], "j string").select(X.json_leaves("j").alias("l")).collect()
-    assert [(x["pointer"], x["value"]) for x in leaves[0]["l"]] == [("/a~1b/0", "1"), ("/a~1b/1/~0", "null"), ("/c", '"é"')] and leaves[1]["l"][0]["pointer"] == "/" and leaves[2]["l"] == []
+    texts = [(1, '{"a/b": [1, {"~": null}], "c": "é", "e": [], "o": {"p": {"q": -2.50}}}'), (2, "3"), (3, "{bad"), (4, None), (5, '["x\\n"]')]
+    leaves = {(r["k"], r["pointer"], r["value"]) for r in X.json_leaves(spark.createDataFrame(texts, "k int, j string"), "k", "j").collect()}
+    assert leaves == {(1, "/a~1b/0", "1"), (1, "/a~1b/1/~0", "null"), (1, "/c", '"é"'), (1, "/o/p/q", "-2.5"), (2, "/", "3"), (5, "/0", '"x\\n"')}
 
 
 def test_sentences_and_packing():

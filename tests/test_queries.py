@@ -55,6 +55,8 @@ INVARIANT = {
     "passages": lambda r: 0 <= r["last"] - r["first"] <= 2,
     "overlap_passages": lambda r: 0 <= r["last"] - r["first"] <= 2,
     "bootstrap_ci": lambda r: 0 <= r["low"] <= r["high"] <= 1 and r["low"] <= r["mean"] + 0.5,
+    "page_picks": lambda r: 1 <= r["place"] <= 12,
+    "reading_selection": lambda r: r["block"] >= 0,
     "paired_blocks": lambda r: r["low"] <= r["mean"] + 0.2 and r["low"] <= r["high"] and r["verdict"] == ("a" if r["low"] > 0 else "b" if r["high"] < 0 else "no clear difference"),
     "beta_interval": lambda r: 0 <= r["low"] < 1 - (r["at"] + 1) / (r["n"] + 1) + 0.5 and r["low"] < r["high"] <= 1,
     "poisson_upper": lambda r: abs(sum(math.exp(-r["upper"]) * r["upper"] ** k / math.factorial(k) for k in range(r["n_alarms"] + 1)) - 0.05) < 1e-4,
