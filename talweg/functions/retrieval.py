@@ -157,7 +157,8 @@ def phrase_hits(docs: DataFrame, doc: str, text: str, phrase: list[str]) -> Data
 
 def term_mentions(docs: DataFrame, terms: list[str], doc: str, text: str, group: str, pages: int = 12, top: int = 8) -> DataFrame:
     """Per term and group the number of distinct documents that hold it and the first ids, and the groups with most of them."""
-    held = docs.select(doc, group, F.explode(F.array_intersect(words(F.col(text)), F.array(*map(F.lit, terms)))).alias("term"))
+    # Staged, as it is read twice and the texts are cut into words once.
+    held = staged(docs.select(doc, group, F.explode(F.array_intersect(words(F.col(text)), F.array(*map(F.lit, terms)))).alias("term")), "mentions")
     counted = held.groupBy("term", group).agg(F.count(F.lit(1)).alias("n_places"))
     best = counted.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n_places"), group))).where(F.col("place") <= top)
     # Of a term and group only the first ids are gathered: the rank limits them before the shuffle.
@@ -283,10 +284,11 @@ def of_methods(chunks: DataFrame, method: str, methods: tuple[str, ...]) -> Data
 
 
 def mean_vector(rows: DataFrame, per: list[str], vector: str) -> DataFrame:
-    """the mean of unit vectors, brought to length one, as one array per group."""
-    each = rows.select(*per, F.posexplode(unit(vector)).alias("_i", "_x")).groupBy(*per, "_i").agg(F.avg("_x").alias("_x"))
-    whole = each.groupBy(*per).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_m"))
-    return whole.select(*per, unit("_m").alias(vector))
+    """the mean of unit vectors, brought to length one, as one array per group. One average a component, combined map-side."""
+    dim = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    whole = rows.select(*per, unit(vector).alias("_u")).groupBy(*per).agg(*[F.avg(F.get("_u", F.lit(i))).alias(f"_x{i}") for i in range(dim)])
+    mean = F.filter(F.array(*[F.col(f"_x{i}") for i in range(dim)]), lambda x: x.isNotNull()) if dim else F.array().cast("array<double>")
+    return whole.select(*per, mean.alias("_m")).select(*per, unit("_m").alias(vector))
 
 
 def retrieval_summary(hits: DataFrame, query: str, relevant: str, rank: str, title: str, dims: list[str], top: int) -> DataFrame:
