@@ -221,3 +221,28 @@ def test_a_long_text_among_short_ones_and_clashing_columns(spark):
     assert got[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
     files = {r["doc_id"]: r["n_tokens"] for r in tokenfile.round_trip(d, public_tokenizers.path("word_bpe_49k.json"), 2).collect()}
     assert files[3] == 3 and files[2] > files[1] > 60_000
+
+
+def test_the_pipeline_runs_over_a_folder(spark, tmp_path):
+    """run() itself: copies and near copies go, what is left is encoded as the library does, and what stages staged is deleted."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from talweg.storage import staged_so_far
+
+    r = random.Random(12)
+    words = {"en": "the river carries cold water down from hills where sheep graze all summer long".split(), "fr": "la rivière porte une eau froide depuis les collines où paissent des moutons".split()}
+    made = {k: " ".join(r.choice(words[("en", "fr")[k % 2]]) + r.choice(["", "s", "x", "q"]) for _ in range(60)) for k in range(30)}
+    texts = made | {100: made[3], 101: made[4] + "\n", 102: made[5] + " added", 103: "12 34 !!", 104: None}
+    rows = [(k, t, ("en", "fr")[k % 2], f"s{k % 3}", len(t or "")) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = staged_so_far()
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert staged_so_far() == before
+    assert 0 < len(got) <= 30 and not {103, 104} & set(got)
+    assert all(len({a, b} & set(got)) <= 1 for a, b in ((3, 100), (4, 101), (5, 102)))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k, x in got.items():
+        ids = t.encode(texts[k], add_special_tokens=False).ids
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
