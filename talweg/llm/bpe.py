@@ -27,7 +27,7 @@ from .common import slices
 #: How byte-level BPE splits text before merging (a fixed, public pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that a worker remembers of pieces in each of two generations, and of words. A bound on memory only; results don't depend on it.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 24 << 20
 #: What an entry takes besides its letters and ids, about; and the longest piece that is remembered.
 _ENTRY, _LONGEST = 200, 256
 #: Words of more bytes are proposed and merged one at a time.
