@@ -192,8 +192,8 @@ def parameters(given: dict, known: dict[str, tuple]) -> dict:
     return out
 
 
-def legacy(spark: SparkSession, root: str, name: str) -> str | None:
-    """The newest complete folder `name-<number>` of a place without manifests."""
+def _legacy(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """Number and path of the newest complete folder `name-<number>` of a place without manifests."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(root)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -202,13 +202,21 @@ def legacy(spark: SparkSession, root: str, name: str) -> str | None:
         got = s.getPath().getName()
         if got.startswith(f"{name}-") and got[len(name) + 1 :].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
             found.append((int(got[len(name) + 1 :]), s.getPath().toString()))
-    return max(found, default=(0, None))[1]
+    return max(found, default=None)
+
+
+def newest(spark: SparkSession, root: str, name: str) -> int | None:
+    """Number of the newest version that has the table; null if none has."""
+    number, content = commits.newest(spark, root)
+    old = _legacy(spark, root, name)
+    return number if name in content else old[0] if old else None
 
 
 def current(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A table as the newest (or an earlier) version has it; of a place without manifests the newest complete folder."""
     content = commits.newest(spark, root)[1] if version is None else commits.read(spark, root, version)
-    path = content.get(name) or (legacy(spark, root, name) if version is None else None)
+    old = _legacy(spark, root, name) if version is None and name not in content else None
+    path = old[1] if old else content.get(name)
     if path is None:
         raise FileNotFoundError(f"{root} holds no complete {name}")
     return spark.read.parquet(path)
