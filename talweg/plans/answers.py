@@ -13,7 +13,7 @@ from ..storage import table as T
 
 
 def number_extract(spark, d):
-    lines = X.lines_of(T(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    lines = X.lines_of(T(spark, d, "documents").where("text is not null"), "doc_id", "text").where(N.has_digits(F.col("line")))
     each = lines.select("doc_id", "line_no", F.posexplode(N.numbers(F.col("line"))).alias("k", "number"))
     return each.select("doc_id", "line_no", "k", "number", F.array_join(F.transform(N.readings(F.col("number")), lambda v: v.cast("string")), ";").alias("readings"))
 

@@ -70,3 +70,11 @@ def test_numbers_are_checked_against_the_blocks_that_lines_cite(spark):
     for text, (wrong, loose) in cases.items():
         r = W.check_numbers(answers.where(F.col("text") == text), blocks, "k", shared=shared).first()
         assert (r["unverified"], r["unmarked"]) == (wrong, loose), text
+
+
+def test_lines_without_digits_are_passed_over_and_each_line_is_scanned_once(spark, monkeypatch):
+    monkeypatch.setattr(lexer, "Line", None)
+    assert lexer.scan("no figure stands (here), al. et al., Silva") == []
+    blocks = spark.createDataFrame([(1, "R1", "9")], "k int, mark string, text string")
+    out = W.check_numbers(spark.createDataFrame([(1, "It is 8 [R1].")], "k int, text string"), blocks, "k")
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
