@@ -147,10 +147,12 @@ def chain_roots(links: DataFrame, node: str, parent: str) -> DataFrame:
     for _ in range(40):
         if now.where("up is not null").limit(1).count() == 0:
             break
+        open_ = now.where("up is not null")  # settled nodes would all meet in the one task of the null key
         above = now.select(F.col("n").alias("_n"), F.col("up").alias("_up"), F.col("d").alias("_d"), F.coalesce("root", "n").alias("_r") if "root" in now.columns else F.col("n").alias("_r"))
-        joined = now.join(above, F.col("up") == F.col("_n"), "left")
+        joined = open_.join(above, F.col("up") == F.col("_n"), "left")
         root = F.col("root") if "root" in now.columns else F.lit(None).cast(now.schema["n"].dataType)
-        now = staged(joined.select("n", F.col("_up").alias("up"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.when(F.col("up").isNotNull() & F.col("_up").isNull(), F.coalesce("_r", "up")).otherwise(root).alias("root")), "chain")
+        settled = now.where("up is null").select("n", "up", "d", root.alias("root"))
+        now = staged(settled.unionByName(joined.select("n", F.col("_up").alias("up"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.when(F.col("up").isNotNull() & F.col("_up").isNull(), F.coalesce("_r", "up")).otherwise(root).alias("root"))), "chain")
     root = F.coalesce("root", "n") if "root" in now.columns else F.col("n")
     return now.select(F.col("n").alias(node), F.when(F.col("up").isNull(), root).alias("root"), F.col("d").alias("depth"))
 
@@ -160,6 +162,30 @@ def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right")))
 
 
+def discordant_pairs(rows: DataFrame, per: list[str], high: str, low: str, key: str) -> DataFrame:
+    """Per group how many pairs (a, b) have a.high > b.high and a.low < b.low, and the least key of such an a, without forming the pairs.
+
+    Values of `high` are numbered within the group. The numbers of a and b part at one highest bit, above which they agree:
+    for each bit, the rows that agree above it are ordered by `low`, and each a (bit set) counts the b (not set) beyond it.
+    """
+    held = rows.where(" and ".join(f"`{c}` is not null" for c in (*per, high, low)))
+    each = held.groupBy(*per, high, low).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_key"))
+    numbers = global_rank(each.select(*per, high).distinct(), per, [F.col(high)], "_no").select(*[F.col(g).alias(f"_p{k}") for k, g in enumerate(per)], F.col(high).alias("_h"), "_no")
+    same = F.col(high) == F.col("_h")
+    for k, g in enumerate(per):
+        same &= F.col(g) == F.col(f"_p{k}")
+    each = staged(each.join(numbers, same).select(*per, low, "_no", "_n", "_key"), "numbered")
+    bits = int(each.agg(F.max("_no")).first()[0] or 0).bit_length()
+    if not bits:
+        return each.groupBy(*per).agg(F.sum("_n").alias("n_discordant"), F.min("_key").alias("first"))
+    level = each.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumn("_set", F.expr("shiftright(_no, _bit) & 1"))
+    level = level.withColumn("_above", F.expr("shiftright(_no, _bit + 1)"))
+    # Of equal `low` the a come first, so that they don't count each other's equals.
+    met = prefix_sums(level, [*per, "_bit", "_above"], [F.desc(low), F.desc("_set"), F.col("_no")], {"_met": F.when(F.col("_set") == 0, F.col("_n")).otherwise(0)})
+    found = met.where("_set = 1 and _met > 0")
+    return found.groupBy(*per).agg(F.sum(F.col("_n") * F.col("_met")).alias("n_discordant"), F.min("_key").alias("first"))
+
+
 def numbered_blocks(rows: DataFrame, order: str, letter: str) -> DataFrame:
     """Report lines as citable blocks: their marks (R1, R2 ...) in order. A report has few lines."""
     return rows.withColumn("mark", F.concat(F.lit(letter), F.row_number().over(Window.orderBy(order)).cast("string")))

@@ -92,11 +92,9 @@ def multiset_equality(spark, d):
 
 
 def discordant_pairs(spark, d):
-    """A.size > b.size while a.price < b.price. The theta join is over one group's few items: pairs meet by brand and type, never over the whole table."""
-    p = T(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size", "p_retailprice")
-    a, b = p.alias("a"), p.alias("b")
-    pair = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_size") > F.col("b.p_size")) & (F.col("a.p_retailprice") < F.col("b.p_retailprice"))
-    return a.join(b, pair).groupBy(F.col("a.p_brand").alias("p_brand"), F.col("a.p_type").alias("p_type")).agg(F.count(F.lit(1)).alias("n_discordant"), F.min("a.p_partkey").alias("first_part"))
+    """A.size > b.size while a.price < b.price, by brand and type."""
+    out = C.discordant_pairs(T(spark, d, "part"), ["p_brand", "p_type"], "p_size", "p_retailprice", "p_partkey")
+    return out.select("p_brand", "p_type", "n_discordant", F.col("first").alias("first_part"))
 
 
 def set_operations(spark, d):

@@ -83,3 +83,47 @@ def test_sentences_and_pieces_cover_every_text(spark):
         own = sorted(chunks.get(d, []))
         assert " ".join(t[a:b] for a, b, _ in own).split() == t.split() and sum(n for _, _, n in own) == len(t.split())
         assert sum(map(len, t.split())) <= pieces.get(d, 0) <= len(t)
+
+
+def test_equal_positions_of_descriptions_go_to_the_first_row(spark, tmp_path):
+    """Several rows of one part share the least order and line number."""
+    import duckdb
+
+    from talweg.plans import library
+
+    duckdb.sql(f"COPY (SELECT i AS p_partkey FROM range(40) t(i)) TO '{tmp_path}/part.parquet'")
+    duckdb.sql(f"COPY (SELECT i % 40 AS l_partkey, 7::BIGINT AS l_orderkey, 3 AS l_linenumber, (i * 37) % 101 AS l_suppkey FROM range(400) t(i) ORDER BY i) TO '{tmp_path}/lineitem.parquet'")
+    got = {tuple(r) for r in library.caption_descriptions(spark, str(tmp_path)).collect()}
+    sql = library.QUERIES["caption_descriptions"][1].replace("FROM part", f"FROM '{tmp_path}/part.parquet'").replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'")
+    assert got == set(duckdb.sql(sql).fetchall())
+
+
+def test_discordant_pairs_equal_the_pairs_and_no_pair_is_formed(spark):
+    import random
+
+    from talweg.operators import catalog as C
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, "x", "y"]), k, rng.choice([None, *range(9)]), rng.choice([None, 1.0, 2.5, 3.0, float(k)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, t string, k long, size int, price double")
+    out = C.discordant_pairs(df, ["g", "t"], "size", "price", "k")
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for a in rows:
+        for b in rows:
+            if None not in (a[1], *a[3:], *b[3:]) and a[:2] == b[:2] and a[3] > b[3] and a[4] < b[4]:
+                n, first = want.get(a[:2], (0, a[2]))
+                want[a[:2]] = (n + 1, min(first, a[2]))
+    assert {(r["g"], r["t"]): (r["n_discordant"], r["first"]) for r in out.collect()} == want
+
+
+def test_settled_nodes_of_chains_take_no_part_in_the_join(spark, monkeypatch):
+    """Nodes without a parent aren't dealt by their null key."""
+    from talweg.operators import catalog as C
+
+    plans, kept = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1])
+    links = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, None)], "n long, up long")
+    got = {tuple(r) for r in C.chain_roots(links, "n", "up").collect()}
+    assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (9, 9, 0)}
+    assert all("isnotnull(up" in p for p in plans[1:])
