@@ -72,7 +72,7 @@ def only_named(chunks: DataFrame, question: Column, named: Column) -> DataFrame:
 
 
 def caption_descriptions(mentions: DataFrame, descriptions: DataFrame, on: list[str], position: str, item: str) -> DataFrame:
-    """Each mention with the earliest description of the same place and label."""
+    """Each mention with the earliest description of the same place and label. Of equal positions (a column or a struct) the caller's order decides: `position` should be total."""
     first = descriptions.groupBy(*on).agg(F.min_by(item, position).alias("description"))
     return mentions.join(first, on, "left")
 

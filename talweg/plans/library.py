@@ -45,8 +45,9 @@ def only_named(spark, d):
 
 
 def caption_descriptions(spark, d):
-    li = T(spark, d, "lineitem")
-    return L.caption_descriptions(T(spark, d, "part").select("p_partkey"), li.select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_suppkey"), ["p_partkey"], "pos", "l_suppkey")
+    """J09. Positions recur in the table (an order's line number may stand twice); of equal ones the row that stands first counts, as in the SQL."""
+    li = T(spark, d, "lineitem").where("l_suppkey is not null")
+    return L.caption_descriptions(T(spark, d, "part").select("p_partkey"), li.select(F.col("l_partkey").alias("p_partkey"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("pos"), "l_suppkey"), ["p_partkey"], "pos", "l_suppkey")
 
 
 def figure_summary(spark, d):
