@@ -101,3 +101,18 @@ def test_titles_are_found_whatever_their_accents(spark):
     assert sorted((x["q"], x["n"]) for x in L.titles_in(asked, "q", "question", cards, "title").collect()) == [(1, 1), (2, 1), (2, 2)]
     named = lambda q, t, s: spark.range(1).select(L.named_documents(F.lit(q), F.lit(t), F.array(F.lit(s)), F.lit(None).cast("string"), ()).alias("x")).first()["x"]
     assert named("segundo simoes", "t", "Simões") and named("a analise de falhas diz", "Análise de falhas", "x") and not named("outra coisa", "Análise de falhas", "x")
+
+
+def test_only_ids_are_ranked_and_texts_stay_whole(spark, tmp_path, monkeypatch):
+    from talweg.functions import index as I
+
+    ranked, rank = [], I.global_rank
+    monkeypatch.setattr(I, "global_rank", lambda rows, *more: (ranked.append(rows.columns), rank(rows, *more))[1])
+    docs = spark.createDataFrame([(k, None if k % 7 == 0 else f"t{k}", None if k % 5 == 0 else f"uno dos uno {k}") for k in range(150)], "doc long, title string, text string")
+    path = I._segment(docs, "doc", "title", "text", str(tmp_path))
+    assert ranked == [["doc"]]
+    held = spark.read.parquet(f"{path}/documents")
+    assert {(r["doc"], r["slab"]) for r in held.collect()} == {(k, k // I.SLAB) for k in range(150)}
+    blocks = spark.read.parquet(f"{path}/blocks").where("term = 'uno'").collect()
+    assert sorted((b["slab"], b["n"]) for b in blocks) == sorted((s, sum(k % 5 > 0 for k in range(150) if k // I.SLAB == s)) for s in range(3))
+    assert all(list(p["at"]) == [0, 2] for b in blocks for p in b["postings"])
