@@ -116,3 +116,13 @@ def test_only_ids_are_ranked_and_texts_stay_whole(spark, tmp_path, monkeypatch):
     blocks = spark.read.parquet(f"{path}/blocks").where("term = 'uno'").collect()
     assert sorted((b["slab"], b["n"]) for b in blocks) == sorted((s, sum(k % 5 > 0 for k in range(150) if k // I.SLAB == s)) for s in range(3))
     assert all(list(p["at"]) == [0, 2] for b in blocks for p in b["postings"])
+
+
+def test_a_long_text_is_cut_once_for_a_phrase(spark):
+    from talweg.functions import retrieval as R
+
+    docs = spark.createDataFrame([(1, "the general public license " * 3 + "x " * 4000 + "general license"), (2, "general license"), (3, None)], "doc_id int, text string")
+    out = R.phrase_hits(docs, "doc_id", "text", ["general", "public", "license"])
+    assert [tuple(r) for r in out.collect()] == [(1, 3)]
+    project = next(x for x in out._jdf.queryExecution().analyzed().toString().split("\n") if "AS n_hits" in x)
+    assert project.count("regexp_extract_all") == 1
