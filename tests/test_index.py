@@ -118,6 +118,22 @@ def test_only_ids_are_ranked_and_texts_stay_whole(spark, tmp_path, monkeypatch):
     assert all(list(p["at"]) == [0, 2] for b in blocks for p in b["postings"])
 
 
+def test_words_are_gathered_in_their_text_and_slab_without_a_row_each(spark):
+    texts = {0: "b a b", 1: "", 2: "a", 70: "c a c c", 71: None, None: "b"}
+    rows = [(d, None if d is None else d // index.SLAB, (t or "").split()) for d, t in texts.items()]
+    out = index._blocks(spark.createDataFrame(rows, "doc long, slab long, w array<string>").repartition("slab"))
+    got = {(b["term"], b["slab"]): ([(p["doc"], p["len"], list(p["at"])) for p in b["postings"]], b["most"], b["least"], b["n"]) for b in out.collect()}
+    assert got == {
+        ("a", 0): ([(0, 3, [1]), (2, 1, [0])], 1, 1, 2),
+        ("b", 0): ([(0, 3, [0, 2])], 2, 3, 1),
+        ("a", 1): ([(70, 4, [1])], 1, 4, 1),
+        ("c", 1): ([(70, 4, [0, 2, 3])], 3, 4, 1),
+        ("b", None): ([(None, 1, [0])], 1, 1, 1),
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Filter (size(" not in plan and plan.count("Aggregate ") == 1
+
+
 def test_a_long_text_is_cut_once_for_a_phrase(spark):
     from talweg.functions import retrieval as R
 
