@@ -399,6 +399,14 @@ def test_encoders_parameters_and_weights(spark, tmp_path):
         P.load_questions(spark, str(tmp_path / "q.json"))
 
 
+def test_the_workers_hold_some_rows_of_long_texts_at_once(spark):
+    texts = [(k, None if k % 50 == 7 else f"The sentence {k} has enough letters here. Another one, also long enough. " * 3) for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    out = docs.select("doc_id", X.sentences("text").alias("s"))
+    assert all((r["s"] is None) if t is None else [tuple(x) for x in r["s"]] == X.sentence_spans(t) for (_, t), r in zip(texts, out.orderBy("doc_id").collect()))
+    assert "BatchEvalPython" in out._jdf.queryExecution().executedPlan().toString()  # 100 rows a batch, not 64 MB
+
+
 def test_filled_pieces():
     from talweg.functions import planning as L
 
