@@ -57,7 +57,9 @@ def sentence_chunks(spark, d):
 
 
 def sentence_spans(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(X.sentences("text")).alias("n_sentences"))
+    """The sentences of every document as [start, end), and how many they are; a null text has none."""
+    spans = T(spark, d, "documents").select("doc_id", X.sentences(F.coalesce("text", F.lit(""))).alias("spans"))
+    return spans.select("doc_id", F.size("spans").alias("n_sentences"), "spans")
 
 
 def _with_references(spark, d):

@@ -127,3 +127,17 @@ def test_settled_nodes_of_chains_take_no_part_in_the_join(spark, monkeypatch):
     got = {tuple(r) for r in C.chain_roots(links, "n", "up").collect()}
     assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (9, 9, 0)}
     assert all("isnotnull(up" in p for p in plans[1:])
+
+
+def test_sentence_spans_are_given_and_cover_every_document(spark, tmp_path):
+    texts = [None, "", " \n ", "Short.", "A first sentence of some length. (Then) no. Fig. 2 shows it, e.g. here.\n\nA last block without a stop"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for place, known in ((str(tmp_path), dict(enumerate(texts))), (DATA, None)):
+        rows = registry.queries()["sentence_spans"](spark, place).collect()
+        known = known or dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+        assert {r["doc_id"] for r in rows} == set(known)
+        for r in rows:
+            t, spans = known[r["doc_id"]] or "", [tuple(s) for s in r["spans"]]
+            assert r["n_sentences"] == len(spans) and all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+            assert "".join("".join(t[a:b].split()) for a, b in spans) == "".join(t.split())
+    assert {r["doc_id"]: r["n_sentences"] for r in registry.queries()["sentence_spans"](spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 3}
