@@ -141,3 +141,22 @@ def test_sentence_spans_are_given_and_cover_every_document(spark, tmp_path):
             assert r["n_sentences"] == len(spans) and all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
             assert "".join("".join(t[a:b].split()) for a, b in spans) == "".join(t.split())
     assert {r["doc_id"]: r["n_sentences"] for r in registry.queries()["sentence_spans"](spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 3}
+
+
+def test_relevant_notes_form_pairs_of_similar_facts_only(spark, tmp_path, monkeypatch):
+    """Against the SQL, with a profile note that has no vector (it is one of the newest all the same) and a question that no fact is near to."""
+    import random
+
+    from talweg.functions import retrieval as R
+    from talweg.plans import retrieval
+
+    rng, formed, scores = random.Random(6), [], R.cosine_scores
+    rows = [(k, [1.0, 0.0, 0.0] if k == 200 else [-abs(rng.gauss(0, 1)), rng.gauss(0, 1), rng.gauss(0, 1)] if k < 390 or k % 100 == 0 else None, k % 3 + 6 * (k == 398)) for k in range(401)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(R, "cosine_scores", lambda *a, **b: formed.append(scores(*a, **b)) or formed[-1])
+    got = [tuple(r) for r in retrieval.memory_relevant(spark, str(tmp_path)).collect()]
+    sql = retrieval.QUERIES["memory_relevant"][1].replace("FROM embeddings a JOIN embeddings b", f"FROM '{tmp_path}/embeddings.parquet/*.parquet' a JOIN '{tmp_path}/embeddings.parquet/*.parquet' b")
+    assert sorted(got) == sorted(duckdb.sql(sql).fetchall())
+    assert {v for q, v, _ in got if q == 200} >= {398, 399} and len(formed) == 1
+    pairs = formed[0].collect()
+    assert 0 < len(pairs) <= 5 * 8 * 2 and all(r["similarity"] > 0.29 for r in pairs)
